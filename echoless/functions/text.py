@@ -6,6 +6,24 @@ from pyspark.sql import functions as F
 from .address import _col
 
 
+_FRACTION_BITS = 52
+
+
+def _one_decimal(x: Column) -> Column:
+    """A number of at least 1 with one decimal, rounded as C prints `%.1f`.
+
+    The exact binary value decides, ties go to the even digit; Java would round
+    the shortest decimal text half up.
+    """
+    whole = F.floor(x)
+    tenfold = ((x - whole) * float(1 << _FRACTION_BITS)).cast("bigint") * 10
+    tenths = whole * 10 + F.shiftright(tenfold, _FRACTION_BITS)
+    rest, half = tenfold.bitwiseAND((1 << _FRACTION_BITS) - 1), 1 << (_FRACTION_BITS - 1)
+    up = (rest > half) | ((rest == half) & (tenths % 2 == 1))
+    tenths = tenths + F.when(up, 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def compact_count(c) -> Column:
     """`1234` -> `1.2k`, then m and g; text that is no integer stays as it is."""
     text = _col(c).cast("string")
@@ -14,7 +32,7 @@ def compact_count(c) -> Column:
     sign = F.when(number < 0, "-").otherwise("")
 
     def scaled(unit, suffix):
-        return F.concat(sign, F.format_string("%.1f", size / unit), F.lit(suffix))
+        return F.concat(sign, _one_decimal(size / unit), F.lit(suffix))
 
     return (
         F.when(number.isNull(), text)

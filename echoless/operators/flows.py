@@ -22,7 +22,7 @@ def _fold(p, reply_timeout_us, linger_us, by, starts_only, chunk_us) -> DataFram
     )
 
 
-def _addresses() -> list:
+def packet_addresses() -> list:
     """Source and destination of a packet, back from its key and side."""
     src = F.when(F.col("side") == 0, F.col("ep_lo")).otherwise(F.col("ep_hi"))
     dst = F.when(F.col("side") == 0, F.col("ep_hi")).otherwise(F.col("ep_lo"))
@@ -70,7 +70,7 @@ def track_flows(
         .when(F.col("status") == "unanswered", F.col("t0") + reply_timeout_us)
     )
     return flows.withColumn("status", status).select(
-        *by, *_KEY, *_addresses(), "t0", "first_pkt_id", "status", "reply_ts",
+        *by, *_KEY, *packet_addresses(), "t0", "first_pkt_id", "status", "reply_ts",
         ends.alias("end_ts"), "n_dup", "n_linger",
     )
 
@@ -105,7 +105,7 @@ def flow_starts(
     """
     starts = _fold(p, reply_timeout_us, linger_us, by, True, chunk_us)
     return starts.select(
-        *by, "pkt_id", "ts_us", "proto", *_addresses(),
+        *by, "pkt_id", "ts_us", "proto", *packet_addresses(),
         _status(p, F.col("reply_ts"), F.col("ts_us"), reply_timeout_us).alias("status"),
         "reply_ts",
     )

@@ -1,19 +1,20 @@
 """Subnet membership, ternary matches and what follows from them per packet.
 
 Subnet lists and match tables are configuration: a hundred rows at most in
-practice. Up to MAX_INLINE rows they travel as one array inside a scalar
-subquery, so no packet is shuffled or copied; longer ones use equi-joins, one
-per distinct mask.
+practice. Up to MAX_INLINE rows become constants of the plan, so no packet is
+shuffled or copied; longer ones use equi-joins, one per distinct mask.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_INLINE = 1000
+MAX_INLINE = 200
 
 
-def _fits_inline(table: DataFrame) -> bool:
-    return table.limit(MAX_INLINE + 1).count() <= MAX_INLINE
+def _inline(table: DataFrame) -> list | None:
+    """All rows of a small table, or None for a larger one."""
+    rows = table.limit(MAX_INLINE + 1).collect()
+    return rows if len(rows) <= MAX_INLINE else None
 
 
 def nets_of(subnets: DataFrame, kind: str) -> DataFrame:
@@ -22,11 +23,17 @@ def nets_of(subnets: DataFrame, kind: str) -> DataFrame:
 
 def with_membership(df: DataFrame, nets: DataFrame, **flags: str) -> DataFrame:
     """Add a boolean per `flag=address_column`: address in any of `nets`."""
-    if _fits_inline(nets):
-        listed = nets.agg(F.collect_list(F.struct("net", "mask"))).scalar()
+    rows = _inline(nets)
+    if rows is not None:
+        by_mask: dict[int, list[int]] = {}
+        for row in rows:
+            by_mask.setdefault(row.mask, []).append(row.net)
 
         def inside(address: str) -> Column:
-            return F.exists(listed, lambda s: F.col(address).bitwiseAND(s["mask"]) == s["net"])
+            hit = F.lit(False)
+            for mask, values in sorted(by_mask.items()):
+                hit = hit | F.col(address).bitwiseAND(mask).isin(values)
+            return hit
 
         return df.select("*", *[inside(address).alias(flag) for flag, address in flags.items()])
     masks = [r.mask for r in nets.select("mask").distinct().collect()]
@@ -85,19 +92,17 @@ def ip_direction(p: DataFrame, subnets: DataFrame) -> DataFrame:
 
 def ternary_match(p: DataFrame, match_rules: DataFrame, default: str) -> DataFrame:
     """Action of the best matching rule: lowest priority, then lowest pos."""
-    fields = ("priority", "pos", "src_val", "src_mask", "dst_val", "dst_mask", "action")
     src, dst = F.col("src_ip"), F.col("dst_ip")
-    if _fits_inline(match_rules):
-        ordered = match_rules.agg(F.array_sort(F.collect_list(F.struct(*fields)))).scalar()
-        best = F.get(
-            F.filter(
-                ordered,
-                lambda r: (src.bitwiseAND(r["src_mask"]) == r["src_val"])
-                & (dst.bitwiseAND(r["dst_mask"]) == r["dst_val"]),
-            ),
-            F.lit(0),
-        )
-        return p.withColumn("action", F.coalesce(best["action"], F.lit(default)))
+    rows = _inline(match_rules)
+    if rows is not None:
+        action = None
+        for r in sorted(rows, key=lambda r: (r.priority, r.pos)):
+            hit = (src.bitwiseAND(r.src_mask) == r.src_val) & (
+                dst.bitwiseAND(r.dst_mask) == r.dst_val
+            )
+            action = F.when(hit, r.action) if action is None else action.when(hit, r.action)
+        action = F.lit(default) if action is None else action.otherwise(default)
+        return p.withColumn("action", action)
     # Many rules, few mask pairs: keep the best rule per exact value, join per pair.
     pairs = match_rules.select("src_mask", "dst_mask").distinct().collect()
     order = F.struct("priority", "pos", "action")
