@@ -9,6 +9,11 @@ from .address import _col
 _FRACTION_BITS = 52
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with `value` evaluated once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _one_decimal(x: Column) -> Column:
     """A number of at least 1 with one decimal, rounded as C prints `%.1f`.
 
@@ -20,27 +25,27 @@ def _one_decimal(x: Column) -> Column:
     tenths = whole * 10 + F.shiftright(tenfold, _FRACTION_BITS)
     rest, half = tenfold.bitwiseAND((1 << _FRACTION_BITS) - 1), 1 << (_FRACTION_BITS - 1)
     up = (rest > half) | ((rest == half) & (tenths % 2 == 1))
-    tenths = tenths + F.when(up, 1).otherwise(0)
-    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return _let(
+        tenths + F.when(up, 1).otherwise(0),
+        lambda t: F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string")),
+    )
 
 
 def compact_count(c) -> Column:
     """`1234` -> `1.2k`, then m and g; text that is no integer stays as it is."""
     text = _col(c).cast("string")
     number = F.when(text.rlike("^-?[0-9]+$"), text).try_cast("double")
-    size = F.abs(number)
-    sign = F.when(number < 0, "-").otherwise("")
-
-    def scaled(unit, suffix):
-        return F.concat(sign, _one_decimal(size / unit), F.lit(suffix))
-
-    return (
-        F.when(number.isNull(), text)
-        .when(size >= 1e9, scaled(1e9, "g"))
-        .when(size >= 1e6, scaled(1e6, "m"))
-        .when(size >= 1e3, scaled(1e3, "k"))
-        .otherwise(F.concat(sign, F.format_string("%.0f", size)))
-    )
+
+    def short(n: Column) -> Column:
+        size = F.abs(n)
+        unit = F.when(size >= 1e9, 1e9).when(size >= 1e6, 1e6).otherwise(1e3)
+        suffix = F.when(size >= 1e9, "g").when(size >= 1e6, "m").otherwise("k")
+        digits = F.when(
+            size >= 1e3, F.concat(_let(size / unit, _one_decimal), suffix)
+        ).otherwise(F.format_string("%.0f", size))
+        return F.concat(F.when(n < 0, "-").otherwise(""), digits)
+
+    return F.coalesce(_let(number, short), text)
 
 
 def group_digits(c) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import rule_key, unpack_rule_key
 from ..schema import COOLDOWN_US, EPOCH_US, FAILURE_COOLDOWN_US, RULE_TTL_US
 from .flows import match_replies
 from .nets import assign_internal, nets_of, with_membership
@@ -30,9 +31,12 @@ def replied_services(p: DataFrame, subnets: DataFrame, **limits) -> DataFrame:
 
 def _cooldown(rules, cooldown_us, chunk_us, starts_only):
     """A cooldown is a span that nothing answers."""
-    rows = rules.select("ts_us", *KEY, F.lit(0).cast("bigint").alias("_n"), F.lit(0).alias("_one"))
+    zero = F.lit(0).cast("bigint")
+    rows = rules.select(
+        rule_key(*KEY).alias("key"), "ts_us", zero.alias("_id"), zero.alias("_side")
+    )
     return fold_spans(
-        rows, KEY, "ts_us", "_n", "_one", cooldown_us, cooldown_us, starts_only, chunk_us
+        rows, ["key"], "ts_us", "_id", "_side", cooldown_us, cooldown_us, starts_only, chunk_us
     )
 
 
@@ -43,7 +47,7 @@ def cooldown_dedup(
 
     Suppressed rules do not extend the cooldown.
     """
-    return _cooldown(rules, cooldown_us, chunk_us, True).select("ts_us", *KEY)
+    return _cooldown(rules, cooldown_us, chunk_us, True).select("ts_us", *unpack_rule_key("key"))
 
 
 def reply_counts(

@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema as _arrow_schema
 
 CHUNK_US = 30_000_000
 _FOLD_ROWS = 100_000
@@ -38,9 +39,12 @@ _CREATED, _DUP, _ANSWER, _LINGER = 0, 1, 2, 3
 
 
 def whole_groups(
-    batches: Iterable[pa.RecordBatch], keys: list[str], min_rows: int = _FOLD_ROWS
+    batches: Iterable[pa.RecordBatch], starts, min_rows: int = _FOLD_ROWS
 ) -> Iterator[pa.Table]:
-    """Re-cut sorted Arrow batches so that no group of `keys` is split."""
+    """Re-cut sorted Arrow batches so that no group is split.
+
+    `starts` flags the first row of each group of a table.
+    """
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -48,9 +52,9 @@ def whole_groups(
             continue
         if rows >= min_rows:
             tail = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch])
-            starts = np.flatnonzero(group_starts(tail, keys)[1:])
-            if starts.size:
-                cut = int(starts[-1])
+            first = np.flatnonzero(starts(tail)[1:])
+            if first.size:
+                cut = int(first[-1])
                 yield pa.Table.from_batches(held + ([batch.slice(0, cut)] if cut else []))
                 batch = batch.slice(cut)
                 held, rows = [], 0
@@ -66,16 +70,23 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     if table.num_rows > 1:
         changed = np.zeros(table.num_rows - 1, dtype=bool)
         for name in keys:
-            here, before = table[name].slice(1), table[name].slice(0, table.num_rows - 1)
-            differs = pc.fill_null(pc.not_equal(here, before), False)
-            nulls = pc.xor(pc.is_null(here), pc.is_null(before))
-            changed |= pc.or_(differs, nulls).to_numpy()
+            column = table[name].combine_chunks()
+            here, before = column.slice(1), column.slice(0, len(column) - 1)
+            differs = pc.not_equal(here, before)
+            if column.null_count:
+                nulls = pc.xor(pc.is_null(here), pc.is_null(before))
+                differs = pc.or_(pc.fill_null(differs, False), nulls)
+            changed |= differs.to_numpy(zero_copy_only=False)
         first[1:] = changed
     return first
 
 
-def _numbers(table: pa.Table, name: str, missing: int = 0) -> np.ndarray:
-    return pc.fill_null(table[name], missing).to_numpy()
+def chunk_starts(table: pa.Table, keys: list[str], chunk_us: int) -> np.ndarray:
+    """True at the first row of each (key, time chunk) of sorted rows."""
+    first = group_starts(table, keys)
+    chunk = np.floor_divide(table["_ts"].to_numpy(), chunk_us)
+    first[1:] |= chunk[1:] != chunk[:-1]
+    return first
 
 
 class _Chunk:
@@ -84,10 +95,10 @@ class _Chunk:
     Index arrays; `end` of a row is the index after its group's last row.
     """
 
-    def __init__(self, table: pa.Table, group: list[str], reply_timeout: int, linger: int):
-        self.ts, self.side = _numbers(table, "_ts"), _numbers(table, "_side")
-        self.id = _numbers(table, "_id")
-        first = group_starts(table, group)
+    def __init__(self, table: pa.Table, key, reply_timeout: int, linger: int, chunk_us: int):
+        self.ts, tag = table["_ts"].to_numpy(), table["_tag"].to_numpy()
+        self.id, self.side = tag >> 1, tag & 1
+        first = chunk_starts(table, key, chunk_us)
         n = self.n = len(self.ts)
         self.start = np.flatnonzero(first)
         self.group = np.cumsum(first) - 1
@@ -157,13 +168,13 @@ def _exit_state(c: _Chunk, last: np.ndarray, chunk_end: np.ndarray):
 
 
 def _exits_fn(key: list[str], reply_timeout: int, linger: int, chunk_us: int, schema: pa.Schema):
-    group = key + ["_chunk"]
     horizon = max(reply_timeout, linger)
 
-    def exits(table: pa.Table) -> pa.RecordBatch:
-        c = _Chunk(table, group, reply_timeout, linger)
+    def exits(table: pa.Table) -> pa.Table:
+        c = _Chunk(table, key, reply_timeout, linger, chunk_us)
         start, end = c.start, c.group_end
-        opens = _numbers(table, "_chunk")[start] * chunk_us
+        chunk = np.floor_divide(c.ts[start], chunk_us)
+        opens = chunk * chunk_us
         closes = opens + chunk_us
         turn = c.answer[start]
         early = c.ts[start] < opens + horizon
@@ -208,11 +219,11 @@ def _exits_fn(key: list[str], reply_timeout: int, linger: int, chunk_us: int, sc
         )
         at = np.where(swallowed, heard, at)
         turn_ts = np.where(turn < end, c.ts[np.minimum(turn, c.n - 1)], -1)
-        columns = [table[k].take(pa.array(start[g])) for k in group]
+        columns = [table[k].take(pa.array(start[g])) for k in key]
         columns += [
             pa.array(x)
             for x in (
-                case.astype(np.int32), until, kind.astype(np.int32), at,
+                chunk[g], case.astype(np.int32), until, kind.astype(np.int32), at,
                 c.side[last].astype(np.int32), c.ts[last], c.id[last], swallowed,
                 c.ts[start[g]], c.side[start[g]].astype(np.int32),
                 turn_ts[g], turn[g] < end[g],
@@ -221,7 +232,7 @@ def _exits_fn(key: list[str], reply_timeout: int, linger: int, chunk_us: int, sc
         return pa.Table.from_arrays(columns, schema=schema)
 
     def run(batches):
-        for table in whole_groups(batches, group):
+        for table in whole_groups(batches, lambda t: chunk_starts(t, key, chunk_us)):
             yield from exits(table).to_batches()
 
     return run
@@ -232,9 +243,9 @@ _EXIT_COLUMNS = (
     ("side", "int"), ("t0", "bigint"), ("first_id", "bigint"), ("same", "boolean"),
     ("opens_ts", "bigint"), ("opens_side", "int"), ("turn_ts", "bigint"), ("turns", "boolean"),
 )
-_ROLE_COLUMNS = (
-    ("role", "int"), ("flow_t0", "bigint"), ("flow_id", "bigint"), ("reply_ts", "bigint"),
-)
+_REPLY_COLUMN = (("reply_ts", "bigint"),)
+_ROLE_COLUMNS = (("role", "int"), ("flow_t0", "bigint"), ("flow_id", "bigint"))
+_MISSING = np.iinfo(np.int64).min
 _ENTRY_COLUMNS = (
     ("in_kind", "int"), ("in_at", "bigint"), ("in_side", "int"), ("in_t0", "bigint"),
     ("in_id", "bigint"), ("next_ts0", "bigint"), ("next_ts1", "bigint"),
@@ -318,21 +329,19 @@ def _chain_fn(key, reply_timeout: int, linger: int, chunk_us: int, schema: pa.Sc
         return pa.Table.from_arrays(columns, schema=schema)
 
     def run(batches):
-        for table in whole_groups(batches, key):
+        for table in whole_groups(batches, lambda t: group_starts(t, key)):
             yield from chain(table).to_batches()
 
     return run
 
 
-def _fold_fn(key, kept, reply_timeout, linger, starts_only, schema):
-    group = key + ["_chunk"]
+def _fold_fn(key, kept, reply_timeout, linger, chunk_us, starts_only, schema):
+    """`kept` maps each output column to its source in the sorted rows."""
 
     def fold(table: pa.Table) -> pa.Table:
-        c = _Chunk(table, group, reply_timeout, linger)
+        c = _Chunk(table, key, reply_timeout, linger, chunk_us)
         start, end, n = c.start, c.group_end, c.n
-        entry = table.select([name for name, _ in _ENTRY_COLUMNS]).take(pa.array(start))
-        kind, at = _numbers(entry, "in_kind"), _numbers(entry, "in_at")
-        in_side = _numbers(entry, "in_side", -1)
+        kind, at, in_side, in_t0, in_id, next0, next1 = _entries(table["_entry"], start)
         pending, lingering = kind == _PENDING, kind == _REPLIED
         answer = np.where(c.side[start] == in_side, c.answer[start], start)
         replied = pending & c._in_time(answer, at, end)
@@ -360,37 +369,44 @@ def _fold_fn(key, kept, reply_timeout, linger, starts_only, schema):
         role = np.where(heard & (rows == turn), _ANSWER, role)
         role = np.where(inherited & lingering[c.group], _LINGER, role)
         role = np.where(created, _CREATED, role)
-        t0 = np.where(inherited, _numbers(entry, "in_t0")[c.group], c.ts[owner])
-        first_id = np.where(inherited, _numbers(entry, "in_id")[c.group], c.id[owner])
         # Answers to spans at the chunk's end may only come in the next chunk.
-        opposite = np.where(
-            c.side == 0, _numbers(entry, "next_ts1", -1)[c.group],
-            _numbers(entry, "next_ts0", -1)[c.group],
-        )
+        opposite = np.where(c.side == 0, next1[c.group], next0[c.group])
         later = (
             created & ~c.answered & (c.answer == c.end)
-            & (opposite >= 0) & (opposite - c.ts < reply_timeout)
+            & (opposite != _MISSING) & (opposite - reply_timeout < c.ts)
         )
         reply_ts = np.where(later, opposite, c.ts[np.minimum(c.answer, n - 1)])
-        has_reply = created & (c.answered | later)
-        out = [table[k] for k in kept] + [
-            pa.array(role.astype(np.int32)), pa.array(t0), pa.array(first_id),
-            pa.array(reply_ts, mask=~has_reply),
-        ]
-        result = pa.Table.from_arrays(out, schema=schema)
-        return result.filter(pa.array(created)) if starts_only else result
+        no_reply = ~(created & (c.answered | later))
+        made = {"_id": c.id, "_side": c.side.astype(np.int32)}
+        out = [pa.array(made[x]) if x in made else table[x] for x in kept]
+        out.append(pa.array(reply_ts, mask=no_reply))
+        if starts_only:
+            return pa.Table.from_arrays(out, schema=schema).filter(pa.array(created))
+        t0 = np.where(inherited, in_t0[c.group], c.ts[owner])
+        first_id = np.where(inherited, in_id[c.group], c.id[owner])
+        out += [pa.array(role.astype(np.int32)), pa.array(t0), pa.array(first_id)]
+        return pa.Table.from_arrays(out, schema=schema)
 
     def run(batches):
-        for table in whole_groups(batches, group):
+        for table in whole_groups(batches, lambda t: chunk_starts(t, key, chunk_us)):
             yield from fold(table).to_batches()
 
     return run
 
 
-def _arrow_schema(struct: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(struct)
+def _entries(column: pa.ChunkedArray, start: np.ndarray) -> np.ndarray:
+    """The state in which each group begins; one row per entry field."""
+    lists = column.combine_chunks().take(pa.array(start))
+    known = np.flatnonzero(pc.is_valid(lists).to_numpy(zero_copy_only=False))
+    fields = np.full((len(_ENTRY_COLUMNS), len(start)), _MISSING)
+    fields[0] = _NONE
+    if known.size:
+        flat = pc.fill_null(pc.list_flatten(lists), _MISSING).to_numpy()
+        fields[:, known] = flat.reshape(-1, len(_ENTRY_COLUMNS)).T
+    # Groups that only know their follow-up begin in no state.
+    fields[0, fields[0] == _MISSING] = _NONE
+    fields[1:5, fields[0] == _NONE] = 0
+    return fields
 
 
 def fold_spans(
@@ -406,58 +422,66 @@ def fold_spans(
 ) -> DataFrame:
     """Give every row its role in the spans of its key.
 
-    `side` names a column that is 0 or 1; `key`, `ts` and `row_id` must not be NULL.
-    Adds `role` (index into ROLE_NAMES), `flow_t0`, `flow_id` (time and id of the
-    row that started the span) and, on starting rows, `reply_ts`. With
-    `starts_only` just the starting rows come out.
+    `side` names a column that is 0 or 1; `key`, `ts` and `row_id` must not be
+    NULL, and ids stay below 2^62. Adds `reply_ts` on starting rows and, unless
+    `starts_only`, `role` (index into ROLE_NAMES), `flow_t0` and `flow_id` (time
+    and id of the row that started the span). With `starts_only` just the
+    starting rows come out. Rows should be narrow, and keys few and numeric.
     """
     if min(reply_timeout_us, linger_us) <= 0:
         raise ValueError("time limits must be positive")
     if chunk_us < max(reply_timeout_us, linger_us):
         raise ValueError("chunk_us must not be shorter than the time limits")
     kept = rows.columns
-    group = key + ["_chunk"]
-    order = group + ["_ts", "_id"]
+    chunk = F.expr(f"(_ts - pmod(_ts, {chunk_us})) div {chunk_us}")
+    order = [*key, "_ts", "_tag"]
     # Both branches below read the same columns, so Spark shuffles the rows once.
     placed = rows.select(
         *[F.col(k) for k in key],
-        F.expr(f"(`{ts}` - pmod(`{ts}`, {chunk_us})) div {chunk_us}").alias("_chunk"),
         F.col(ts).alias("_ts"),
-        F.col(row_id).alias("_id"),
-        F.col(side).alias("_side"),
+        (F.col(row_id) * 2 + F.col(side)).alias("_tag"),
         *[F.col(k) for k in kept if k not in (*key, ts, row_id, side)],
-    ).repartition(*group)
+    ).repartition(*key, chunk)
 
     group_fields = [rows.schema[k] for k in key] + [T.StructField("_chunk", T.LongType())]
     exit_schema = T.StructType(group_fields + _fields(_EXIT_COLUMNS))
     entry_schema = T.StructType(group_fields + _fields(_ENTRY_COLUMNS))
-    out_schema = T.StructType([rows.schema[k] for k in kept] + _fields(_ROLE_COLUMNS))
+    added = _REPLY_COLUMN if starts_only else _REPLY_COLUMN + _ROLE_COLUMNS
+    out_schema = T.StructType([rows.schema[k] for k in kept] + _fields(added))
     exits = placed.sortWithinPartitions(*order).mapInArrow(
         _exits_fn(key, reply_timeout_us, linger_us, chunk_us, _arrow_schema(exit_schema)),
         exit_schema,
     )
     chained = (
         exits.repartition(*key)
-        .sortWithinPartitions(*group, "case", "until")
+        .sortWithinPartitions(*key, "_chunk", "case", "until")
         .mapInArrow(
             _chain_fn(key, reply_timeout_us, linger_us, chunk_us, _arrow_schema(entry_schema)),
             entry_schema,
         )
     )
-    entries = chained.groupBy(*group).agg(
-        *[F.max(name).alias(name) for name, _ in _ENTRY_COLUMNS]
+    names = [name for name, _ in _ENTRY_COLUMNS]
+    entries = (
+        chained.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_chunk")
+        .agg(*[F.max(name).alias(name) for name in names])
+        .select(
+            *[f"_k{i}" for i in range(len(key))], "_chunk",
+            F.array(*[F.col(name).cast("bigint") for name in names]).alias("_entry"),
+        )
     )
+    same = chunk == F.col("_chunk")
+    for i, k in enumerate(key):
+        same = (F.col(k) == F.col(f"_k{i}")) & same
     source = {ts: "_ts", row_id: "_id", side: "_side"}
+    fold = _fold_fn(
+        key, [source.get(k, k) for k in kept], reply_timeout_us, linger_us, chunk_us,
+        starts_only, _arrow_schema(out_schema),
+    )
     return (
-        placed.join(entries.hint("shuffle_hash"), group, "left")
+        placed.join(entries.hint("shuffle_hash"), same, "left")
+        .select(*placed.columns, "_entry")
         .sortWithinPartitions(*order)
-        .mapInArrow(
-            _fold_fn(
-                key, [source.get(k, k) for k in kept], reply_timeout_us, linger_us,
-                starts_only, _arrow_schema(out_schema),
-            ),
-            out_schema,
-        )
+        .mapInArrow(fold, out_schema)
     )
 
 

@@ -7,7 +7,6 @@ from ..functions import compact_count
 from ..schema import STATUS_FIELDS
 
 NUMBERS = STATUS_FIELDS[1:]
-_SUMMED = tuple(name for name in NUMBERS if name != "nic_oob_d")
 # Printed widths of the TOTAL line, in order.
 _WIDTHS = (10, 8, 8, 10, 8, 8, 9, 8, 10, 8, 8, 10, 10, 10, 5, 10, 12)
 
@@ -124,24 +123,28 @@ def status_total(status: DataFrame, drops: DataFrame) -> DataFrame:
 
     Out-of-band drops are not summed.
     """
-    rows = status.join(drops.select("iface", "app_drop"), "iface", "left").select(
-        "iface", *NUMBERS, F.coalesce("app_drop", F.lit(0)).alias("app_drop")
+    is_total = F.grouping("iface") == 1
+    sums = []
+    for c in (*NUMBERS, "app_drop"):
+        total = F.coalesce(F.sum(c), F.lit(0)) if c != "nic_oob_d" else F.lit(None)
+        sums.append(F.when(is_total, total).otherwise(F.sum(c)).cast("bigint").alias(c))
+    return (
+        status.join(drops.select("iface", "app_drop"), "iface", "left")
+        .withColumn("app_drop", F.coalesce("app_drop", F.lit(0)))
+        .rollup("iface")
+        .agg(is_total.alias("_total"), *sums)
+        .select(F.when(F.col("_total"), "TOTAL").otherwise(F.col("iface")).alias("iface"), *NUMBERS, "app_drop")
     )
-    sums = [
-        (F.coalesce(F.sum(c), F.lit(0)) if c in (*_SUMMED, "app_drop") else F.lit(None))
-        .cast("bigint").alias(c)
-        for c in (*NUMBERS, "app_drop")
-    ]
-    return rows.unionByName(rows.agg(*sums).select(F.lit("TOTAL").alias("iface"), *NUMBERS, "app_drop"))
 
 
 def total_line(totals: DataFrame) -> DataFrame:
     """The TOTAL row as the monitor prints it, in one `value` column."""
-    texts = [F.lit("TOTAL")]
-    texts += [F.lit("-") if c == "nic_oob_d" else compact_count(c) for c in NUMBERS]
-    texts += [compact_count("app_drop"), F.lit("SUM")]
-    cells = [F.rpad(texts[0], _WIDTHS[0], " ")]
-    for text, width in zip(texts[1:], _WIDTHS[1:]):
-        padding = F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.length(text), F.lit(0)))
-        cells.append(F.concat(padding, text))
-    return totals.filter(F.col("iface") == "TOTAL").select(F.concat_ws(" ", *cells).alias("value"))
+    names = [*NUMBERS, "app_drop"]
+    short = F.transform(F.array(*[F.col(c).cast("string") for c in names]), compact_count)
+    cells = [F.coalesce(F.get("_short", F.lit(i)), F.lit("-")) for i in range(len(names))]
+    pattern = " ".join(["%-10s"] + [f"%{width}s" for width in _WIDTHS[1:]])
+    return (
+        totals.filter(F.col("iface") == "TOTAL")
+        .select(short.alias("_short"))
+        .select(F.format_string(pattern, F.lit("TOTAL"), *cells, F.lit("SUM")).alias("value"))
+    )

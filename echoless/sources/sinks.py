@@ -48,9 +48,10 @@ def write_rules(df: DataFrame, path: str, checkpoint: str | None = None):
 
 def write_rollup(df: DataFrame, directory: str) -> None:
     """Append the TOTAL line with its time, and replace the latest one."""
-    line = total_line(df)
+    line = total_line(df).first().value
+    one = df.sparkSession.createDataFrame([(line,)], "value string")
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
-    line.write.mode("overwrite").text(f"{directory}/total.status")
-    line.select(F.concat(F.lit("["), stamp, F.lit("] "), "value").alias("value")).write.mode(
+    one.write.mode("overwrite").text(f"{directory}/total.status")
+    one.select(F.concat(F.lit("["), stamp, F.lit("] "), "value").alias("value")).write.mode(
         "append"
     ).text(f"{directory}/total.log")

@@ -10,18 +10,24 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..schema import CLOCK_ORIGIN_US
 
-_WAITING = "ts_us bigint, pkt_id bigint, side int"
-_STATE = "kind int, at bigint, t0 bigint, first_id bigint, side int"
+_STATE = (
+    "kind int, at bigint, t0 bigint, first_id bigint, side int,"
+    " wait_ts array<bigint>, wait_id array<bigint>, wait_side array<int>"
+)
 _IDLE, _PENDING, _REPLIED = 0, 1, 2
+_NOTHING = (_IDLE, 0, 0, 0, 0)
 
 
-class OrderedFold(StatefulProcessor):
+class OrderedFold:
     """Base: buffers rows, hands them over in order, wakes up when time is due.
 
+    State and timeout of a key travel with its rows in Arrow batches, so a key
+    costs no extra round trip.
+
     Subclasses give `step(state, row)` and `expire(state, now_us)`; both return
     the new state and a list of output tuples. A state is (kind, at, t0, first
     id, side), `at` being the last time that matters.
@@ -32,25 +38,19 @@ class OrderedFold(StatefulProcessor):
     def __init__(self, limits: tuple):
         self.limits = limits
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", _WAITING)
-        self.state = handle.getValueState("state", _STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [
-            row for batch in rows
-            for row in zip(batch["ts_us"].tolist(), batch["pkt_id"].tolist(), batch["side"].tolist())
-        ]
-        yield from self._advance(key, fresh, timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, [], timerValues)
-
-    def _advance(self, key, fresh, timer_values) -> Iterator[pd.DataFrame]:
-        now = timer_values.getCurrentWatermarkInMs() * 1000 - CLOCK_ORIGIN_US
-        rows = sorted([tuple(r) for r in self.waiting.get()] + fresh)
-        state = tuple(self.state.get()) if self.state.exists() else (_IDLE, 0, 0, 0, 0)
+    def __call__(self, key, frames: Iterator[pd.DataFrame], group) -> Iterator[pd.DataFrame]:
+        mark = group.getCurrentWatermarkMs()
+        now = mark * 1000 - CLOCK_ORIGIN_US
+        state, rows = _NOTHING, []
+        if group.exists:
+            stored = group.get
+            state, rows = tuple(stored[:5]), list(zip(*stored[5:8]))
+        if not group.hasTimedOut:
+            for frame in frames:
+                rows += zip(
+                    frame["ts_us"].tolist(), frame["pkt_id"].tolist(), frame["side"].tolist()
+                )
+        rows.sort()
         settled = 0
         out: list[tuple] = []
         for row in rows:
@@ -63,34 +63,23 @@ class OrderedFold(StatefulProcessor):
             out += emitted
         state, emitted = self.expire(state, now)
         out += emitted
-        left = rows[settled:]
-        if left:
-            self.waiting.put(left)
-        else:
-            self.waiting.clear()
-        if state[0] == _IDLE:
-            self.state.clear()
-        else:
-            self.state.update(state)
-        self._wake_at(state, left)
+        self._keep(group, state, rows[settled:], mark)
         if out:
             frame = pd.DataFrame(out, columns=self.columns)
             for name, value in zip(self.key_columns, key):
-                frame.insert(0, name, value)
+                frame[name] = value
             yield frame[self.key_columns + self.columns]
 
-    def _wake_at(self, state, left) -> None:
+    def _keep(self, group, state, left, mark) -> None:
         due = [left[0][0]] if left else []
         if state[0] != _IDLE:
             due.append(self.due(state))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if due:
-            # Timers are whole milliseconds and fire once the watermark is past them.
-            self.handle.registerTimer(-(-(min(due) + CLOCK_ORIGIN_US) // 1000) - 1)
-
-    def close(self) -> None:
-        pass
+        if not due:
+            group.remove()
+            return
+        group.update((*state, *([list(column) for column in zip(*left)] or ([], [], []))))
+        # Timeouts are whole milliseconds and fire once the watermark is past them.
+        group.setTimeoutTimestamp(max(-(-(min(due) + CLOCK_ORIGIN_US) // 1000) - 1, mark, 1))
 
 
 class FlowFold(OrderedFold):
@@ -107,7 +96,7 @@ class FlowFold(OrderedFold):
         if kind == _IDLE or now < self.due(state):
             return state, []
         lost = [("unanswered", side, t0, first_id, None)] if kind == _PENDING else []
-        return (_IDLE, 0, 0, 0, 0), lost
+        return _NOTHING, lost
 
     def step(self, state, row):
         ts, pkt_id, direction = row
@@ -132,7 +121,7 @@ class CooldownFold(OrderedFold):
 
     def expire(self, state, now):
         over = state[0] != _IDLE and now >= self.due(state)
-        return ((_IDLE, 0, 0, 0, 0) if over else state), []
+        return (_NOTHING if over else state), []
 
     def step(self, state, row):
         if state[0] != _IDLE:
@@ -145,15 +134,14 @@ def fold_stream(rows: DataFrame, fold: OrderedFold, schema: str, watermark: str)
     return (
         rows.withWatermark("ts", watermark)
         .groupBy(*fold.key_columns)
-        .transformWithStateInPandas(
-            statefulProcessor=fold, outputStructType=schema, outputMode="Append",
-            timeMode="EventTime",
+        .applyInPandasWithState(
+            fold, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """Keyed state with timers needs the RocksDB state store."""
+    """Keep keyed state outside the JVM heap, as it grows with the open flows."""
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
