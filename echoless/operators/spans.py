@@ -246,13 +246,12 @@ _EXIT_COLUMNS = (
 _REPLY_COLUMN = (("reply_ts", "bigint"),)
 _ROLE_COLUMNS = (("role", "int"), ("flow_t0", "bigint"), ("flow_id", "bigint"))
 _MISSING = np.iinfo(np.int64).min
-_ENTRY_COLUMNS = (
-    ("in_kind", "int"), ("in_at", "bigint"), ("in_side", "int"), ("in_t0", "bigint"),
-    ("in_id", "bigint"), ("next_ts0", "bigint"), ("next_ts1", "bigint"),
-)
+# What a chunk is told: the state it begins in, and the first row of each side
+# in the next chunk.
+_ENTRY_COLUMNS = ("kind", "at", "side", "t0", "first_id", "next_ts0", "next_ts1")
 
 
-def _chain_fn(key, reply_timeout: int, linger: int, chunk_us: int, schema: pa.Schema):
+def _chain_fn(key, reply_timeout: int, linger: int, schema: pa.Schema):
     """Walk the chunks of each key in order and pick each chunk's true exit.
 
     All keys of a batch advance together, one chunk per round.
@@ -313,20 +312,25 @@ def _chain_fn(key, reply_timeout: int, linger: int, chunk_us: int, schema: pa.Sc
             row = np.where(replied & alike, case_at[_AFTER_REPLY, now], row)
             row = np.where(expires, first_step(now, at + reply_timeout), row)
 
-        alive = np.flatnonzero(state["kind"] != _NONE)
-        early = np.flatnonzero(opens - chunk * chunk_us < reply_timeout)
-        picked = np.concatenate([alive, early])
-        carried = np.arange(len(picked)) < len(alive)
-        source = table.take(pa.array(head[picked]))
-        columns = [source[k] for k in key]
-        columns.append(pa.array(chunk[picked] + np.where(carried, 1, -1)))
-        for name, dtype in zip(state, ("int32", "int64", "int32", "int64", "int64")):
-            columns.append(pa.array(state[name][picked].astype(dtype), mask=~carried))
-        for s in (0, 1):
-            first = np.where(opens_side == s, opens, turn_ts)[picked]
-            known = ((opens_side == s) | turns)[picked]
-            columns.append(pa.array(first, mask=carried | ~known))
-        return pa.Table.from_arrays(columns, schema=schema)
+        # A state matters to a chunk that begins before the state runs out, and a
+        # first answer to the chunk before it only while that one still waits.
+        before = np.flatnonzero(follows) - 1
+        after = before + 1
+        waits = state["kind"][before] == _PENDING
+        limit = np.where(waits, reply_timeout, linger)
+        lives = (state["kind"][before] != _NONE) & (opens[after] - state["at"][before] < limit)
+        fields = np.full((len(_ENTRY_COLUMNS), n), _MISSING)
+        for i, name in enumerate(("kind", "at", "side", "t0", "first_id")):
+            fields[i, after[lives]] = state[name][before[lives]]
+        for side in (0, 1):
+            first = np.where(opens_side == side, opens, turn_ts)[after]
+            known = waits & ((opens_side == side) | turns)[after]
+            fields[5 + side, before[known]] = first[known]
+        told = np.flatnonzero((fields != _MISSING).any(axis=0))
+        source = table.take(pa.array(head[told]))
+        offsets = np.arange(len(told) + 1, dtype=np.int32) * len(fields)
+        entries = pa.ListArray.from_arrays(offsets, fields[:, told].T.ravel())
+        return pa.Table.from_arrays([source[k] for k in group] + [entries], schema=schema)
 
     def run(batches):
         for table in whole_groups(batches, lambda t: group_starts(t, key)):
@@ -401,7 +405,7 @@ def _entries(column: pa.ChunkedArray, start: np.ndarray) -> np.ndarray:
     fields = np.full((len(_ENTRY_COLUMNS), len(start)), _MISSING)
     fields[0] = _NONE
     if known.size:
-        flat = pc.fill_null(pc.list_flatten(lists), _MISSING).to_numpy()
+        flat = pc.list_flatten(lists).to_numpy()
         fields[:, known] = flat.reshape(-1, len(_ENTRY_COLUMNS)).T
     # Groups that only know their follow-up begin in no state.
     fields[0, fields[0] == _MISSING] = _NONE
@@ -445,28 +449,24 @@ def fold_spans(
 
     group_fields = [rows.schema[k] for k in key] + [T.StructField("_chunk", T.LongType())]
     exit_schema = T.StructType(group_fields + _fields(_EXIT_COLUMNS))
-    entry_schema = T.StructType(group_fields + _fields(_ENTRY_COLUMNS))
+    entry_schema = T.StructType(
+        [T.StructField(f"_k{i}", rows.schema[k].dataType) for i, k in enumerate(key)]
+        + [
+            T.StructField("_chunk", T.LongType()),
+            T.StructField("_entry", T.ArrayType(T.LongType(), False)),
+        ]
+    )
     added = _REPLY_COLUMN if starts_only else _REPLY_COLUMN + _ROLE_COLUMNS
     out_schema = T.StructType([rows.schema[k] for k in kept] + _fields(added))
     exits = placed.sortWithinPartitions(*order).mapInArrow(
         _exits_fn(key, reply_timeout_us, linger_us, chunk_us, _arrow_schema(exit_schema)),
         exit_schema,
     )
-    chained = (
+    entries = (
         exits.repartition(*key)
         .sortWithinPartitions(*key, "_chunk", "case", "until")
         .mapInArrow(
-            _chain_fn(key, reply_timeout_us, linger_us, chunk_us, _arrow_schema(entry_schema)),
-            entry_schema,
-        )
-    )
-    names = [name for name, _ in _ENTRY_COLUMNS]
-    entries = (
-        chained.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_chunk")
-        .agg(*[F.max(name).alias(name) for name in names])
-        .select(
-            *[f"_k{i}" for i in range(len(key))], "_chunk",
-            F.array(*[F.col(name).cast("bigint") for name in names]).alias("_entry"),
+            _chain_fn(key, reply_timeout_us, linger_us, _arrow_schema(entry_schema)), entry_schema
         )
     )
     same = chunk == F.col("_chunk")
