@@ -81,24 +81,48 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return first
 
 
-def chunk_starts(table: pa.Table, keys: list[str], chunk_us: int) -> np.ndarray:
-    """True at the first row of each (key, time chunk) of sorted rows."""
-    first = group_starts(table, keys)
-    chunk = np.floor_divide(table["_ts"].to_numpy(), chunk_us)
-    first[1:] |= chunk[1:] != chunk[:-1]
-    return first
+def _in_order(table: pa.Table, key: list[str], chunk_us: int):
+    """Row order by (key, time, tag), and the first rows of each (key, chunk).
+
+    Spark sorts on a hash of (key, chunk) alone, which is one fast radix sort;
+    order inside a group is settled here, and so are hash collisions.
+    """
+    group, ts, tag = (table[c].to_numpy() for c in ("_group", "_ts", "_tag"))
+    order = np.lexsort((ts, group))
+    group, ts = group[order], ts[order]
+    first = np.ones(len(ts), dtype=bool)
+    first[1:] = group[1:] != group[:-1]
+    tied = ~first[1:] & (ts[1:] == ts[:-1])
+    columns = [_codes(table[k]) for k in key]
+    mixed = any((x[order][1:] != x[order][:-1])[~first[1:]].any() for x in columns)
+    if mixed or tied.any():
+        order = np.lexsort((tag, table["_ts"].to_numpy(), *columns[::-1]))
+        ts = table["_ts"].to_numpy()[order]
+        chunk = np.floor_divide(ts, chunk_us)
+        first[1:] = chunk[1:] != chunk[:-1]
+        for x in columns:
+            first[1:] |= x[order][1:] != x[order][:-1]
+    return order, first
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers that are equal exactly where the column is."""
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy()
+    encoded = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    return encoded.indices.to_numpy()
 
 
 class _Chunk:
-    """Sorted rows of many (key, chunk) groups and the span links between them.
+    """Rows of many (key, chunk) groups in order, and the span links between them.
 
     Index arrays; `end` of a row is the index after its group's last row.
     """
 
     def __init__(self, table: pa.Table, key, reply_timeout: int, linger: int, chunk_us: int):
-        self.ts, tag = table["_ts"].to_numpy(), table["_tag"].to_numpy()
+        self.order, first = _in_order(table, key, chunk_us)
+        self.ts, tag = table["_ts"].to_numpy()[self.order], table["_tag"].to_numpy()[self.order]
         self.id, self.side = tag >> 1, tag & 1
-        first = chunk_starts(table, key, chunk_us)
         n = self.n = len(self.ts)
         self.start = np.flatnonzero(first)
         self.group = np.cumsum(first) - 1
@@ -219,7 +243,7 @@ def _exits_fn(key: list[str], reply_timeout: int, linger: int, chunk_us: int, sc
         )
         at = np.where(swallowed, heard, at)
         turn_ts = np.where(turn < end, c.ts[np.minimum(turn, c.n - 1)], -1)
-        columns = [table[k].take(pa.array(start[g])) for k in key]
+        columns = [table[k].take(pa.array(c.order[start[g]])) for k in key]
         columns += [
             pa.array(x)
             for x in (
@@ -232,7 +256,7 @@ def _exits_fn(key: list[str], reply_timeout: int, linger: int, chunk_us: int, sc
         return pa.Table.from_arrays(columns, schema=schema)
 
     def run(batches):
-        for table in whole_groups(batches, lambda t: chunk_starts(t, key, chunk_us)):
+        for table in whole_groups(batches, lambda t: group_starts(t, ["_group"])):
             yield from exits(table).to_batches()
 
     return run
@@ -345,7 +369,9 @@ def _fold_fn(key, kept, reply_timeout, linger, chunk_us, starts_only, schema):
     def fold(table: pa.Table) -> pa.Table:
         c = _Chunk(table, key, reply_timeout, linger, chunk_us)
         start, end, n = c.start, c.group_end, c.n
-        kind, at, in_side, in_t0, in_id, next0, next1 = _entries(table["_entry"], start)
+        kind, at, in_side, in_t0, in_id, next0, next1 = _entries(
+            table["_entry"], c.order[start]
+        )
         pending, lingering = kind == _PENDING, kind == _REPLIED
         answer = np.where(c.side[start] == in_side, c.answer[start], start)
         replied = pending & c._in_time(answer, at, end)
@@ -381,28 +407,29 @@ def _fold_fn(key, kept, reply_timeout, linger, chunk_us, starts_only, schema):
         )
         reply_ts = np.where(later, opposite, c.ts[np.minimum(c.answer, n - 1)])
         no_reply = ~(created & (c.answered | later))
-        made = {"_id": c.id, "_side": c.side.astype(np.int32)}
-        out = [pa.array(made[x]) if x in made else table[x] for x in kept]
-        out.append(pa.array(reply_ts, mask=no_reply))
-        if starts_only:
-            return pa.Table.from_arrays(out, schema=schema).filter(pa.array(created))
-        t0 = np.where(inherited, in_t0[c.group], c.ts[owner])
-        first_id = np.where(inherited, in_id[c.group], c.id[owner])
-        out += [pa.array(role.astype(np.int32)), pa.array(t0), pa.array(first_id)]
+        shown = np.flatnonzero(created) if starts_only else np.arange(n)
+        picked = pa.array(c.order[shown])
+        made = {"_id": c.id, "_ts": c.ts, "_side": c.side.astype(np.int32)}
+        out = [pa.array(made[x][shown]) if x in made else table[x].take(picked) for x in kept]
+        out.append(pa.array(reply_ts[shown], mask=no_reply[shown]))
+        if not starts_only:
+            t0 = np.where(inherited, in_t0[c.group], c.ts[owner])
+            first_id = np.where(inherited, in_id[c.group], c.id[owner])
+            out += [pa.array(role.astype(np.int32)), pa.array(t0), pa.array(first_id)]
         return pa.Table.from_arrays(out, schema=schema)
 
     def run(batches):
-        for table in whole_groups(batches, lambda t: chunk_starts(t, key, chunk_us)):
+        for table in whole_groups(batches, lambda t: group_starts(t, ["_group"])):
             yield from fold(table).to_batches()
 
     return run
 
 
-def _entries(column: pa.ChunkedArray, start: np.ndarray) -> np.ndarray:
-    """The state in which each group begins; one row per entry field."""
-    lists = column.combine_chunks().take(pa.array(start))
+def _entries(column: pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
+    """What the groups of these rows are told; one row per entry field."""
+    lists = column.combine_chunks().take(pa.array(rows))
     known = np.flatnonzero(pc.is_valid(lists).to_numpy(zero_copy_only=False))
-    fields = np.full((len(_ENTRY_COLUMNS), len(start)), _MISSING)
+    fields = np.full((len(_ENTRY_COLUMNS), len(rows)), _MISSING)
     fields[0] = _NONE
     if known.size:
         flat = pc.list_flatten(lists).to_numpy()
@@ -438,7 +465,7 @@ def fold_spans(
         raise ValueError("chunk_us must not be shorter than the time limits")
     kept = rows.columns
     chunk = F.expr(f"(_ts - pmod(_ts, {chunk_us})) div {chunk_us}")
-    order = [*key, "_ts", "_tag"]
+    grouped = F.xxhash64(*[F.col(k) for k in key], chunk).alias("_group")
     # Both branches below read the same columns, so Spark shuffles the rows once.
     placed = rows.select(
         *[F.col(k) for k in key],
@@ -458,7 +485,7 @@ def fold_spans(
     )
     added = _REPLY_COLUMN if starts_only else _REPLY_COLUMN + _ROLE_COLUMNS
     out_schema = T.StructType([rows.schema[k] for k in kept] + _fields(added))
-    exits = placed.sortWithinPartitions(*order).mapInArrow(
+    exits = placed.select("*", grouped).sortWithinPartitions("_group").mapInArrow(
         _exits_fn(key, reply_timeout_us, linger_us, chunk_us, _arrow_schema(exit_schema)),
         exit_schema,
     )
@@ -479,8 +506,8 @@ def fold_spans(
     )
     return (
         placed.join(entries.hint("shuffle_hash"), same, "left")
-        .select(*placed.columns, "_entry")
-        .sortWithinPartitions(*order)
+        .select(*placed.columns, "_entry", grouped)
+        .sortWithinPartitions("_group")
         .mapInArrow(fold, out_schema)
     )
 

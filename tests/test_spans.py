@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from brute import fold
-from echoless.operators.spans import ROLE_NAMES, fold_spans, group_starts, whole_groups
+from echoless.operators.spans import ROLE_NAMES, _in_order, fold_spans, group_starts, whole_groups
 
 SCHEMA = "k bigint, ts bigint, id bigint, side int"
 
@@ -57,6 +57,22 @@ def test_groups_are_never_cut():
     assert all(not (a & b) for i, a in enumerate(seen) for b in seen[i + 1:])
 
 
+def test_hash_collisions_and_ties_are_settled():
+    rng = random.Random(8)
+    rows = [(rng.randrange(4), rng.randrange(40), tag) for tag in range(300)]
+    rng.shuffle(rows)
+    table = pa.table({
+        "k": [r[0] for r in rows], "_group": [0] * len(rows),
+        "_ts": [r[1] for r in rows], "_tag": [r[2] for r in rows],
+    })
+    order, first = _in_order(table, ["k"], 10)
+    ordered = [rows[i] for i in order]
+    assert ordered == sorted(rows)
+    cuts = [i == 0 or (r[0], r[1] // 10) != (ordered[i - 1][0], ordered[i - 1][1] // 10)
+            for i, r in enumerate(ordered)]
+    assert first.tolist() == cuts
+
+
 def test_small_batches_change_nothing(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
