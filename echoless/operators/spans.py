@@ -88,20 +88,28 @@ def _in_order(table: pa.Table, key: list[str], chunk_us: int):
     order inside a group is settled here, and so are hash collisions.
     """
     group, ts, tag = (table[c].to_numpy() for c in ("_group", "_ts", "_tag"))
-    order = np.lexsort((ts, group))
-    group, ts = group[order], ts[order]
     first = np.ones(len(ts), dtype=bool)
-    first[1:] = group[1:] != group[:-1]
-    tied = ~first[1:] & (ts[1:] == ts[:-1])
+    first[1:] = group[1:] != group[:-1]  # groups arrive together
+    order = np.argsort((np.cumsum(first) - 1) * chunk_us + ts % chunk_us)
     columns = [_codes(table[k]) for k in key]
-    mixed = any((x[order][1:] != x[order][:-1])[~first[1:]].any() for x in columns)
-    if mixed or tied.any():
-        order = np.lexsort((tag, table["_ts"].to_numpy(), *columns[::-1]))
-        ts = table["_ts"].to_numpy()[order]
-        chunk = np.floor_divide(ts, chunk_us)
+    same_key = np.ones(len(ts) - 1, dtype=bool)
+    for x in columns:
+        x = x[order]
+        same_key &= x[1:] == x[:-1]
+    if not (same_key | first[1:]).all():
+        order = np.lexsort((tag, ts, *columns[::-1]))
+        chunk = np.floor_divide(ts, chunk_us)[order]
         first[1:] = chunk[1:] != chunk[:-1]
         for x in columns:
             first[1:] |= x[order][1:] != x[order][:-1]
+        return order, first
+    ts = ts[order]
+    tied = np.flatnonzero(~first[1:] & (ts[1:] == ts[:-1])) + 1
+    if tied.size:
+        members = np.union1d(tied - 1, tied)
+        run = np.cumsum(~np.isin(members, tied))
+        rows = order[members]
+        order[members] = rows[np.lexsort((tag[rows], run))]
     return order, first
 
 

@@ -57,12 +57,15 @@ def test_groups_are_never_cut():
     assert all(not (a & b) for i, a in enumerate(seen) for b in seen[i + 1:])
 
 
-def test_hash_collisions_and_ties_are_settled():
+@pytest.mark.parametrize("collide", [True, False])
+def test_hash_collisions_and_ties_are_settled(collide):
     rng = random.Random(8)
     rows = [(rng.randrange(4), rng.randrange(40), tag) for tag in range(300)]
     rng.shuffle(rows)
+    rows.sort(key=lambda r: (r[0], r[1] // 10))
+    groups = [0 if collide else r[0] * 100 + r[1] // 10 for r in rows]
     table = pa.table({
-        "k": [r[0] for r in rows], "_group": [0] * len(rows),
+        "k": [r[0] for r in rows], "_group": groups,
         "_ts": [r[1] for r in rows], "_tag": [r[2] for r in rows],
     })
     order, first = _in_order(table, ["k"], 10)
