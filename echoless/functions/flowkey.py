@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..schema import ICMP, TCP, UDP
 from .address import _col
@@ -84,7 +85,7 @@ _MIX_ADD = np.uint64(0x9E3779B97F4A7C15)
 _MIX_MUL = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _mix_pair(low: pd.Series, high: pd.Series, proto: pd.Series) -> pd.Series:
     u = np.uint64
     lo, hi = low.to_numpy().astype(u), high.to_numpy().astype(u)
