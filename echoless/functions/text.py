@@ -43,7 +43,7 @@ def compact_count(c) -> Column:
         digits = F.when(
             size >= 1e3, F.concat(_let(size / unit, _one_decimal), suffix)
         ).otherwise(F.format_string("%.0f", size))
-        return F.concat(F.when(n < 0, "-").otherwise(""), digits)
+        return F.when(n.isNotNull(), F.concat(F.when(n < 0, "-").otherwise(""), digits))
 
     return F.coalesce(_let(number, short), text)
 
