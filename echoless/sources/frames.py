@@ -5,18 +5,27 @@ from pyspark.sql import functions as F
 
 from ..schema import ETHERNET_BYTES, ICMP, IPIP, TCP, UDP
 
-_IPV4_ETHERTYPE = 0x0800
+_IPV4_ETHERTYPE = "0800"
 
 
-def _number(byte: Column, size: int) -> Column:
+def _text(byte: Column, size: int) -> Column:
+    return F.substring(F.col("_text"), byte * 2 + 1, F.lit(size * 2))
+
+
+def _digit(byte: Column, half: int) -> Column:
+    """One half of a byte; -1 past the end of the frame."""
+    digit = F.substring(F.col("_text"), byte * 2 + 1 + half, F.lit(1))
+    return F.when(digit == "", -1).otherwise(F.instr(F.lit("0123456789ABCDEF"), digit) - 1)
+
+
+def _word(byte: Column, size: int = 4) -> Column:
     """Big-endian number at a byte offset of the frame; NULL past its end."""
-    inside = byte + size <= F.col("_size")
-    text = F.substring(F.col("_text"), byte * 2 + 1, F.lit(size * 2))
-    return F.when(inside, F.conv(text, 16, 10).cast("bigint"))
+    number = F.conv(_text(byte, size), 16, 10).cast("bigint")
+    return F.when(byte + size <= F.col("_size"), number)
 
 
-def _small(byte: Column, size: int) -> Column:
-    return _number(byte, size).cast("int")
+def _bits(word: str, shift: int, mask: int) -> Column:
+    return F.shiftright(F.col(word), shift).bitwiseAND(mask).cast("int")
 
 
 def decode_frames(df: DataFrame, col: str = "frame") -> DataFrame:
@@ -25,47 +34,52 @@ def decode_frames(df: DataFrame, col: str = "frame") -> DataFrame:
     Other frames, and tunnels whose inner packet is not IPv4, drop out. Ports,
     flags and ICMP fields are read from first fragments only; fields that the
     capture cut off are NULL, ports of other protocols 0.
+
+    Frames are told apart on their hex text; only kept ones have their fields
+    converted to numbers, neighbouring fields together.
     """
     outer = F.lit(ETHERNET_BYTES)
-    outer_head = _small(outer, 1).bitwiseAND(15) * 4
+    tunnel = _text(outer + 9, 1) == f"{IPIP:02X}"
     staged = (
-        df.withColumn("_text", F.hex(col))
-        .withColumn("_size", F.octet_length(col))
-        .filter(_number(F.lit(12), 2) == _IPV4_ETHERTYPE)
-        .filter(F.shiftright(_small(outer, 1), 4) == 4)
-        .withColumn(
-            "_ip", F.when(_small(outer + 9, 1) == IPIP, outer + outer_head).otherwise(outer)
-        )
+        df.withColumns({"_text": F.hex(col), "_size": F.octet_length(col)})
+        .filter((_text(F.lit(12), 2) == _IPV4_ETHERTYPE) & (_digit(outer, 0) == 4))
+        .withColumn("_ip", F.when(tunnel, outer + _digit(outer, 1) * 4).otherwise(outer))
     )
     ip = F.col("_ip")
-    staged = (
-        staged.withColumn("ip_version", F.shiftright(_small(ip, 1), 4))
-        .filter(F.col("ip_version") == 4)
-        .withColumn("_head", _small(ip, 1).bitwiseAND(15) * 4)
-        .withColumn("proto", _small(ip + 9, 1))
-        .withColumn("frag_offset", _small(ip + 6, 2).bitwiseAND(0x1FFF))
-        .withColumn("_l4", ip + F.col("_head"))
+    staged = staged.filter(_digit(ip, 0) == 4).withColumns(
+        {
+            "_head": _digit(ip, 1) * 4,
+            "ip_len": _word(ip + 2, 2).cast("int"),
+            "_mid": _word(ip + 6),
+            "src_ip": _word(ip + 12),
+            "dst_ip": _word(ip + 16),
+        }
+    ).withColumns(
+        {
+            "ip_version": F.lit(4),
+            "frag_offset": _bits("_mid", 16, 0x1FFF),
+            "ttl": _bits("_mid", 8, 255),
+            "proto": _bits("_mid", 0, 255),
+        }
     )
-    l4, first = F.col("_l4"), F.col("frag_offset") == 0
-    proto = F.col("proto")
+    l4 = ip + F.col("_head")
+    staged = staged.withColumns({"_ports": _word(l4), "_flags": _word(l4 + 13, 1)})
+    first, proto = F.col("frag_offset") == 0, F.col("proto")
     ported = first & proto.isin(TCP, UDP)
-
-    def port(byte):
-        return F.when(ported, _small(byte, 2)).otherwise(0)
-
+    icmp = first & (proto == ICMP)
     return staged.select(
         *[c for c in df.columns if c != col],
         "ip_version",
         proto,
-        _number(ip + 12, 4).alias("src_ip"),
-        _number(ip + 16, 4).alias("dst_ip"),
-        port(l4).alias("src_port"),
-        port(l4 + 2).alias("dst_port"),
+        "src_ip",
+        "dst_ip",
+        F.when(ported, _bits("_ports", 16, 0xFFFF)).otherwise(0).alias("src_port"),
+        F.when(ported, _bits("_ports", 0, 0xFFFF)).otherwise(0).alias("dst_port"),
         "frag_offset",
-        _small(ip + 2, 2).alias("ip_len"),
-        _small(ip + 8, 1).alias("ttl"),
-        F.when(first & (proto == TCP), _small(l4 + 13, 1)).alias("tcp_flags"),
-        F.when(first & (proto == ICMP), _small(l4, 1)).alias("icmp_type"),
-        F.when(first & (proto == ICMP), _small(l4 + 1, 1)).alias("icmp_code"),
-        (_small(ip + 2, 2) - F.col("_head")).alias("payload_len"),
+        "ip_len",
+        "ttl",
+        F.when(first & (proto == TCP), F.col("_flags").cast("int")).alias("tcp_flags"),
+        F.when(icmp, _bits("_ports", 24, 255)).alias("icmp_type"),
+        F.when(icmp, _bits("_ports", 16, 255)).alias("icmp_code"),
+        (F.col("ip_len") - F.col("_head")).alias("payload_len"),
     )
