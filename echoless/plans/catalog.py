@@ -508,9 +508,9 @@ def epoch_occupancy(spark, d):
 
 @_query("""
 select count(*) as pkt_count,
-  count_if(not bypass and frag_offset = 0 and proto = 6) as tcp_count,
-  count_if(not bypass and frag_offset = 0 and proto = 17) as udp_count,
-  count_if(not bypass and frag_offset = 0 and proto = 1) as icmp_count from captured""")
+  count(case when not bypass and frag_offset = 0 and proto = 6 then 1 end) as tcp_count,
+  count(case when not bypass and frag_offset = 0 and proto = 17 then 1 end) as udp_count,
+  count(case when not bypass and frag_offset = 0 and proto = 1 then 1 end) as icmp_count from captured""")
 def packet_counts(spark, d):
     captured = filters.capture_filter(fx.packets_ext(spark, d))
     return counters.packet_counts(captured, fx.subnets(spark))
@@ -593,9 +593,9 @@ def receive_backlog(spark, d):
 
 
 @_query("""
-select count_if(not truncated and verdict = 'ok') as pkts_ok, count_if(not truncated and verdict = 'bad') as pkts_bad,
-  count_if(truncated or verdict = 'trunc') as pkts_trunc,
-  count_if(not truncated and (verdict <> 'ok' or cnt = 0)) as sock_drop,
+select count(case when not truncated and verdict = 'ok' then 1 end) as pkts_ok, count(case when not truncated and verdict = 'bad' then 1 end) as pkts_bad,
+  count(case when truncated or verdict = 'trunc' then 1 end) as pkts_trunc,
+  count(case when not truncated and (verdict <> 'ok' or cnt = 0) then 1 end) as sock_drop,
   cast(coalesce(sum(case when not truncated and verdict = 'ok' then cnt end), 0) as bigint) as rules_in from datagrams""")
 def datagram_quality(spark, d):
     return wire.datagram_quality(
@@ -606,7 +606,7 @@ def datagram_quality(spark, d):
 @_query("""
 select least(depth, 10) as depth, cast(sum(n) as bigint) as n_buckets,
   (select avg(c) from bucket_depths) as mean_depth, (select max(c) from bucket_depths) as max_depth,
-  (select count_if(c > 1) / count(*) from bucket_depths) as colliding_share,
+  (select count(case when c > 1 then 1 end) / count(*) from bucket_depths) as colliding_share,
   (select min(d) from (select least(c, 10) as d, (select count(*) from bucket_depths b2 where least(b2.c, 10) <= least(b1.c, 10)) as upto,
     (select (99 * count(*) + 99) // 100 from bucket_depths) as target from bucket_depths b1) where upto >= target) as p99_depth
 from (select c as depth, count(*) as n from bucket_depths group by c) group by least(depth, 10)""")
@@ -633,14 +633,14 @@ def table_usage(spark, d):
 
 
 _TOTAL_SQL = ", ".join(
-    "null as nic_oob_d" if c.strip() == "nic_oob_d" else f"sum({c.strip()}) as {c.strip()}"
+    "null as nic_oob_d" if c.strip() == "nic_oob_d" else f"cast(sum({c.strip()}) as bigint) as {c.strip()}"
     for c in _STATUS_COLUMNS.split(",")
 )
 
 
 @_query(f"""
 select iface, {_STATUS_COLUMNS}, app_drop from latest_status join drop_log using (iface)
-union all select 'TOTAL', {_TOTAL_SQL}, sum(app_drop) from latest_status join drop_log using (iface)""")
+union all select 'TOTAL', {_TOTAL_SQL}, cast(sum(app_drop) as bigint) from latest_status join drop_log using (iface)""")
 def status_total(spark, d):
     return status.status_total(_latest_status(spark, d), status.parse_drop_log(fx.log_lines(spark, d)))
 
@@ -737,9 +737,9 @@ def radiation_split(spark, d):
 
 
 @_query("""
-select dst_ip, dst_port, proto, count_if(status = 'unanswered') as requests,
+select dst_ip, dst_port, proto, count(case when status = 'unanswered' then 1 end) as requests,
   count(distinct case when status = 'unanswered' then src_ip end) as clients from flows
-group by dst_ip, dst_port, proto having count_if(status = 'replied') = 0 and count_if(status = 'unanswered') > 0""")
+group by dst_ip, dst_port, proto having count(case when status = 'replied' then 1 end) = 0 and count(case when status = 'unanswered' then 1 end) > 0""")
 def dead_services(spark, d):
     return reports.dead_services(flows.flow_starts(fx.packets(spark, d)))
 
@@ -761,8 +761,8 @@ def misconfigured_hosts(spark, d):
 
 
 @_query(f"""
-select t0 - t0 % 10000000 as window_us, dst_ip, dst_port, proto, count_if(status = 'replied') as replied,
-  count_if(status = 'unanswered') as unanswered, count_if(status = 'replied') / count(*) as ratio
+select t0 - t0 % 10000000 as window_us, dst_ip, dst_port, proto, count(case when status = 'replied' then 1 end) as replied,
+  count(case when status = 'unanswered' then 1 end) as unanswered, count(case when status = 'replied' then 1 end) / count(*) as ratio
 from flows where status <> 'open' and dst_ip {_INTERNAL_HOST} group by all""")
 def answer_ratio(spark, d):
     return reports.answer_ratio(
@@ -905,7 +905,7 @@ _ACTIVITY_MARK = "((select max(ts_us) from activity) // 1000 * 1000 - 1000000)"
 
 @_query(f"""
 select ip, port, proto, min(case when is_rule then ts_us end) as start_us, max(ts_us) + 5000000 as end_us,
-  count_if(not is_rule) as n_hits from lives group by ip, port, proto, life
+  count(case when not is_rule then 1 end) as n_hits from lives group by ip, port, proto, life
 having start_us is not null and max(ts_us) + 5000000 <= {_ACTIVITY_MARK}""")
 def rule_sessions_stream(spark, d):
     path = shared_dir(spark)

@@ -44,7 +44,7 @@ CTES = {
   from ev f join ordered o on o.proto = f.proto and o.ep_lo = f.ep_lo and o.ep_hi = f.ep_hi and o.rn = f.rn + 1""",
     "flow_rows": """select proto, ep_lo, ep_hi, t0, first_pkt_id, max(side0) as side0,
   max(case when event = 'replied' then ts_us end) as reply_ts, max(ts_us) as last_ts,
-  count_if(event = 'dup_request') as n_dup, count_if(event = 'linger') as n_linger
+  count(case when event = 'dup_request' then 1 end) as n_dup, count(case when event = 'linger' then 1 end) as n_linger
   from ev group by proto, ep_lo, ep_hi, t0, first_pkt_id""",
     "flows": """select *,
   (case when side0 = 0 then ep_lo else ep_hi end) // 65536 as src_ip,
@@ -78,7 +78,7 @@ CTES = {
   from (select *, case when ts_us - lag(ts_us) over (partition by ip, port, proto order by ts_us, is_rule) > 5000000
   then 1 else 0 end as brk from activity)""",
     "intervals": """select ip, port, proto, start_us, end_us,
-  count_if(not is_rule and ts_us >= start_us) as n_hits from (
+  count(case when not is_rule and ts_us >= start_us then 1 end) as n_hits from (
   select *, min(case when is_rule then ts_us end) over (partition by ip, port, proto, life) as start_us,
   max(ts_us) over (partition by ip, port, proto, life) + 5000000 as end_us from lives)
   where start_us is not null group by ip, port, proto, start_us, end_us""",
@@ -125,7 +125,7 @@ CTES = {
   case when k % 13 = 0 and k % 7 <> 0 and k % 11 <> 0 then 0 else n_rules end as cnt, message from numbered""",
     "trials": """select 64 * cast(pow(2, user_id % 6) as int) as batch_size, cast(user_id % 6 as int) as pos,
   cast(event_id % 3 as int) as round, 50000 as target_rules, 50000 - v % 100 as installed_rules,
-  v % 100 as dropped_rules, 1.5 as elapsed_sec, cast(v % 4096 as double) as throughput,
+  v % 100 as dropped_rules, cast(1.5 as double) as elapsed_sec, cast(v % 4096 as double) as throughput,
   case when v % 10 = 0 then 1 else 0 end as batch_fail from e""",
     "per_size": """select batch_size, min(pos) as pos, count(*) as rounds, avg(throughput) as avg_throughput,
   sum(installed_rules) / sum(target_rules) as ok_ratio, cast(sum(batch_fail) as bigint) as batch_fail
@@ -133,7 +133,7 @@ CTES = {
     "bucket_depths": """select count(*) as c from (select distinct proto, ep_lo, ep_hi from keyed)
   group by (ep_lo * 31 + ep_hi) % 4001""",
     "ports": """select 64 + (src_ip + dst_ip) % 2 as port, ts_us // 1000000 as s,
-  count_if(dst_in) as rx, count_if(not dst_in) as tx from keyed group by all""",
+  count(case when dst_in then 1 end) as rx, count(case when not dst_in then 1 end) as tx from keyed group by all""",
     "port_rows": """select port, (s + 1) * 1000000 as ts_us,
   cast(sum(rx) over (partition by port order by s rows unbounded preceding) as bigint) as rx,
   cast(sum(tx) over (partition by port order by s rows unbounded preceding) as bigint) as tx from ports""",
