@@ -1,6 +1,5 @@
 """Where jobs put tables that other tasks read back."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,13 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """A new directory in the cluster's shared folder.
 
-    The cluster names it in spark.checkpoint.dir; only a session without one,
-    as in local tests, gets a temporary folder of its own.
+    The cluster names it in spark.checkpoint.dir. A session without one uses a
+    folder in its warehouse, which is shared as well; never a machine's own
+    temporary folder, which other executors could not read.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = tempfile.mkdtemp(prefix="echoless-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return f"{base.rstrip('/')}/echoless-{uuid.uuid4().hex}"
 
 
