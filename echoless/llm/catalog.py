@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from echoless.llm import mixing
+from echoless.llm import decontaminate, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +27,11 @@ def op2_mix_sources(spark, d):
     """Words that the mixture takes from every document."""
     taken = mixing.taken_words(_table(spark, d, "documents"))
     return taken.select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
+@_query
+def op3_decontaminate(spark, d):
+    """How much of every document stands in benchmark items too."""
+    found = decontaminate.contamination(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
