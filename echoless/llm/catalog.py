@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoless.llm import decontaminate, mixing
+from echoless.llm import decontaminate, mixing, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,11 @@ def op3_decontaminate(spark, d):
     found = decontaminate.contamination(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@_query
+def op5_scan_secrets(spark, d):
+    """Secrets of every document, and whether their values look live."""
+    found = secret_scan.scan_secrets(_table(spark, d, "documents"))
+    digest = F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest, F.col("lines").alias("spans"), "n_live", "n_example")
