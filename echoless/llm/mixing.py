@@ -20,8 +20,10 @@ from echoless.llm.storage import stored
 WORD = r"[^\x20\x09-\x0D]+"
 #: Primes above any number of blocks that a source can have, so each is coprime to it. Fixed values.
 PRIMES = (2305843009213693951, 2305843009213693921, 2305843009213693907, 2305843009213693723)
-#: Rows that one task numbers or expands at a time.
+#: Slots, or groups of rows, that one task numbers or expands at a time.
 RUN = 4096
+#: Rows of a group whose words one task puts in order.
+GROUP = 256
 
 
 def _numbered(keys: DataFrame, order: str) -> DataFrame:
@@ -62,9 +64,9 @@ def _offsets(docs: DataFrame) -> DataFrame:
     """Where each row's words start in the stream of its source.
 
     A source may hold a third of all rows: rows are dealt to groups of about
-    RUN rows by hash, groups are summed first, and only sums are put in order.
+    GROUP rows by hash, groups are summed first, and only sums are put in order.
     """
-    n_groups = docs.count() // RUN + 1
+    n_groups = docs.count() // GROUP + 1
     group = F.pmod(F.xxhash64("doc_id", "row_id"), F.lit(n_groups))
     docs = docs.withColumn("_group", group)
     sums = docs.groupBy("source_id", "_group").agg(F.sum("size").alias("_size"))
@@ -164,7 +166,8 @@ def mix_sources(
     rows = sourced.select("row_id", "doc_id", "p.source", "size", "source_id", "source_size", "target")
     parts = _blocks(_offsets(rows.select("row_id", "doc_id", "source_id", "size")), block)
     drawn = slots(targets, block, shard_slots, seed)
-    met = parts.alias("b").join(drawn.alias("s"), ["source_id", "block"])
+    # Spark takes what explode() makes for as small as its input and would broadcast it.
+    met = parts.alias("b").hint("merge").join(drawn.alias("s"), ["source_id", "block"])
     taken = F.least(F.col("b.n_words"), F.col("s.n_words") - F.col("in_block"))
     mixture = met.select("shard", "source_id", "slot", "row_id", "from_word", taken.alias("n_words")).filter("n_words > 0")
     return rows.drop("source_id"), mixture
