@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoless.llm import decontaminate, mixing, secret_scan
+from echoless.llm import decontaminate, mixing, repeats, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,10 @@ def op5_scan_secrets(spark, d):
     found = secret_scan.scan_secrets(_table(spark, d, "documents"))
     digest = F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", "n_assign", "n_access", "n_hex", digest, F.col("lines").alias("spans"), "n_live", "n_example")
+
+
+@_query
+def op9_remove_repeats(spark, d):
+    """What stays of every document when passages of earlier ones go."""
+    found = repeats.remove_repeats(_table(spark, d, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
