@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoless.llm import decontaminate, mixing, repeats, secret_scan
+from echoless.llm import decontaminate, mixing, repeats, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,10 @@ def op9_remove_repeats(spark, d):
     """What stays of every document when passages of earlier ones go."""
     found = repeats.remove_repeats(_table(spark, d, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@_query
+def op1_near_duplicates(spark, d):
+    """Fingerprint and group of near copies of every document."""
+    found = simhash.near_duplicates(_table(spark, d, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
