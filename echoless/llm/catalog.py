@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoless.llm import decontaminate, mixing, repeats, secret_scan, simhash
+from echoless.llm import decontaminate, mixing, repeats, secret_scan, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,9 @@ def op1_near_duplicates(spark, d):
     """Fingerprint and group of near copies of every document."""
     found = simhash.near_duplicates(_table(spark, d, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+@_query
+def op10_toxicity(spark, d):
+    """Toxicity of every document."""
+    return toxicity.score_toxicity(_table(spark, d, "documents"), _table(spark, d, "labels"))
