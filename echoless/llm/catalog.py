@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoless.llm import decontaminate, mixing, repeats, secret_scan, simhash, toxicity
+from echoless.llm import decontaminate, html_text, mixing, repeats, secret_scan, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,9 @@ def op1_near_duplicates(spark, d):
 def op10_toxicity(spark, d):
     """Toxicity of every document."""
     return toxicity.score_toxicity(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
+@_query
+def op7_extract_html(spark, d):
+    """Main text of every page."""
+    return html_text.extract(_table(spark, d, "pages"))
