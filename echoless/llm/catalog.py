@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoless.llm import decontaminate, html_text, mixing, repeats, secret_scan, simhash, toxicity
+from echoless.llm import decontaminate, html_text, mixing, neighbours, repeats, secret_scan, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,9 @@ def op10_toxicity(spark, d):
 def op7_extract_html(spark, d):
     """Main text of every page."""
     return html_text.extract(_table(spark, d, "pages"))
+
+
+@_query
+def op6_nearest_neighbours(spark, d):
+    """The ten nearest rows of every hundredth row."""
+    return neighbours.search(_table(spark, d, "embeddings"))

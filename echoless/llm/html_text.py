@@ -276,11 +276,13 @@ def extract(pages: DataFrame, crf: Field | None = None) -> DataFrame:
     A page that is null, empty or without main text gives an empty text. Rows
     that repeat are read each on its own; other columns are left alone.
     """
-    model = pages.sparkSession.sparkContext.broadcast(crf or fit(pages))
+    crf = crf or fit(pages)
+    sent = pages.sparkSession.sparkContext.broadcast((crf.weights, crf.pairs, crf.first))  # plain values: executors need not have this module
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Field(*sent.value)
         for batch in batches:
-            texts = [main_text(page or "", model.value) for page in batch.column("html").to_pylist()]
+            texts = [main_text(page or "", own) for page in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
