@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoless.llm import decontaminate, html_text, mixing, neighbours, repeats, secret_scan, simhash, toxicity
+import corpus_pipeline
+from echoless.llm import decontaminate, html_text, licenses, mixing, neighbours, quality, repeats, secret_scan, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +76,30 @@ def op7_extract_html(spark, d):
 def op6_nearest_neighbours(spark, d):
     """The ten nearest rows of every hundredth row."""
     return neighbours.search(_table(spark, d, "embeddings"))
+
+
+@_query
+def op4_quality(spark, d):
+    """Quality of every document."""
+    return quality.score_quality(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
+@_query
+def op8_scan_licenses(spark, d):
+    """License texts and notices in every document."""
+    found = licenses.scan_licenses(_table(spark, d, "documents"))
+    return found.select(
+        "doc_id", "n_words", F.size("found").cast("long").alias("n_found"), licenses.licenses_of().alias("licenses"),
+        F.array_max(F.transform("found", lambda f: f.coverage)).alias("coverage"),
+        F.array_join(F.transform("found", lambda f: F.concat_ws(":", f.license, f.begin, f.end)), ",").alias("spans"),
+    )
+
+
+@_query
+def pipeline(spark, d):
+    """The corpus after all stages of corpus_pipeline."""
+    return corpus_pipeline.run(spark, d)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
