@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from echoless.llm import decontaminate, html_text, licenses, mixing, neighbours, quality, repeats, secret_scan, simhash, toxicity
+from echoless.llm import comparison, decontaminate, html_text, licenses, mixing, neighbours, quality, repeats, secret_scan, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,5 +101,7 @@ def pipeline(spark, d):
     return corpus_pipeline.run(spark, d)
 
 
+ORACLES["op3_decontaminate"] = comparison.BENCHMARK_PASSAGES
+ORACLES["op9_remove_repeats"] = comparison.REPEATED_PASSAGES
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

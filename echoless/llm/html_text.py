@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echoless.llm.labelled_pages import LABELLED_PAGES
+from echoless.llm.sampling import at_most
 
 #: Elements that begin and end a block, those whose content is no text, and those that have no end. Fixed values.
 BLOCKS = frozenset(
@@ -257,8 +258,8 @@ def train(examples: list[tuple[list[Block], list[bool]]], epochs: int = 12, rate
 def fit(pages: DataFrame, most: int = 150, most_chars: int = 100_000) -> Field:
     """Learn from the pages labelled by hand and at most `most` pages of up to most_chars, chosen by hash."""
     examples = [(blocks, [b.keep for b in blocks]) for blocks in map(leaf_blocks, LABELLED_PAGES)] * 3
-    sample = pages.select("html").filter(F.length("html") <= most_chars).orderBy(F.xxhash64("html")).limit(most).collect()
-    for row in sample:
+    fitting = pages.select("page_id", "html").filter(F.length("html") <= most_chars)
+    for row in at_most(fitting, ["page_id", "html"], most, pages.count()).collect():
         blocks = leaf_blocks(row.html)
         if labels := article_labels(blocks):
             examples += [(blocks, labels), ([_without_articles(b) for b in blocks], labels)]

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from echoless.llm.sampling import at_most
 from echoless.llm.storage import stored
 
 #: Rows, and queries, of a chunk of a leaf.
@@ -129,7 +130,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 def fit_tree(rows: DataFrame, n_rows: int, sample: int, leaf_rows: int, branches: int, seed: int) -> Tree:
     """A tree fitted on at most `sample` rows, chosen by hash. Leaves are made to hold about leaf_rows of all rows,
     but at least ten of the sample."""
-    picked = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").select("embedding").limit(sample).toArrow()
+    picked = at_most(rows, ["vec_id"], sample, n_rows, seed).select("embedding").toArrow()
     x = _matrix(picked.column("embedding").combine_chunks()) if picked.num_rows else np.zeros((1, 1))
     tree = Tree([], [], [])
     tree.add(x, max(10, round(leaf_rows * len(x) / max(n_rows, 1))), branches, np.random.default_rng(seed))
@@ -144,7 +145,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def calibrated_visits(placed: DataFrame, queries: DataFrame, tree: Tree, k: int, recall: float, most: int) -> int:
     """The fewest leaves to visit for the wanted recall on at most `most` of the queries, against brute force."""
     spark = placed.sparkSession
-    some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toArrow()
+    some = at_most(queries, ["vec_id"], most, queries.count()).toArrow()
     if not some.num_rows:
         return 1
     q = _matrix(some.column("embedding").combine_chunks())
