@@ -12,7 +12,7 @@ A window of words that holds all of these has the symbol wherever the window
 occurs. So each window is filed under its highest such symbol (or, if it has
 none, under itself), and only windows whose symbol is known from two places
 can repeat. Symbols are far fewer than windows. Windows that are left are then
-compared by 128 bits of hash.
+compared by 96 bits of hash.
 
 Texts are dealt to blocks of a few megabytes. A symbol or window is sent once
 for each block, however often the block has it, so no passage, copy or word
@@ -38,6 +38,9 @@ LEAST = 4
 BLOCK_BYTES = 4 << 20
 #: Of the blocks' symbols, as many are compared in one group as this many blocks have.
 BLOCKS_A_GROUP = 8
+#: A name is sent without its lowest bytes: enough to tell names apart, and windows are compared in full later.
+DROPPED_BYTES = 2
+_NAME = np.uint64((1 << 64) - (1 << 8 * DROPPED_BYTES))
 _FAR = np.int64(1) << 40
 _NO_ID = np.iinfo(np.int64).max
 
@@ -110,19 +113,26 @@ class Windows:
             filed = np.where(inside, names[i], filed)
         return filed
 
-    def second(self, chosen: np.ndarray) -> np.ndarray:
-        """64 more bits for the chosen windows."""
-        return gram_hashes(self.words, self.width, word_powers(other=True))[self.at[chosen]]
+    def second(self) -> np.ndarray:
+        """32 more bits for each window."""
+        return (gram_hashes(self.words, self.width, word_powers(other=True))[self.at] >> np.uint64(32)).astype(np.uint32)
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Ascending numbers as bytes, the same byte of all side by side: the high ones then hardly take room."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+def _packed(x: np.ndarray, skip: int = 0) -> bytes:
+    """Numbers as bytes without their lowest ones, the same byte of all side by side: if they ascend, the high ones hardly take room."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize)[:, skip:].T).tobytes()
 
 
-def _unpacked(data: bytes, dtype=np.uint64) -> np.ndarray:
+def _unpacked(data: bytes, dtype=np.uint64, skip: int = 0) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    planes = np.frombuffer(data, np.uint8).reshape(size - skip, -1)
+    out = np.zeros((planes.shape[1], size), np.uint8)
+    out[:, skip:] = planes.T
+    return out.view(dtype).ravel()
+
+
+def _joined_up(parts: list[np.ndarray], dtype=np.uint64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *parts])
 
 
 def _by_group(x: np.ndarray, n_groups: int) -> list[tuple[int, int, int]]:
@@ -141,128 +151,113 @@ def _parts(table: pa.Table) -> Iterator[Slice]:
     yield from slices(texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks), SPACES)
 
 
-def _sent(block: int, n_groups: int, by: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
+def _sent(block: int, n_groups: int, by: np.ndarray, pack: dict) -> pa.Table:
+    """A row for each group that has some of the block's numbers; pack makes bytes of a part of each column."""
     cuts = _by_group(by, n_groups)
     out = {"group": pa.array([g for g, _, _ in cuts], pa.int64()), "block": pa.array([block] * len(cuts), pa.int64())}
-    out |= {name: pa.array([_packed(x[a:b]) for _, a, b in cuts], pa.binary()) for name, x in columns.items()}
-    return pa.table(out)
+    return pa.table(out | {name: pa.array([f(a, b) for _, a, b in cuts], pa.binary()) for name, f in pack.items()})
 
 
 def _files_of(n_groups: int, width: int, n_rounds: int, least: int):
     def files(key: tuple, table: pa.Table) -> pa.Table:
-        """A block's names, each once; twice says that two of its rows have it."""
+        """A block's names, each once, and whether two of its documents have it."""
         ids = _ids(table)
-        names, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        names, docs = [], []
         for part in _parts(table):
             w = Windows(part, width)
-            filed = w.files(n_rounds, least)
+            filed = w.files(n_rounds, least) & _NAME
             new = np.append(True, (filed[1:] != filed[:-1]) | (w.row[1:] != w.row[:-1]))[: len(filed)]
             names.append(filed[new])
             docs.append(ids[part.row + w.row[new]])
-        names, docs = np.concatenate(names), np.concatenate(docs)
+        names, docs = _joined_up(names), _joined_up(docs, np.int64)
         order = np.lexsort((docs, names))
         names, docs = names[order], docs[order]
-        new = np.append(True, names[1:] != names[:-1])[: len(names)]
-        last = np.append(np.flatnonzero(new)[1:], len(names)) - 1
-        twice = docs[new] != docs[last[: new.sum()]]
-        return _sent(key[0].as_py(), n_groups, names[new], {"names": names[new], "twice": twice.astype(np.uint8)})
+        start = np.flatnonzero(np.append(True, names[1:] != names[:-1])[: len(names)])
+        last = np.append(start[1:], len(names))[: len(start)] - 1
+        names, twice = names[start], docs[start] != docs[last]
+        return _sent(key[0].as_py(), n_groups, names, {"names": lambda a, b: _packed(names[a:b], DROPPED_BYTES), "twice": lambda a, b: np.packbits(twice[a:b]).tobytes()})
 
     return files
 
 
 def _shared(key: tuple, table: pa.Table) -> pa.Table:
-    """The names of a group that two rows have, for each of the blocks that has them."""
-    each = [_unpacked(x) for x in table.column("names").to_pylist()]
-    twice = np.concatenate([_unpacked(x, np.uint8) for x in table.column("twice").to_pylist()])
+    """The names of a group that two documents have, for each of the blocks that has them."""
+    each = [_unpacked(x, skip=DROPPED_BYTES) for x in table.column("names").to_pylist()]
+    twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(n)).astype(bool) for x, n in zip(table.column("twice").to_pylist(), each)]
     names = np.concatenate(each)
     order = np.argsort(names, kind="stable")
     same = np.append(names[order][1:] == names[order][:-1], False)
-    known = np.zeros(len(names), dtype=bool)
-    known[order] = same | np.append(False, same[:-1]) | twice[order].astype(bool)
-    # One block's mark counts for all blocks with that name; a name of two blocks is known from both anyway.
-    ends = np.cumsum([len(x) for x in each])[:-1]
-    kept = [x[m] for x, m in zip(each, np.split(known, ends))]
+    known = np.empty(len(names), dtype=bool)
+    known[order] = same | np.append(False, same[:-1])
+    known |= np.concatenate(twice)
+    kept = [x[m] for x, m in zip(each, np.split(known, np.cumsum([len(x) for x in each])[:-1]))]
     blocks = table.column("block").to_pylist()
-    return pa.table({"block": pa.array([b for b, x in zip(blocks, kept) if len(x)], pa.int64()), "names": pa.array([_packed(x) for x in kept if len(x)], pa.binary())})
+    return pa.table({"block": pa.array([b for b, x in zip(blocks, kept) if len(x)], pa.int64()), "names": pa.array([_packed(x, DROPPED_BYTES) for x in kept if len(x)], pa.binary())})
 
 
 def _windows_of(n_groups: int, width: int, n_rounds: int, least: int):
     def windows(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
-        """A block's windows that are filed under known names, each once, with the smallest doc_id that has it."""
-        known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_unpacked(x) for x in known.column("names").to_pylist())]))
-        found = []
-        ids = _ids(texts)
+        """A block's windows that are filed under known names, each once, with the block's smallest doc_id that has it."""
+        known = np.sort(_joined_up([_unpacked(x, skip=DROPPED_BYTES) for x in known.column("names").to_pylist()]))
+        ids, h, g, doc = _ids(texts), [], [], []
         for part in _parts(texts) if len(known) else ():
             w = Windows(part, width)
-            filed = w.files(n_rounds, least)
-            i = np.searchsorted(known, filed)
-            chosen = np.flatnonzero(known[np.where(i < len(known), i, 0)] == filed)
-            found.append((w.hashes[chosen], w.second(chosen), ids[part.row + w.row[chosen]]))
-        if not found:
-            return _sent(key[0].as_py(), n_groups, np.zeros(0, np.uint64), {n: np.zeros(0, np.uint64) for n in ("h", "g", "doc", "many")})
-        h, g, doc = (np.concatenate(x) for x in zip(*found))
+            filed = w.files(n_rounds, least) & _NAME
+            chosen = np.flatnonzero(known[np.minimum(np.searchsorted(known, filed), len(known) - 1)] == filed)
+            h.append(w.hashes[chosen])
+            g.append(w.second()[chosen])
+            doc.append(ids[part.row + w.row[chosen]])
+        h, g, doc = _joined_up(h), _joined_up(g, np.uint32), _joined_up(doc, np.int64)
         order = np.lexsort((doc, g, h))
         h, g, doc = h[order], g[order], doc[order]
         new = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))[: len(h)]
-        last = np.append(np.flatnonzero(new)[1:], len(h)) - 1
-        many = (doc[new] != doc[last]).astype(np.uint8)
-        return _sent(key[0].as_py(), n_groups, h[new], {"h": h[new], "g": g[new], "doc": doc[new], "many": many})
+        h, g, doc = h[new], g[new], doc[new]
+        return _sent(key[0].as_py(), n_groups, h, {n: lambda a, b, x=x: _packed(x[a:b]) for n, x in (("h", h), ("g", g), ("doc", doc))})
 
     return windows
 
 
 def _repeated(key: tuple, table: pa.Table) -> pa.Table:
-    """For each block its windows that rows of two doc_ids have, with the smallest doc_id of all."""
-    columns = {n: [_unpacked(x, t) for x in table.column(n).to_pylist()] for n, t in (("h", np.uint64), ("g", np.uint64), ("doc", np.int64), ("many", np.uint8))}
-    h, g, doc, many = (np.concatenate(columns[n]) for n in ("h", "g", "doc", "many"))
+    """For each block its windows that a document of another block with a smaller doc_id has."""
+    each = {n: [_unpacked(x, t) for x in table.column(n).to_pylist()] for n, t in (("h", np.uint64), ("g", np.uint32), ("doc", np.int64))}
+    h, g, doc = (np.concatenate(each[n]) for n in ("h", "g", "doc"))
     order = np.lexsort((doc, g, h))
     new = np.append(True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1]))
-    start = np.flatnonzero(new)
-    last = np.append(start[1:], len(h)) - 1
-    least = doc[order][start]
-    two = (least != doc[order][last]) | (np.add.reduceat(many[order].astype(np.int64), start) > 0)
-    which = np.cumsum(new) - 1
-    best, keep = np.empty_like(doc), np.empty(len(h), dtype=bool)
-    best[order], keep[order] = least[which], two[which]
-    out: dict[str, list] = {"block": [], "h": [], "g": [], "doc": []}
-    at = 0
-    for block, x in zip(table.column("block").to_pylist(), columns["h"]):
-        k = keep[at : at + len(x)]
-        if k.any():
-            out["block"].append(block)
-            for n, values in (("h", h), ("g", g), ("doc", best)):
-                out[n].append(_packed(values[at : at + len(x)][k]))
-        at += len(x)
-    return pa.table({n: pa.array(x, pa.int64() if n == "block" else pa.binary()) for n, x in out.items()})
+    least = np.empty_like(doc)
+    least[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    smaller = np.split(least < doc, np.cumsum([len(x) for x in each["h"]])[:-1])
+    blocks = table.column("block").to_pylist()
+    rows = [(b, _packed(x[m]), _packed(y[m])) for b, x, y, m in zip(blocks, each["h"], each["g"], smaller) if m.any()]
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("block", pa.int64()), ("h", pa.binary()), ("g", pa.binary())))})
 
 
 def _kept_of(width: int):
     def kept(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
         """The block's texts with the words that stay, joined by one space."""
         ids = _ids(texts)
-        h, g, doc = (np.concatenate([np.zeros(0, t), *(_unpacked(x, t) for x in known.column(n).to_pylist())]) for n, t in (("h", np.uint64), ("g", np.uint64), ("doc", np.int64)))
-        order = np.lexsort((g, h))
-        h, g, doc = h[order], g[order], doc[order]
-        n_words, n_removed, stays = [], [], []
-        for part in _parts(texts):
+        parts = list(_parts(texts))
+        all_ = [Windows(p, width) for p in parts]
+        h, g = _joined_up([w.hashes for w in all_]), _joined_up([w.second() for w in all_], np.uint32)
+        doc = _joined_up([ids[p.row + w.row] for p, w in zip(parts, all_)], np.int64)
+        # What other blocks told stands as a document before all others.
+        told = [_joined_up([_unpacked(x, t) for x in known.column(n).to_pylist()], t) for n, t in (("h", np.uint64), ("g", np.uint32))]
+        n = len(h)
+        h, g, doc = np.concatenate([h, told[0]]), np.concatenate([g, told[1]]), np.concatenate([doc, np.full(len(told[0]), np.iinfo(np.int64).min)])
+        sorted_ = np.sort(h)
+        twice = sorted_[1:][sorted_[1:] == sorted_[:-1]]
+        some = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h) if len(twice) else np.zeros(0, np.int64)
+        order = some[np.lexsort((doc[some], g[some], h[some]))]
+        new = np.append(True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1]))[: len(order)]
+        covered = np.zeros(n + len(told[0]), dtype=bool)
+        if len(order):
+            covered[order] = doc[order] > doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        n_words, n_removed, stays, at = [], [], [], 0
+        for part, w in zip(parts, all_):
+            begin = w.at[covered[at : at + len(w.at)]]
+            at += len(w.at)
             gone = np.zeros(len(part.starts) + 1, dtype=np.int64)
-            if len(h):
-                w = Windows(part, width)
-                i = np.searchsorted(h, w.hashes)
-                maybe = np.flatnonzero(h[np.where(i < len(h), i, 0)] == w.hashes)
-                second, i = w.second(maybe), i[maybe]
-                smaller = np.zeros(len(maybe), dtype=bool)
-                own = ids[part.row + w.row[maybe]]
-                while True:  # equal first hashes stand side by side; more than one turn is next to never needed
-                    there = (i < len(h)) & (h[np.minimum(i, len(h) - 1)] == w.hashes[maybe])
-                    j = np.minimum(i, len(h) - 1)
-                    smaller |= there & (g[j] == second) & (doc[j] < own)
-                    if not (there & (g[j] != second)).any():
-                        break
-                    i = i + (there & (g[j] != second))
-                at = w.at[maybe[smaller]]
-                gone[at] += 1
-                gone[at + width] -= 1
+            gone[begin] += 1
+            gone[begin + width] -= 1
             gone = np.cumsum(gone)[:-1] > 0
             removed = np.concatenate([[0], np.cumsum(gone)])
             n_words += part.counts.tolist()
@@ -318,8 +313,8 @@ def remove_repeats(
     names = blocks.groupBy("block").applyInArrow(_files_of(*options), "group long, block long, names binary, twice binary")
     shared = names.groupBy("group").applyInArrow(_shared, "block long, names binary")
     found = blocks.groupBy("block").cogroup(shared.groupBy("block"))
-    found = found.applyInArrow(_windows_of(*options), "group long, block long, h binary, g binary, doc binary, many binary")
-    repeated = found.groupBy("group").applyInArrow(_repeated, "block long, h binary, g binary, doc binary")
+    found = found.applyInArrow(_windows_of(*options), "group long, block long, h binary, g binary, doc binary")
+    repeated = found.groupBy("group").applyInArrow(_repeated, "block long, h binary, g binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
     kept = blocks.groupBy("block").cogroup(repeated.groupBy("block"))
     return kept.applyInArrow(_kept_of(window), f"doc_id {kind}, n_words long, n_removed long, kept string")
