@@ -113,7 +113,7 @@ def matches(words: np.ndarray, templates: Templates, t: int, coverage: float) ->
     found, done = [], 0
     for a in range(0, max(len(words) - step, 0) + 1, step) if len(words) else ():
         lo, hi = max(a, done), min(a + 2 * step, len(words))
-        while hi - lo and inside[hi] - inside[lo] >= coverage * n:
+        while hi > lo and inside[hi] - inside[lo] >= coverage * n:
             part = words[lo:hi]
             counts = np.bincount(part[part >= 0], minlength=len(own))
             if np.minimum(counts, own).sum() < coverage * n:
@@ -121,8 +121,12 @@ def matches(words: np.ndarray, templates: Templates, t: int, coverage: float) ->
             pairs = _densest(patience(part.tolist(), template), n)
             if len(pairs) < coverage * n:
                 break
-            found.append((lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs)))
-            done = lo = lo + pairs[-1][0] + 1
+            # The stretch may have cut it: once more, with room on both sides.
+            near = max(lo + pairs[0][0] - n, done)
+            again = _densest(patience(words[near : lo + pairs[-1][0] + 1 + n].tolist(), template), n)
+            begin, pairs = (near, again) if len(again) >= len(pairs) else (lo, pairs)
+            found.append((begin + pairs[0][0], begin + pairs[-1][0] + 1, len(pairs)))
+            done = lo = begin + pairs[-1][0] + 1
     return found
 
 
