@@ -3,10 +3,8 @@ from .flowkey import (
     elapsed_us,
     endpoint,
     flow_direction,
-    flow_hash64,
     flow_key,
     flow_side,
-    hash_slot,
     proto_name,
     rule_key,
     tcp_flag_columns,
@@ -15,8 +13,8 @@ from .flowkey import (
 from .text import compact_count, group_digits
 
 __all__ = [
-    "compact_count", "elapsed_us", "endpoint", "flow_direction", "flow_hash64",
-    "flow_key", "flow_side", "group_digits", "hash_slot", "host_offset",
+    "compact_count", "elapsed_us", "endpoint", "flow_direction",
+    "flow_key", "flow_side", "group_digits", "host_offset",
     "int_to_ip", "ip_to_int", "mac_bytes", "mac_text", "mask_of", "proto_name",
     "rule_key", "tcp_flag_columns", "unpack_rule_key",
 ]

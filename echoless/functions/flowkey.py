@@ -1,10 +1,7 @@
 """Flow keys, directions, rule keys and header flags as column expressions."""
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from ..schema import ICMP, TCP, UDP
 from .address import _col
@@ -78,39 +75,3 @@ TCP_FLAG_BITS = {
 
 def tcp_flag_columns(c="tcp_flags") -> list[Column]:
     return [(_col(c).bitwiseAND(bit) != 0).alias(name) for name, bit in TCP_FLAG_BITS.items()]
-
-
-# The multipliers and the additive constant of the 64-bit mix.
-_MIX_ADD = np.uint64(0x9E3779B97F4A7C15)
-_MIX_MUL = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-
-
-@F.pandas_udf(LongType())
-def _mix_pair(low: pd.Series, high: pd.Series, proto: pd.Series) -> pd.Series:
-    u = np.uint64
-    lo, hi = low.to_numpy().astype(u), high.to_numpy().astype(u)
-    addresses = (lo >> u(16)) | ((hi >> u(16)) << u(32))
-    ports = (lo & u(0xFFFF)) | ((hi & u(0xFFFF)) << u(16)) | (proto.to_numpy().astype(u) << u(32))
-    x = addresses ^ (ports + _MIX_ADD)
-    for shift, factor in zip((u(30), u(27)), _MIX_MUL):
-        x = (x ^ (x >> shift)) * factor
-    return pd.Series((x ^ (x >> u(31))).view(np.int64))
-
-
-def flow_hash64(ep_lo="ep_lo", ep_hi="ep_hi", proto="proto") -> Column:
-    """64-bit mix of the flow key, as a signed BIGINT.
-
-    Spark's ANSI arithmetic has no wrapping multiply, hence the Arrow UDF. It
-    serves the bucket profile only; grouping always uses the exact key.
-    """
-    return _mix_pair(_col(ep_lo), _col(ep_hi), _col(proto))
-
-
-def hash_slot(h, n_buckets: int) -> Column:
-    """High 64 bits of unsigned(h) * n_buckets, split in two 32-bit halves."""
-    h = _col(h)
-    top = F.shiftrightunsigned(h, 32)
-    bottom = h.bitwiseAND(0xFFFFFFFF)
-    return F.shiftrightunsigned(
-        top * F.lit(n_buckets) + F.shiftrightunsigned(bottom * F.lit(n_buckets), 32), 32
-    )

@@ -8,12 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import flow_hash64, flow_key, hash_slot, proto_name, rule_key
+from ..functions import proto_name, rule_key
 from ..schema import (
     ACTIVE_HOST_US,
     EPOCH_US,
-    HASH_BUCKETS,
-    HASH_MAX_DEPTH,
     SAMPLE_US,
     TABLE_CAPACITY,
     TRACKED_PROTOS,
@@ -23,6 +21,10 @@ from .nets import nets_of, with_membership
 from .rules import cooldown_dedup, epoch_occupancy, hot_rules, pending_candidates, services_of
 
 
+#: Samples of a block: one task expands or puts in order as many.
+BLOCK = 4096
+
+
 def _flag_tracked(p: DataFrame, subnets: DataFrame) -> DataFrame:
     flagged = with_membership(p, nets_of(subnets, "responder"), _src="src_ip", _dst="dst_ip")
     tracked = ~F.col("_src") & ~F.col("_dst") & F.col("proto").isin(*TRACKED_PROTOS)
@@ -56,10 +58,40 @@ def _sample(column: str, width: int):
     return F.expr(f"{column} div {width}")
 
 
+def _grid(ends: DataFrame) -> DataFrame:
+    """Every `sample` from column a to column b of one row.
+
+    The row becomes a row per block of samples, and tasks expand their blocks,
+    so one stray time makes more blocks but no long array and no long task.
+    """
+    blocks = ends.select(
+        "a", "b", F.explode(F.sequence(F.expr(f"a div {BLOCK}"), F.expr(f"b div {BLOCK}"))).alias("_k")
+    ).repartition("_k")
+    first, last = F.greatest("a", F.col("_k") * BLOCK), F.least("b", (F.col("_k") + 1) * BLOCK - 1)
+    return blocks.select(F.explode(F.sequence(first, last)).alias("sample"))
+
+
 def _all_samples(p: DataFrame, sample_us: int) -> DataFrame:
-    ends = p.agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b"))
-    return ends.select(
-        F.explode(F.sequence(_sample("a", sample_us), _sample("b", sample_us))).alias("sample")
+    first, last = F.min("ts_us"), F.max("ts_us")
+    ends = p.agg(first.alias("a"), last.alias("b")).filter("a is not null")
+    return _grid(ends.select(_sample("a", sample_us).alias("a"), _sample("b", sample_us).alias("b")))
+
+
+def _with_totals(df: DataFrame, totals: dict[str, str], by: str = "sample") -> DataFrame:
+    """Add running totals of columns (new name -> column; NULL counts as 0) in the order of `by`.
+
+    Blocks are summed first; only their sums are put in one order, and each
+    block's rows among themselves.
+    """
+    block = F.expr(f"{by} div {BLOCK}").alias("_k")
+    zeroed = {name: F.coalesce(column, F.lit(0)) for name, column in totals.items()}
+    sums = df.groupBy(block).agg(*[F.sum(c).alias(f"_{n}") for n, c in zeroed.items()])
+    before = W.orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
+    carried = sums.select("_k", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in totals])
+    inside = W.partitionBy("_k").orderBy(by).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = df.select("*", block).join(carried, "_k")
+    return rows.withColumns({n: F.sum(c).over(inside) + F.col(f"_{n}") for n, c in zeroed.items()}).drop(
+        "_k", *[f"_{n}" for n in totals]
     )
 
 
@@ -91,10 +123,9 @@ def state_gauges(p: DataFrame, sample_us: int = SAMPLE_US, **limits) -> DataFram
         .groupBy(_sample("at", sample_us).alias("sample"))
         .agg(*[F.sum(g).alias(g) for g in gauges])
     )
-    running = W.orderBy("sample").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return _all_samples(p, sample_us).join(changes, "sample", "left").select(
-        ((F.col("sample") + 1) * sample_us).alias("ts_us"),
-        *[F.sum(F.coalesce(g, F.lit(0))).over(running).alias(g) for g in gauges],
+    rows = _all_samples(p, sample_us).join(changes, "sample", "left")
+    return _with_totals(rows, {g: g for g in gauges}).select(
+        ((F.col("sample") + 1) * sample_us).alias("ts_us"), *gauges
     )
 
 
@@ -128,28 +159,26 @@ def stats_snapshots(
         .groupBy(_sample("ts_us", sample_us).alias("sample"))
         .agg(F.count("*").alias("queued"))
     )
-    running = W.orderBy("sample").rowsBetween(W.unboundedPreceding, W.currentRow)
-
-    def total(name, alias):
-        return F.sum(F.coalesce(name, F.lit(0))).over(running).alias(alias)
-
-    return (
+    totals = {
+        "pkt_count": "pkts",
+        "pkt_buf_count": "buffered",
+        "flow_hash_count": "flows",
+        "lazy_flow_hash_count": "lingering",
+        "controller_rule_install_count": "queued",
+        "expired_pkt_count_tot": "expired",
+        "bloom_rule_sending_count_tot": "replies",
+    }
+    rows = (
         _all_samples(p, sample_us)
         .join(packets, "sample", "left")
         .join(changes, "sample", "left")
         .join(queued, "sample", "left")
-        .select(
-            ((F.col("sample") + 1) * sample_us).alias("ts_us"),
-            total("pkts", "pkt_count"),
-            total("buffered", "pkt_buf_count"),
-            total("flows", "flow_hash_count"),
-            total("lingering", "lazy_flow_hash_count"),
-            total("queued", "controller_rule_install_count"),
-            total("expired", "expired_pkt_count_tot"),
-            total("replies", "bloom_rule_sending_count_tot"),
-            F.coalesce("lookups", F.lit(0)).alias("flow_hash_total_lookups"),
-            F.coalesce("created", F.lit(0)).alias("flow_hash_missed_lookups"),
-        )
+    )
+    return _with_totals(rows, totals).select(
+        ((F.col("sample") + 1) * sample_us).alias("ts_us"),
+        *totals,
+        F.coalesce("lookups", F.lit(0)).alias("flow_hash_total_lookups"),
+        F.coalesce("created", F.lit(0)).alias("flow_hash_missed_lookups"),
     )
 
 
@@ -201,51 +230,6 @@ def receive_backlog(samples: DataFrame, by: str = "iface") -> DataFrame:
     )
 
 
-def hashed_bucket(n_buckets: int = HASH_BUCKETS):
-    return hash_slot(flow_hash64("ep_lo", "ep_hi", "proto"), n_buckets)
-
-
-def bucket_skew(p: DataFrame, bucket=None, n_buckets: int = HASH_BUCKETS) -> DataFrame:
-    """How flow keys share hash buckets.
-
-    One row per depth (keys in one bucket, deeper ones counted as 10), each with
-    the overall mean, maximum, colliding share and 99th percentile.
-    """
-    bucket = hashed_bucket(n_buckets) if bucket is None else bucket
-    keys = p.select(*flow_key()).distinct()
-    depths = (
-        keys.groupBy(bucket.alias("_bucket"))
-        .agg(F.count("*").alias("_depth"))
-        .groupBy("_depth")
-        .agg(F.count("*").alias("_n"))
-        .groupBy(F.least("_depth", F.lit(HASH_MAX_DEPTH)).alias("depth"))
-        .agg(
-            F.sum("_n").alias("n_buckets"),
-            F.sum(F.col("_depth") * F.col("_n")).alias("_keys"),
-            F.max("_depth").alias("_max"),
-        )
-    )
-    whole = W.partitionBy(F.lit(0))
-    upto = whole.orderBy("depth").rowsBetween(W.unboundedPreceding, W.currentRow)
-    total = F.sum("n_buckets").over(whole)
-    target = F.expr("(99 * _total + 99) div 100")
-    return (
-        depths.withColumn("_total", total)
-        .withColumn("_upto", F.sum("n_buckets").over(upto))
-        .select(
-            "depth",
-            "n_buckets",
-            (F.sum("_keys").over(whole) / F.col("_total")).alias("mean_depth"),
-            F.max("_max").over(whole).alias("max_depth"),
-            (
-                F.sum(F.when(F.col("depth") > 1, F.col("n_buckets")).otherwise(0)).over(whole)
-                / F.col("_total")
-            ).alias("colliding_share"),
-            F.min(F.when(F.col("_upto") >= target, F.col("depth"))).over(whole).alias("p99_depth"),
-        )
-    )
-
-
 def _span_changes(spans: DataFrame, start: str, end: str) -> DataFrame:
     """+1 where a span starts and -1 where it ends: columns `at`, `d`."""
     ends = F.array(
@@ -258,16 +242,18 @@ def _span_changes(spans: DataFrame, start: str, end: str) -> DataFrame:
 def table_usage(
     intervals: DataFrame, sample_us: int = SAMPLE_US, capacity: int = TABLE_CAPACITY
 ) -> DataFrame:
-    """Live rules at the end of each sample in which their number changed."""
+    """Live rules at the end of each sample, from the first rule's to the last one's end."""
     changes = (
         _span_changes(intervals, "start_us", "end_us")
-        .groupBy(_sample("at", sample_us).alias("_s"))
+        .groupBy(_sample("at", sample_us).alias("sample"))
         .agg(F.sum("d").alias("_d"))
     )
-    running = W.orderBy("_s").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return changes.select(
-        ((F.col("_s") + 1) * sample_us).alias("ts_us"), F.sum("_d").over(running).alias("usage")
-    ).withColumn("share", F.col("usage") / capacity)
+    ends = changes.agg(F.min("sample").alias("a"), F.max("sample").alias("b")).filter("a is not null")
+    rows = _with_totals(_grid(ends).join(changes, "sample", "left"), {"usage": "_d"})
+    return rows.select(
+        ((F.col("sample") + 1) * sample_us).alias("ts_us"), "usage",
+        (F.col("usage") / capacity).alias("share"),
+    )
 
 
 def active_host_counts(
@@ -334,11 +320,9 @@ def controller_report(
     out = out.join(used, "sec", "full").join(hosts, "sec", "full")
     for part in parts:
         out = out.join(part, "sec", "left")
-    running = W.orderBy("sec").rowsBetween(W.unboundedPreceding, W.currentRow)
     epoch = F.expr(f"sec * {second} div {epoch_us}")
     out = (
-        out.withColumn("usage", F.sum(F.coalesce("d_usage", F.lit(0))).over(running))
-        .withColumn("active_hosts", F.sum(F.coalesce("d_hosts", F.lit(0))).over(running))
+        _with_totals(out, {"usage": "d_usage", "active_hosts": "d_hosts"}, "sec")
         .filter("_in")
         .withColumn("_closed", epoch - 1)
         .join(per_epoch.withColumnRenamed("epoch", "_closed"), "_closed", "left")

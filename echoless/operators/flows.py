@@ -1,11 +1,11 @@
 """Flow tracking: which packets start a flow, answer it, or go unanswered."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import flow_key, flow_side
 from ..schema import LINGER_US, REPLY_TIMEOUT_US
-from .spans import CHUNK_US, ROLE_NAMES, fold_spans
+from .spans import CHUNK_US, ROLE_NAMES, latest, placed_fold
 
 _KEY = ["proto", "ep_lo", "ep_hi"]
 
@@ -21,17 +21,18 @@ def _keyed(p: DataFrame, by) -> DataFrame:
     return keyed.select(*by, low, "ep_hi", "side", "ts_us", "pkt_id")
 
 
-def _fold(p, reply_timeout_us, linger_us, by, starts_only, chunk_us) -> DataFrame:
-    folded = fold_spans(
+def _fold(p, reply_timeout_us, linger_us, by, starts_only, chunk_us) -> tuple[DataFrame, DataFrame]:
+    folded, placed = placed_fold(
         _keyed(p, by), [*by, "_low", "ep_hi"], "ts_us", "pkt_id", "side",
         reply_timeout_us, linger_us, starts_only, chunk_us,
     )
-    return folded.withColumns(
+    named = folded.withColumns(
         {
             "proto": F.col("_low").bitwiseAND(255).cast("int"),
             "ep_lo": F.shiftright("_low", 8),
         }
     )
+    return named, placed
 
 
 def packet_addresses() -> list:
@@ -46,9 +47,9 @@ def packet_addresses() -> list:
     ]
 
 
-def _status(p: DataFrame, reply_ts, t0, timeout_us) -> tuple:
+def _status(placed: DataFrame, reply_ts, t0, timeout_us) -> Column:
     """Flow status. The clock is global: any tracked packet lets time pass."""
-    now = p.agg(F.max("ts_us")).scalar()
+    now = latest(placed)
     return (
         F.when(reply_ts.isNotNull(), "replied")
         .when(now - t0 >= timeout_us, "unanswered")
@@ -65,9 +66,9 @@ def track_flows(
 ) -> DataFrame:
     """One row per flow instance. `end_ts` is when the flow is forgotten."""
     role = F.col("role")
+    folded, placed = _fold(p, reply_timeout_us, linger_us, by, False, chunk_us)
     flows = (
-        _fold(p, reply_timeout_us, linger_us, by, False, chunk_us)
-        .groupBy(*by, *_KEY, F.col("flow_t0").alias("t0"), F.col("flow_id").alias("first_pkt_id"))
+        folded.groupBy(*by, *_KEY, F.col("flow_t0").alias("t0"), F.col("flow_id").alias("first_pkt_id"))
         .agg(
             F.max(F.when(role == 0, F.col("side"))).alias("side"),
             F.max("reply_ts").alias("reply_ts"),
@@ -76,7 +77,7 @@ def track_flows(
             F.count_if(role == 3).alias("n_linger"),
         )
     )
-    status = _status(p, F.col("reply_ts"), F.col("t0"), reply_timeout_us)
+    status = _status(placed, F.col("reply_ts"), F.col("t0"), reply_timeout_us)
     ends = (
         F.when(F.col("status") == "replied", F.col("last_ts") + linger_us)
         .when(F.col("status") == "unanswered", F.col("t0") + reply_timeout_us)
@@ -96,7 +97,7 @@ def packet_events(
 ) -> DataFrame:
     """What each packet did: created, dup_request, replied or linger."""
     names = F.array(*[F.lit(name) for name in ROLE_NAMES])
-    return _fold(p, reply_timeout_us, linger_us, by, False, chunk_us).select(
+    return _fold(p, reply_timeout_us, linger_us, by, False, chunk_us)[0].select(
         *by, "pkt_id", "ts_us", "proto", "ep_lo", "ep_hi",
         F.get(names, F.col("role")).alias("event"),
         F.col("flow_t0").alias("t0"), F.col("flow_id").alias("first_pkt_id"),
@@ -115,10 +116,10 @@ def flow_starts(
     Leaves out the per-flow packet counts and so the shuffle by flow that
     `track_flows` needs.
     """
-    starts = _fold(p, reply_timeout_us, linger_us, by, True, chunk_us)
+    starts, placed = _fold(p, reply_timeout_us, linger_us, by, True, chunk_us)
     return starts.select(
         *by, "pkt_id", "ts_us", "proto", *packet_addresses(),
-        _status(p, F.col("reply_ts"), F.col("ts_us"), reply_timeout_us).alias("status"),
+        _status(placed, F.col("reply_ts"), F.col("ts_us"), reply_timeout_us).alias("status"),
         "reply_ts",
     )
 

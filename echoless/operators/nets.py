@@ -33,7 +33,7 @@ def with_membership(df: DataFrame, nets: DataFrame, **flags: str) -> DataFrame:
             hit = F.lit(False)
             for mask, values in sorted(by_mask.items()):
                 hit = hit | F.col(address).bitwiseAND(mask).isin(values)
-            return hit
+            return F.coalesce(hit, F.lit(False))  # no address is in no net
 
         return df.select("*", *[inside(address).alias(flag) for flag, address in flags.items()])
     masks = [r.mask for r in nets.select("mask").distinct().collect()]

@@ -116,24 +116,30 @@ def rule_intervals(rules: DataFrame, hits: DataFrame, ttl_us: int = RULE_TTL_US)
     slots of a key are put in order.
     """
     slot = F.expr(f"ts_us div {ttl_us}").alias("_slot")
-    both = rules.select("ts_us", *KEY, F.lit(True).alias("_rule")).unionByName(
-        hits.select("ts_us", *KEY, F.lit(False).alias("_rule"))
-    )
-    in_slot = W.partitionBy(*KEY, "_slot")
-    first_rule = F.min(F.when(F.col("_rule"), F.col("ts_us")))
-    after_rule = ~F.col("_rule") & (F.col("ts_us") >= F.col("_first_rule"))
-    slots = (
-        both.withColumn("_slot", slot)
-        .withColumn("_first_rule", first_rule.over(in_slot))
+    ruled = rules.groupBy(*KEY, slot).agg(
+        F.min("ts_us").alias("_first_rule"), F.max("ts_us").alias("_last_rule")
+    )
+    # A hit learns its slot's first rule; slots are then summed up where the hits are.
+    used = (
+        hits.select("ts_us", *KEY, slot)
+        .join(ruled.drop("_last_rule"), [*KEY, "_slot"], "left")
         .groupBy(*KEY, "_slot")
         .agg(
-            F.min("ts_us").alias("_from"),
-            F.max("ts_us").alias("_to"),
-            F.min("_first_rule").alias("_first_rule"),
-            F.count_if(~F.col("_rule")).alias("_hits"),
-            F.count_if(after_rule).alias("_hits_after"),
+            F.min("ts_us").alias("_first_hit"),
+            F.max("ts_us").alias("_last_hit"),
+            F.count("*").alias("_hits"),
+            F.count_if(F.col("ts_us") >= F.col("_first_rule")).alias("_hits_after"),
         )
     )
+    slots = ruled.join(used, [*KEY, "_slot"], "full").select(
+        *KEY,
+        "_slot",
+        "_first_rule",
+        F.least("_first_rule", "_first_hit").alias("_from"),
+        F.greatest("_last_rule", "_last_hit").alias("_to"),
+        F.coalesce("_hits", F.lit(0)).alias("_hits"),
+        F.coalesce("_hits_after", F.lit(0)).alias("_hits_after"),
+    )
     ordered = W.partitionBy(*KEY).orderBy("_slot")
     running = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
     breaks = F.coalesce(F.col("_from") - F.lag("_to").over(ordered) > ttl_us, F.lit(True))

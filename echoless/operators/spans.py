@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema as _arrow_schema
@@ -448,7 +448,7 @@ def _entries(column: pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
     return fields
 
 
-def fold_spans(
+def placed_fold(
     rows: DataFrame,
     key: list[str],
     ts: str,
@@ -458,8 +458,8 @@ def fold_spans(
     linger_us: int,
     starts_only: bool = False,
     chunk_us: int = CHUNK_US,
-) -> DataFrame:
-    """Give every row its role in the spans of its key.
+) -> tuple[DataFrame, DataFrame]:
+    """Give every row its role in the spans of its key; also the rows as shuffled, for latest().
 
     `side` names a column that is 0 or 1; `key`, `ts` and `row_id` must not be
     NULL, and ids stay below 2^62. Adds `reply_ts` on starting rows and, unless
@@ -512,12 +512,28 @@ def fold_spans(
         key, [source.get(k, k) for k in kept], reply_timeout_us, linger_us, chunk_us,
         starts_only, _arrow_schema(out_schema),
     )
-    return (
+    folded = (
         placed.join(entries.hint("shuffle_hash"), same, "left")
         .select(*placed.columns, "_entry", grouped)
         .sortWithinPartitions("_group")
         .mapInArrow(fold, out_schema)
     )
+    return folded, placed
+
+
+def fold_spans(rows: DataFrame, *args, **options) -> DataFrame:
+    """The first of what placed_fold gives."""
+    return placed_fold(rows, *args, **options)[0]
+
+
+def latest(placed: DataFrame) -> Column:
+    """The largest time of the rows that placed_fold has shuffled, as a scalar.
+
+    It takes whole rows, so that Spark reads them from the shuffle that the
+    fold has made and not from the input once more.
+    """
+    row = F.struct("_ts", *[c for c in placed.columns if c != "_ts"])
+    return placed.agg(F.max(row)["_ts"].alias("now")).scalar()
 
 
 def _fields(columns) -> list[T.StructField]:

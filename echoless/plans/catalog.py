@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as X
 from ..operators import counters, filters, flows, hosts, nets, rules, sessions, status, wire
-from ..schema import STAT_FIELDS
+from ..schema import CONTROLLER_FIELDS, STAT_DOUBLES, STAT_FIELDS
 from ..sources import frames, packets, sinks, statfiles
 from ..sources import nets as net_files
 from ..streaming import jobs
@@ -106,53 +106,68 @@ select case i % 4 when 1 then 167772160 + (i // 256 % 256) * 65536
   case i % 4 when 1 then 4294901760 when 3 then 0 else 4294967040 end as mask
 from (select s_suppkey as i from supplier))""")
 def read_subnets(spark, d):
-    return net_files.parse_subnets(fx.net_lines(spark, d))
-
-
-_STAT_LINE_SQL = (
-    "select iface, ts_us, concat_ws(',', "
-    + ", ".join(
-        "format('{:.6g}', flow_hash_avg_probes)"
-        if name == "flow_hash_avg_probes"
-        else (
-            f"{name}"
-            if name in ("pkt_count", "pkt_buf_count", "flow_hash_count", "expired_pkt_count_tot")
-            else "'0'"
-        )
-        for name in STAT_FIELDS
-    )
-    + ") as line from stat_rows"
+    return net_files.parse_subnets(fx.net_lines(spark, d))[0]
+
+
+def _snapshots(spark, d) -> DataFrame:
+    made = counters.stats_snapshots(fx.packets(spark, d), fx.subnets(spark))
+    return made.withColumn("iface", F.lit("enp10s0"))
+
+
+_GRID = """(select unnest(range((select min(ts_us) // 1000000 from packets),
+  (select max(ts_us) // 1000000 from packets) + 1)) as s)"""
+_CLOCK = "(select max(ts_us) from ordered)"
+_SNAPSHOT_SQL = f"""
+select (g.s + 1) * 1000000 as ts_us,
+  (select count(*) from keyed where ts_us // 1000000 <= g.s) as pkt_count,
+  (select count(*) from flows where t0 // 1000000 <= g.s)
+  - (select count(*) from flows where status = 'replied' and reply_ts // 1000000 <= g.s)
+  - (select count(*) from flows where status = 'unanswered' and end_ts // 1000000 <= g.s) as pkt_buf_count,
+  (select count(*) from flows where t0 // 1000000 <= g.s)
+  - (select count(*) from flows where end_ts <= {_CLOCK} and end_ts // 1000000 <= g.s) as flow_hash_count,
+  (select count(*) from flows where status = 'replied' and reply_ts // 1000000 <= g.s)
+  - (select count(*) from flows where status = 'replied' and end_ts <= {_CLOCK} and end_ts // 1000000 <= g.s)
+  as lazy_flow_hash_count,
+  (select count(*) from kept where ts_us // 1000000 <= g.s) as controller_rule_install_count,
+  (select count(*) from flows where status = 'unanswered' and end_ts // 1000000 <= g.s) as expired_pkt_count_tot,
+  (select count(*) from flows where status = 'replied' and reply_ts // 1000000 <= g.s) as bloom_rule_sending_count_tot,
+  (select count(*) from ordered where ts_us // 1000000 = g.s) as flow_hash_total_lookups,
+  (select count(*) from flows where t0 // 1000000 = g.s) as flow_hash_missed_lookups
+from {_GRID} g"""
+_SNAPSHOT_FIELDS = (
+    "pkt_count", "pkt_buf_count", "flow_hash_count", "lazy_flow_hash_count", "controller_rule_install_count",
+    "expired_pkt_count_tot", "bloom_rule_sending_count_tot", "flow_hash_total_lookups", "flow_hash_missed_lookups",
+)
+_STAT_CELLS = [f"cast({n} as varchar)" if n in _SNAPSHOT_FIELDS else "''" for n in STAT_FIELDS]
+_STAT_COLUMNS = ", ".join(
+    n if n in _SNAPSHOT_FIELDS else f"cast(null as {'double' if n in STAT_DOUBLES else 'bigint'}) as {n}" for n in STAT_FIELDS
 )
-_STAT_KEPT = "pkt_count, pkt_buf_count, flow_hash_count, expired_pkt_count_tot"
 
 
 @_query(f"""
-select iface, 77 as pid, 1000000 as hash_size, 10 as gc_size, 10 as gc_period, 200000 as gc_timeout,
-  ts_us, 'STATS' as level, {_STAT_KEPT},
-  cast(format('{{:.6g}}', flow_hash_avg_probes) as double) as flow_hash_avg_probes from stat_rows""")
+select 'enp10s0' as iface, 77 as pid, 1000000 as hash_size, 10 as gc_size, 10 as gc_period, 200000 as gc_timeout,
+  ts_us, 'STATS' as level, {_STAT_COLUMNS} from ({_SNAPSHOT_SQL})""", tracked="no_bypass")
 def read_stats_csv(spark, d):
-    lines = fx.stat_lines(statfiles.format_stats(fx.stat_rows(_samples(spark, d)), "csv"))
-    return statfiles.parse_stats_csv(lines).select(
-        "iface", "pid", "hash_size", "gc_size", "gc_period", "gc_timeout", "ts_us", "level",
-        *_STAT_KEPT.split(", "), "flow_hash_avg_probes",
-    )
+    root = shared_dir(spark)
+    lines = fx.stat_lines(statfiles.format_stats(_snapshots(spark, d), "csv"))
+    name = "enp10s0_pid77_HashSize1000000_GCSize10_GCPeriod10_GCTimeout200000.csv"
+    lines.select("value").write.text(f"{root}/{name}")
+    return statfiles.read_stats_csv(spark, root)
 
 
-@_query(_STAT_LINE_SQL)
+@_query(f"""
+select 'enp10s0' as iface, ts_us, concat_ws(',', {", ".join(_STAT_CELLS)}) as line from ({_SNAPSHOT_SQL})""",
+        tracked="no_bypass")
 def format_stats(spark, d):
-    return statfiles.format_stats(fx.stat_rows(_samples(spark, d)), "csv")
+    return statfiles.format_stats(_snapshots(spark, d), "csv")
 
 
-@_query("""
-select iface, ts_us, n.pos, n.name || '=' || case n.name when 'pkt_count' then cast(pkt_count as varchar)
-  when 'pkt_buf_count' then cast(pkt_buf_count as varchar)
-  when 'flow_hash_count' then cast(flow_hash_count as varchar)
-  when 'expired_pkt_count_tot' then cast(expired_pkt_count_tot as varchar)
-  when 'flow_hash_avg_probes' then format('{:.6g}', flow_hash_avg_probes) else '0' end as line
-from stat_rows, (select unnest([""" + ", ".join(f"'{n}'" for n in STAT_FIELDS) + """]) as name,
-  unnest(range(24)) as pos) n""")
+@_query(f"""
+select 'enp10s0' as iface, ts_us, pos, line from (select ts_us, unnest(range(24)) as pos,
+  unnest([{", ".join(f"'{n}=' || {c}" for n, c in zip(STAT_FIELDS, _STAT_CELLS))}]) as line from ({_SNAPSHOT_SQL}))""",
+        tracked="no_bypass")
 def format_stats_kv(spark, d):
-    return statfiles.format_stats(fx.stat_rows(_samples(spark, d)), "kv")
+    return statfiles.format_stats(_snapshots(spark, d), "kv")
 
 
 _STATUS_COLUMNS = """pkt_pps, nic_pps, pkt, buf, flow, exp, bloom_rsp, pcap_rx, pcap_drp, pcap_ifdr,
@@ -198,13 +213,6 @@ def message_verdicts(spark, d):
     return wire.decode_rule_batches(messages)[1].drop("payload")
 
 
-@_query("""
-select i, 167772160 + i + 1 as ip, 1024 + i % 64511 as port, case when i % 2 = 0 then 6 else 17 end as proto
-from (select unnest(range((select count(*) from events))) as i)""")
-def rule_key_table(spark, d):
-    return packets.rule_key_table(spark, spark.read.parquet(f"{d}/events.parquet").count())
-
-
 @_query("select recv_us, message, n_rules, upper(hex) as payload from wire_batches")
 def encode_rule_batches(spark, d):
     batches = wire.encode_rule_batches(_rules(spark, d), max_rules=3)
@@ -212,10 +220,14 @@ def encode_rule_batches(spark, d):
 
 
 @_query("""
-select *, cast(make_timestamp(1704067200000000 + ts_us) as date) as day from unanswered""")
+select *, cast(make_timestamp(1704067200000000 + ts_us) as date) as day from (select * from unanswered
+  union all select pkt_id, ts_us, proto, src_ip, dst_ip, src_port, dst_port from keyed where bypass)""", tracked="no_bypass")
 def write_unanswered(spark, d):
     path = shared_dir(spark)
-    sinks.write_unanswered(flows.unanswered(fx.packets(spark, d)), path)
+    bypass, tracked = nets.split_bypass(fx.packets(spark, d), fx.subnets(spark))
+    kept = flows.unanswered(tracked).unionByName(bypass)
+    for _ in range(2):  # a second run replaces the first
+        sinks.write_unanswered(kept, path)
     return spark.read.parquet(path)
 
 
@@ -529,11 +541,6 @@ def reply_counts(spark, d):
     return rules.reply_counts(_rules(spark, d))
 
 
-_GRID = """(select unnest(range((select min(ts_us) // 1000000 from packets),
-  (select max(ts_us) // 1000000 from packets) + 1)) as s)"""
-_CLOCK = "(select max(ts_us) from ordered)"
-
-
 @_query(f"""
 select (g.s + 1) * 1000000 as ts_us,
   (select count(*) from flows where t0 // 1000000 <= g.s)
@@ -548,23 +555,7 @@ def state_gauges(spark, d):
     return counters.state_gauges(fx.packets(spark, d))
 
 
-@_query(f"""
-select (g.s + 1) * 1000000 as ts_us,
-  (select count(*) from keyed where ts_us // 1000000 <= g.s) as pkt_count,
-  (select count(*) from flows where t0 // 1000000 <= g.s)
-  - (select count(*) from flows where status = 'replied' and reply_ts // 1000000 <= g.s)
-  - (select count(*) from flows where status = 'unanswered' and end_ts // 1000000 <= g.s) as pkt_buf_count,
-  (select count(*) from flows where t0 // 1000000 <= g.s)
-  - (select count(*) from flows where end_ts <= {_CLOCK} and end_ts // 1000000 <= g.s) as flow_hash_count,
-  (select count(*) from flows where status = 'replied' and reply_ts // 1000000 <= g.s)
-  - (select count(*) from flows where status = 'replied' and end_ts <= {_CLOCK} and end_ts // 1000000 <= g.s)
-  as lazy_flow_hash_count,
-  (select count(*) from kept where ts_us // 1000000 <= g.s) as controller_rule_install_count,
-  (select count(*) from flows where status = 'unanswered' and end_ts // 1000000 <= g.s) as expired_pkt_count_tot,
-  (select count(*) from flows where status = 'replied' and reply_ts // 1000000 <= g.s) as bloom_rule_sending_count_tot,
-  (select count(*) from ordered where ts_us // 1000000 = g.s) as flow_hash_total_lookups,
-  (select count(*) from flows where t0 // 1000000 = g.s) as flow_hash_missed_lookups
-from {_GRID} g""", tracked="no_bypass")
+@_query(_SNAPSHOT_SQL, tracked="no_bypass")
 def stats_snapshots(spark, d):
     return counters.stats_snapshots(fx.packets(spark, d), fx.subnets(spark))
 
@@ -603,31 +594,14 @@ def datagram_quality(spark, d):
     )
 
 
-@_query("""
-select least(depth, 10) as depth, cast(sum(n) as bigint) as n_buckets,
-  (select avg(c) from bucket_depths) as mean_depth, (select max(c) from bucket_depths) as max_depth,
-  (select count(case when c > 1 then 1 end) / count(*) from bucket_depths) as colliding_share,
-  (select min(d) from (select least(c, 10) as d, (select count(*) from bucket_depths b2 where least(b2.c, 10) <= least(b1.c, 10)) as upto,
-    (select (99 * count(*) + 99) // 100 from bucket_depths) as target from bucket_depths b1) where upto >= target) as p99_depth
-from (select c as depth, count(*) as n from bucket_depths group by c) group by least(depth, 10)""")
-def bucket_skew(spark, d):
-    bucket = F.expr("(ep_lo * 31 + ep_hi) % 4001")
-    return counters.bucket_skew(fx.packets(spark, d), bucket)
-
-
-@_query()
-def flow_hash64(spark, d):
-    keyed = fx.packets(spark, d).select("pkt_id", *X.flow_key())
-    return keyed.withColumn("h", X.flow_hash64()).withColumn("slot", X.hash_slot("h", 1_000_000))
-
-
 _CHANGES = """(select moment // 1000000 as s, sum(d) as d from (
   select start_us as moment, 1 as d from intervals union all select end_us, -1 from intervals) group by s)"""
 
 
 @_query(f"""
 select (s + 1) * 1000000 as ts_us, cast(u as bigint) as usage, u / 20000 as share
-from (select s, sum(d) over (order by s rows unbounded preceding) as u from {_CHANGES})""")
+from (select s, sum(coalesce(d, 0)) over (order by s rows unbounded preceding) as u
+from (select unnest(range((select min(s) from {_CHANGES}), (select max(s) from {_CHANGES}) + 1)) as s) left join {_CHANGES} using (s))""")
 def table_usage(spark, d):
     return counters.table_usage(_intervals(spark, d))
 
@@ -651,7 +625,18 @@ def _latest_status(spark, d):
     return status.parse_status(latest)
 
 
-@_query()
+def _short(x: str) -> str:
+    return f"""case when abs({x}) >= 1000000000 then printf('%.1f', {x} / 1e9) || 'g' when abs({x}) >= 1000000 then printf('%.1f', {x} / 1e6) || 'm'
+  when abs({x}) >= 1000 then printf('%.1f', {x} / 1e3) || 'k' else cast({x} as varchar) end"""
+
+
+_ROLLUP_CELLS = ["'-'" if c == "nic_oob_d" else _short(f"coalesce({c}, 0)") for c in (*status.NUMBERS, "app_drop")]
+
+
+@_query(f"""
+select printf('%-10s {" ".join(f"%{w}s" for w in (8, 8, 10, 8, 8, 9, 8, 10, 8, 8, 10, 10, 10, 5, 10, 12))}', 'TOTAL',
+  {", ".join(_ROLLUP_CELLS)}, 'SUM') as value
+from (select {_TOTAL_SQL}, cast(sum(app_drop) as bigint) as app_drop from latest_status join drop_log using (iface))""")
 def write_rollup(spark, d):
     totals = status.status_total(
         _latest_status(spark, d), status.parse_drop_log(fx.log_lines(spark, d))
@@ -697,12 +682,22 @@ def controller_report(spark, d):
     return _report(spark, d)
 
 
-@_query(f'select cast(sec as varchar) as "timestamp", in_s, inst_s, usage, active_hosts, 0 as ring_depth from ({_REPORT_SQL})')
+_REPORT_FIELDS = (
+    "epoch", "group0", "group1", "switched", "in_s", "pend_add_s", "inst_s", "add_fail_s", "hot_rules", "local", "usage",
+    "active_hosts", "rx_pkts_s",
+)
+_REPORT_COLUMNS = ", ".join(
+    f"cast({n} as bigint) as {n}" if n in _REPORT_FIELDS else f"cast(null as bigint) as {n}" for n in CONTROLLER_FIELDS[2:]
+)
+
+
+@_query(f"""
+select strftime(make_timestamp(1704067200000000 + sec * 1000000), '%Y-%m-%d %H:%M:%S') as "timestamp",
+  cast(2.0 as double) as interval_cycle, {_REPORT_COLUMNS} from ({_REPORT_SQL})""")
 def read_controller_csv(spark, d):
-    lines = statfiles.format_controller_csv(_report(spark, d))
-    return statfiles.parse_controller_csv(lines).select(
-        "timestamp", "in_s", "inst_s", "usage", "active_hosts", "ring_depth"
-    )
+    root = shared_dir(spark)
+    statfiles.format_controller_csv(_report(spark, d)).write.text(root)
+    return statfiles.read_controller_csv(spark, root)
 
 
 @_query("""

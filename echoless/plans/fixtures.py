@@ -176,18 +176,6 @@ def receive_samples(samples: DataFrame) -> DataFrame:
     )
 
 
-def stat_rows(samples: DataFrame) -> DataFrame:
-    return samples.selectExpr(
-        "iface",
-        "ts_us",
-        "pkt as pkt_count",
-        "pkt % 50 as pkt_buf_count",
-        "pkt % 90 as flow_hash_count",
-        "pkt % 30 as expired_pkt_count_tot",
-        "pkt / 7.0D as flow_hash_avg_probes",
-    )
-
-
 def stat_lines(rows: DataFrame) -> DataFrame:
     """`iface, ts_us, line` counters -> counter file lines with their path."""
     return rows.selectExpr(

@@ -90,8 +90,6 @@ CTES = {
     "iface_counts": """select iface, ts_us // 1000000 as s, count(*) as n from keyed group by iface, s""",
     "samples": """select iface, (s + 1) * 1000000 as ts_us,
   cast(sum(n) over (partition by iface order by s rows unbounded preceding) as bigint) as pkt from iface_counts""",
-    "stat_rows": """select iface, ts_us, pkt as pkt_count, pkt % 50 as pkt_buf_count, pkt % 90 as flow_hash_count,
-  pkt % 30 as expired_pkt_count_tot, pkt / 7.0 as flow_hash_avg_probes from samples""",
     "status_rows": """select iface, ts_us, pkt % 1000 as pkt_pps,
   case when substr(iface, 4, 2) in ('11', '13') then pkt % 888 else pkt % 777 end as nic_pps,
   pkt, pkt % 50 as buf, pkt % 90 as flow, pkt % 30 as exp, pkt % 40 as bloom_rsp, pkt + 3 as pcap_rx,
@@ -130,8 +128,6 @@ CTES = {
     "per_size": """select batch_size, min(pos) as pos, count(*) as rounds, avg(throughput) as avg_throughput,
   sum(installed_rules) / sum(target_rules) as ok_ratio, cast(sum(batch_fail) as bigint) as batch_fail
   from trials group by batch_size""",
-    "bucket_depths": """select count(*) as c from (select distinct proto, ep_lo, ep_hi from keyed)
-  group by (ep_lo * 31 + ep_hi) % 4001""",
     "ports": """select 64 + (src_ip + dst_ip) % 2 as port, ts_us // 1000000 as s,
   count(case when dst_in then 1 end) as rx, count(case when not dst_in then 1 end) as tx from keyed group by all""",
     "port_rows": """select port, (s + 1) * 1000000 as ts_us,

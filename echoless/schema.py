@@ -27,8 +27,6 @@ SNAP_BYTES = 64
 ETHERNET_BYTES = 14
 RULES_PER_MESSAGE = 4000
 TABLE_CAPACITY = 20_000
-HASH_BUCKETS = 1_000_000
-HASH_MAX_DEPTH = 10
 
 # Rule message header (big-endian) and record sizes in bytes.
 WIRE_MAGIC, WIRE_VERSION, WIRE_OP_INSTALL = 0x5034, 1, 1
@@ -47,18 +45,6 @@ PACKETS = T.StructType([
     T.StructField("dst_port", T.IntegerType()),
 ])
 
-# Optional columns that decoded packets carry on top of PACKETS.
-PACKET_EXTRAS = T.StructType([
-    T.StructField("iface", T.StringType()),
-    T.StructField("ip_version", T.IntegerType()),
-    T.StructField("frag_offset", T.IntegerType()),
-    T.StructField("ip_len", T.IntegerType()),
-    T.StructField("ttl", T.IntegerType()),
-    T.StructField("tcp_flags", T.IntegerType()),
-    T.StructField("icmp_type", T.IntegerType()),
-    T.StructField("icmp_code", T.IntegerType()),
-])
-
 SUBNETS = T.StructType([
     T.StructField("kind", T.StringType()),
     T.StructField("net", T.LongType()),

@@ -8,12 +8,12 @@ from ..functions import ip_to_int, mask_of
 from ..schema import SUBNETS
 
 
-def parse_subnets(lines: DataFrame) -> DataFrame:
-    """`kind, file, line_no, value` lines -> subnets.
+def parse_subnets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`kind, file, line_no, value` lines -> (subnets, rejected lines).
 
     A line holds `a.b.c.d/bits`, `a.b.c.d/dotted-mask`, or an address whose mask
     is the next line. `#` starts a comment; blank lines are skipped. Zero bits
-    match every address. Lines without a valid address and mask are left out.
+    match every address. Rejected are lines without a valid address and mask.
     """
     text = F.trim(F.regexp_replace("value", "#.*", ""))
     w = W.partitionBy("kind", "file").orderBy("line_no")
@@ -40,20 +40,28 @@ def parse_subnets(lines: DataFrame) -> DataFrame:
     )
     in_bits = slash & ~F.split_part("text", F.lit("/"), F.lit(2)).contains(".")
     mask = F.when(in_bits & (address == 0), F.lit(0)).otherwise(mask)
-    return (
-        used.select("kind", address.alias("address"), mask.alias("mask"))
-        .filter(F.col("address").isNotNull() & F.col("mask").isNotNull())
-        .select("kind", F.col("address").bitwiseAND(F.col("mask")).alias("net"), "mask")
-        .to(SUBNETS)
+    read = used.withColumns({"address": address, "mask": mask})
+    valid = F.col("address").isNotNull() & F.col("mask").isNotNull()
+    subnets = read.filter(valid).select(
+        "kind", F.col("address").bitwiseAND(F.col("mask")).alias("net"), "mask"
     )
+    return subnets.to(SUBNETS), read.filter(~valid).select("kind", "file", "line_no", "value")
 
 
-def read_subnets(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Net files are configuration of a few lines, hence one row per file here."""
+def read_subnets(spark: SparkSession, path: str, kind: str, strict: bool = True) -> DataFrame:
+    """Net files are configuration of a few lines, hence one row per file here.
+
+    A line that is no net would turn internal hosts into external ones for
+    every later query, so it is an error unless `strict` is off.
+    """
     files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
     lines = files.select(
         F.lit(kind).alias("kind"),
         "file",
         F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"),
     )
-    return parse_subnets(lines)
+    subnets, rejected = parse_subnets(lines)
+    if strict and (bad := rejected.orderBy("file", "line_no").limit(5).collect()):
+        shown = ", ".join(f"{r.file}:{r.line_no + 1}: {r.value!r}" for r in bad)
+        raise ValueError(f"no address and mask in {shown}")
+    return subnets

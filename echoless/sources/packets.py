@@ -1,4 +1,4 @@
-"""Packet tables and streams, and the generated rule key table."""
+"""Packet tables and streams."""
 
 from functools import reduce
 
@@ -28,15 +28,3 @@ def read_packets(spark: SparkSession, paths, streaming: bool = False, schema=PAC
 def with_event_time(p: DataFrame) -> DataFrame:
     """Add `ts`, the packet clock as a TIMESTAMP for watermarks and windows."""
     return p.withColumn("ts", F.timestamp_micros(F.col("ts_us") + CLOCK_ORIGIN_US))
-
-
-def rule_key_table(spark: SparkSession, n: int) -> DataFrame:
-    """n distinct rule keys in a fixed pattern, at most 2^24 - 1."""
-    if not 0 <= n < 1 << 24:
-        raise ValueError("n must be below 2^24")
-    return spark.range(n).select(
-        F.col("id").alias("i"),
-        (F.lit(10 << 24) + F.col("id") + 1).alias("ip"),
-        (1024 + F.col("id") % 64511).cast("int").alias("port"),
-        F.when(F.col("id") % 2 == 0, 6).otherwise(17).cast("int").alias("proto"),
-    )

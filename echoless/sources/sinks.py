@@ -12,13 +12,15 @@ def _by_day(df: DataFrame) -> DataFrame:
 
 
 def write_unanswered(df: DataFrame, path: str, checkpoint: str | None = None):
-    """Append unanswered and bypass packets, a directory per day.
+    """Write unanswered and bypass packets, a directory per day.
 
-    A stream returns its query; give it a checkpoint location.
+    A batch replaces the days that it has packets of, so it may run again. A
+    stream appends and returns its query; give it a checkpoint location.
     """
     dated = _by_day(df)
     if not df.isStreaming:
-        return dated.write.mode("append").partitionBy("day").parquet(path)
+        writer = dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        return writer.partitionBy("day").parquet(path)
     return (
         dated.writeStream.format("parquet")
         .option("path", path)
@@ -48,8 +50,7 @@ def write_rules(df: DataFrame, path: str, checkpoint: str | None = None):
 
 def write_rollup(df: DataFrame, directory: str) -> None:
     """Append the TOTAL line with its time, and replace the latest one."""
-    line = total_line(df).first().value
-    one = df.sparkSession.createDataFrame([(line,)], "value string")
+    one = total_line(df).coalesce(1)
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
     one.write.mode("overwrite").text(f"{directory}/total.status")
     one.select(F.concat(F.lit("["), stamp, F.lit("] "), "value").alias("value")).write.mode(

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import CONTROLLER_FIELDS, STAT_DOUBLES, STAT_FIELDS, TRIAL_FILE
+from ..schema import CLOCK_ORIGIN_US, CONTROLLER_FIELDS, EPOCH_US, SAMPLE_US, STAT_DOUBLES, STAT_FIELDS, TRIAL_FILE
 
 _LOG_PREFIX = ("time", "level", "file", "line", "msg")
 
@@ -39,7 +39,7 @@ def parse_stats_csv(lines: DataFrame) -> DataFrame:
     A data line is `seconds.micros,level,file,line,` and the counters. Interface,
     process and sizing come from the file name.
     """
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    name = F.regexp_extract("path", r"([^/]*_pid\d+_[^/]*)", 1)  # a file, or a folder of parts
 
     def sized(label: str) -> Column:
         return F.regexp_extract(name, rf"_{label}(\d+)", 1).try_cast("bigint")
@@ -76,7 +76,8 @@ def parse_controller_csv(lines: DataFrame) -> DataFrame:
 
 
 def read_controller_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, schema=CONTROLLER_LINE, header=True)
+    """Report files, with or without their line of names."""
+    return parse_controller_csv(spark.read.text(path))
 
 
 def parse_trials(lines: DataFrame) -> DataFrame:
@@ -107,14 +108,15 @@ def short_double(c: Column) -> Column:
 
 def _printed(df: DataFrame, name: str) -> Column:
     if name not in df.columns:
-        return F.lit("0")
-    return short_double(F.col(name)) if name in STAT_DOUBLES else F.col(name).cast("string")
+        return F.lit("")
+    printed = short_double(F.col(name)) if name in STAT_DOUBLES else F.col(name).cast("string")
+    return F.coalesce(printed, F.lit(""))
 
 
 def format_stats(df: DataFrame, fmt: str = "kv") -> DataFrame:
     """Snapshots as `name=value` rows (kv) or one CSV line each (csv).
 
-    Counters that the snapshot does not have print as 0.
+    Counters that the snapshot does not have are left empty, and so read back as NULL.
     """
     keep = [c for c in ("iface", "ts_us") if c in df.columns]
     values = [_printed(df, name) for name in STAT_FIELDS]
@@ -128,13 +130,20 @@ def format_stats(df: DataFrame, fmt: str = "kv") -> DataFrame:
     return df.select(*keep, F.posexplode(pairs).alias("pos", "line"))
 
 
-def format_controller_csv(report: DataFrame) -> DataFrame:
-    """Report rows as 28-column lines; process-only counters print as 0."""
-    known = {"timestamp": F.col("sec").cast("string"), "interval_cycle": F.lit("2.0")}
+def format_controller_csv(report: DataFrame, epoch_us: int = EPOCH_US) -> DataFrame:
+    """Report rows as 28-column lines; columns that the report does not have are empty.
+
+    `sec` becomes a time in UTC; the cycle is the epoch's length in seconds.
+    """
+    at = F.timestamp_micros(F.col("sec") * SAMPLE_US + CLOCK_ORIGIN_US)
+    known = {
+        "timestamp": F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd HH:mm:ss"),
+        "interval_cycle": F.lit(str(epoch_us / 1_000_000)),
+    }
     cells = [
         known[name]
         if name in known
-        else (F.col(name).cast("string") if name in report.columns else F.lit("0"))
+        else F.coalesce(F.col(name).cast("string") if name in report.columns else F.lit(None).cast("string"), F.lit(""))
         for name in CONTROLLER_FIELDS
     ]
     return report.select(F.concat_ws(",", *cells).alias("value"))

@@ -5,11 +5,14 @@ what the batch operators give however its rows are split or mixed up within the
 watermark. Rows later than that are dropped and counted by Spark.
 """
 
+from collections import Counter
 from collections.abc import Iterator
+from threading import Event
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..schema import CLOCK_ORIGIN_US
@@ -148,10 +151,32 @@ def use_rocksdb(spark: SparkSession) -> None:
     )
 
 
-def late_rows(query) -> int:
-    """Rows a finished stream dropped because they came after the watermark."""
-    return sum(
-        op.get("numRowsDroppedByWatermark", 0)
-        for progress in query.recentProgress
-        for op in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the rows that streams drop because they come after the watermark.
+
+    A query only remembers its last progress reports; this listens to all of
+    them. Register it with `spark.streams.addListener` before the stream starts.
+    """
+
+    def __init__(self):
+        self._counts: Counter = Counter()
+        self._ended: dict[str, Event] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self._ended.setdefault(str(event.runId), Event())
+
+    def onQueryProgress(self, event) -> None:
+        for operator in event.progress.stateOperators:
+            self._counts[str(event.progress.runId)] += operator.numRowsDroppedByWatermark
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._ended.setdefault(str(event.runId), Event()).set()
+
+    def of(self, query, timeout: float = 30) -> int:
+        """Late rows of a query that has ended; waits for its last report."""
+        query.awaitTermination()
+        self._ended.setdefault(str(query.runId), Event()).wait(timeout)
+        return self._counts[str(query.runId)]

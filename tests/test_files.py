@@ -1,5 +1,7 @@
 """Readers and sinks on real files."""
 
+import pytest
+
 from echoless.functions import int_to_ip
 from echoless.operators.status import iface_state, read_drop_log, read_status, status_total
 from echoless.schema import CONTROLLER_FIELDS, STAT_FIELDS
@@ -12,7 +14,9 @@ def test_net_file_forms(spark, tmp_path):
         "# internal\n\n10.1.2.3/24\n10.2.0.9/255.255.0.0\n10.3.3.3\n255.255.255.0\n"
         "1.2.3.4/0\n10.4.0.0/8 # note\n300.1.1.1/8\n10.0.0.0/33\n10.5.5.5\n255.255.255.255\n"
     )
-    rows = nets.read_subnets(spark, str(path), "internal").select(
+    with pytest.raises(ValueError, match="300.1.1.1/8"):
+        nets.read_subnets(spark, str(path), "internal")
+    rows = nets.read_subnets(spark, str(path), "internal", strict=False).select(
         "kind", int_to_ip("net").alias("net"), int_to_ip("mask").alias("mask")
     ).collect()
     assert sorted((r.net, r.mask) for r in rows) == sorted([

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from brute import fold
-from echoless.operators import nets, rules, wire
+from echoless.operators import counters, nets, rules, wire
 from echoless.schema import PACKETS, RULES
 
 RNG = random.Random(6)
@@ -72,6 +72,18 @@ def test_long_net_lists_use_joins_and_agree(spark, monkeypatch):
     assert dict(inline) == expected
 
 
+def test_packets_without_an_address_are_in_no_net_on_either_path(spark, monkeypatch):
+    subnets = spark.createDataFrame(
+        [("responder", B, 4294967295), ("responder", 7 << 24, 255 << 24)], "kind string, net bigint, mask bigint"
+    )
+    p = spark.createDataFrame([(0, 0, 6, None, 9, 1, 2), (1, 0, 6, None, B, 1, 2), (2, 0, 6, B, None, 1, 2)], PACKETS)
+    for limit in (200, 1):
+        monkeypatch.setattr(nets, "MAX_INLINE", limit)
+        bypass, tracked = nets.split_bypass(p, subnets)
+        assert sorted(r.pkt_id for r in bypass.collect()) == [1, 2]
+        assert [r.pkt_id for r in tracked.collect()] == [0]
+
+
 def test_long_match_tables_use_joins_and_agree(spark, monkeypatch):
     table = spark.createDataFrame(
         [(0, 0, 0, 0, 0x80000000, 7, "low"), (1, 0x80000000, 0x80000000, 0, 0, 7, "high"),
@@ -115,3 +127,11 @@ def test_packets_meet_rules_across_time_buckets(spark):
 
 
 B = 2193620993
+
+
+def test_a_stray_time_makes_blocks_and_running_totals_carry_over_them(spark):
+    df = spark.createDataFrame([(1, 0), (5, 2), (9000 * 4096, 3)], "at bigint, d bigint")
+    grid = counters._grid(spark.createDataFrame([(3, 2 * counters.BLOCK + 5)], "a bigint, b bigint"))
+    assert sorted(r.sample for r in grid.collect()) == list(range(3, 2 * counters.BLOCK + 6))
+    totals = counters._with_totals(df.withColumnRenamed("at", "sample"), {"t": "d"}).collect()
+    assert {r.sample: r.t for r in totals} == {1: 0, 5: 2, 9000 * 4096: 5}

@@ -8,7 +8,7 @@ from brute import fold
 from echoless.plans.storage import run_stream
 from echoless.sources import packets, sinks
 from echoless.streaming import jobs
-from echoless.streaming.ordered import late_rows
+from echoless.streaming.ordered import LateRows
 
 
 def write_files(spark, rows, path, size):
@@ -56,13 +56,15 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     path = str(tmp_path / "in")
     for row in rows:
         write_files(spark, [row], path, 1)
+    late = LateRows()
+    spark.streams.addListener(late)
     query = (
         jobs.track_flows_stream(stream_of(spark, path), "1 second")
         .writeStream.format("parquet").option("path", str(tmp_path / "out"))
         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     )
-    query.awaitTermination()
-    assert late_rows(query) == 1
+    assert late.of(query) == 1
+    spark.streams.removeListener(late)
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r.first_pkt_id for r in out) == [0, 1, 4]
 
