@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import proto_name, rule_key
+from ..functions import proto_name
 from ..schema import (
     ACTIVE_HOST_US,
     EPOCH_US,
@@ -18,7 +18,7 @@ from ..schema import (
 )
 from .flows import flow_starts, track_flows
 from .nets import nets_of, with_membership
-from .rules import cooldown_dedup, epoch_occupancy, hot_rules, pending_candidates, services_of
+from .rules import cooldown_dedup, epoch_occupancy, hot_rules, install_requests, services_of
 
 
 #: Samples of a block: one task expands or puts in order as many.
@@ -287,19 +287,26 @@ def controller_report(
     rules: DataFrame,
     intervals: DataFrame,
     failures: DataFrame,
-    hits: DataFrame,
+    ports: DataFrame,
     epoch_us: int = EPOCH_US,
     active_us: int = ACTIVE_HOST_US,
 ) -> DataFrame:
-    """One row per second from the first to the last rule."""
+    """One row per second from the first to the last rule.
+
+    `ports` has the changes that port_counters gives, per second, of the ports
+    to report. group0 and group1 are the rules and the distinct keys of the
+    epoch before. What no input here tells is not among the columns.
+    """
     second = SAMPLE_US
 
     def per_second(df, column, name):
         return df.groupBy(_sample(column, second).alias("sec")).agg(F.count("*").alias(name))
 
-    keyed = rules.select("ts_us", rule_key("ip", "port", "proto").alias("key"))
-    nothing = keyed.select("key").filter(F.lit(False))
-    pending = pending_candidates(keyed, nothing, failures)
+    asked = install_requests(rules, intervals, failures)
+    traffic = ports.groupBy((_sample("ts_us", second) - 1).alias("sec")).agg(
+        F.sum("rx_s").alias("rx_pkts_s"), F.sum("tx_s").alias("tx_pkts_s")
+    )
+
     def changes(df, name):
         return df.groupBy(_sample("at", second).alias("sec")).agg(F.sum("d").alias(name))
 
@@ -310,10 +317,10 @@ def controller_report(
     seconds = _all_samples(rules, second).withColumnRenamed("sample", "sec")
     parts = [
         per_second(rules, "ts_us", "in_s"),
-        per_second(pending, "ts_us", "pend_add_s"),
+        per_second(asked, "ts_us", "pend_add_s"),
         per_second(intervals, "start_us", "inst_s"),
         per_second(failures, "fail_us", "add_fail_s"),
-        per_second(hits, "ts_us", "rx_pkts_s"),
+        traffic,
     ]
     # Changes before the first reported second still count, hence the full join.
     out = seconds.withColumn("_in", F.lit(True))
@@ -343,6 +350,7 @@ def controller_report(
         "usage",
         "active_hosts",
         F.coalesce("rx_pkts_s", F.lit(0)).alias("rx_pkts_s"),
+        F.coalesce("tx_pkts_s", F.lit(0)).alias("tx_pkts_s"),
     )
 
 

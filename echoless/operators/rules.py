@@ -207,6 +207,39 @@ def active_host_filter(
     )
 
 
+def install_requests(
+    rules: DataFrame,
+    intervals: DataFrame,
+    failures: DataFrame,
+    cooldown_us: int = FAILURE_COOLDOWN_US,
+) -> DataFrame:
+    """When each lifetime's rule was first asked for outside a failure's cooldown.
+
+    While a rule lives its key is not asked for again, so it is one request for
+    each lifetime. Both sides meet in time buckets, so a busy key spreads.
+    """
+    width = _MATCH_BUCKET_US
+    arrivals = failure_cooldown(
+        rules.select("ts_us", rule_key(*KEY).alias("key")), failures, cooldown_us
+    ).withColumn("_bucket", F.expr(f"ts_us div {width}"))
+    lives = intervals.select(
+        rule_key(*KEY).alias("key"),
+        "start_us",
+        "end_us",
+        F.explode(
+            F.sequence(F.expr(f"start_us div {width}"), F.expr(f"(end_us - 1) div {width}"))
+        ).alias("_bucket"),
+    )
+    inside = (F.col("ts_us") >= F.col("start_us")) & (F.col("ts_us") < F.col("end_us"))
+    return (
+        arrivals.join(lives, ["key", "_bucket"])
+        .filter(inside)
+        .groupBy("key", "start_us")
+        .agg(F.min("ts_us").alias("ts_us"))
+        .select("key", "ts_us")
+    )
+
+
 def hot_rules(rules: DataFrame, epoch_us: int = EPOCH_US, n: int = 2) -> DataFrame:
     """Keys seen in every one of the last n epochs, per epoch."""
     seen = rules.select(F.expr(f"ts_us div {epoch_us}").alias("epoch"), *KEY).distinct()

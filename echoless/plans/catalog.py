@@ -652,13 +652,16 @@ _HOST_RUNS = """(select ip, min(a) as a, max(b) as b from (
     then 1 else 0 end as brk from (
   select ip, ts_us as a, ts_us + 60000000 as b from rules union all select ip, start_us, end_us from intervals)))
   group by ip, run)"""
+_PORT_SQL = """(select *, rx - coalesce(lag(rx) over w, rx) as rx_s, tx - coalesce(lag(tx) over w, tx) as tx_s
+  from port_rows window w as (partition by port order by ts_us))"""
 _REPORT_SQL = f"""
 select s as sec, cast((s * 1000000 // 2000000) % 2 as int) as epoch,
   (select count(*) from rules where ts_us // 2000000 = s * 1000000 // 2000000 - 1) as group0,
   (select count(distinct (ip, port, proto)) from rules where ts_us // 2000000 = s * 1000000 // 2000000 - 1) as group1,
   case when s * 1000000 % 2000000 = 0 then 1 else 0 end as switched,
   (select count(*) from rules where ts_us // 1000000 = s) as in_s,
-  (select count(*) from (select key, min(ts_us) as ts_us from ({_KEYS_SQL}) k where {_NOT_FAILED} group by key)
+  (select count(*) from (select min(k.ts_us) as ts_us from ({_KEYS_SQL}) k join intervals i on k.key = i.ip*16777216 + i.port*256 + i.proto
+    and k.ts_us >= i.start_us and k.ts_us < i.end_us where {_NOT_FAILED} group by k.key, i.start_us)
     where ts_us // 1000000 = s) as pend_add_s,
   (select count(*) from intervals where start_us // 1000000 = s) as inst_s,
   (select count(*) from failures where fail_us // 1000000 = s) as add_fail_s,
@@ -666,14 +669,20 @@ select s as sec, cast((s * 1000000 // 2000000) % 2 as int) as epoch,
   (select count(*) from intervals where start_us // 1000000 <= s and end_us // 1000000 > s) as local,
   (select count(*) from intervals where start_us // 1000000 <= s and end_us // 1000000 > s) as usage,
   (select count(*) from {_HOST_RUNS} where a // 1000000 <= s and b // 1000000 > s) as active_hosts,
-  (select count(*) from hits where ts_us // 1000000 = s) as rx_pkts_s
+  (select cast(coalesce(sum(rx_s), 0) as bigint) from {_PORT_SQL} where ts_us // 1000000 - 1 = s) as rx_pkts_s,
+  (select cast(coalesce(sum(tx_s), 0) as bigint) from {_PORT_SQL} where ts_us // 1000000 - 1 = s) as tx_pkts_s
 from (select unnest(range((select min(ts_us) // 1000000 from rules), (select max(ts_us) // 1000000 from rules) + 1)) as s)"""
 
 
+def _ports(spark, d):
+    p = fx.packets(spark, d).withColumn("port", F.expr("64 + (src_ip + dst_ip) % 2"))
+    return counters.port_counters(counters.port_samples(p, fx.subnets(spark)))
+
+
 def _report(spark, d):
     sent = _rules(spark, d)
     return counters.controller_report(
-        sent, _intervals(spark, d), fx.failures(sent), _hits(spark, d)
+        sent, _intervals(spark, d), fx.failures(sent), _ports(spark, d)
     )
 
 
@@ -684,7 +693,7 @@ def controller_report(spark, d):
 
 _REPORT_FIELDS = (
     "epoch", "group0", "group1", "switched", "in_s", "pend_add_s", "inst_s", "add_fail_s", "hot_rules", "local", "usage",
-    "active_hosts", "rx_pkts_s",
+    "active_hosts", "rx_pkts_s", "tx_pkts_s",
 )
 _REPORT_COLUMNS = ", ".join(
     f"cast({n} as bigint) as {n}" if n in _REPORT_FIELDS else f"cast(null as bigint) as {n}" for n in CONTROLLER_FIELDS[2:]
@@ -715,8 +724,7 @@ def installed_per_host(spark, d):
 select port, ts_us, rx, tx, rx - coalesce(lag(rx) over w, rx) as rx_s, tx - coalesce(lag(tx) over w, tx) as tx_s
 from port_rows window w as (partition by port order by ts_us)""")
 def port_counters(spark, d):
-    p = fx.packets(spark, d).withColumn("port", F.expr("64 + (src_ip + dst_ip) % 2"))
-    return counters.port_counters(counters.port_samples(p, fx.subnets(spark)))
+    return _ports(spark, d)
 
 
 # Reports
