@@ -11,10 +11,11 @@ from ..schema import CONTROLLER_FIELDS, STAT_DOUBLES, STAT_FIELDS
 from ..sources import frames, packets, sinks, statfiles
 from ..sources import nets as net_files
 from ..streaming import jobs
+from ..streaming.ordered import LateRows
 from . import fixtures as fx
 from . import reports
 from .oracle import build
-from .storage import run_stream, shared_dir
+from .storage import run_in_steps, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,16 +52,6 @@ def _now(spark, d):
     return fx.packets(spark, d).agg(F.max("ts_us")).scalar()
 
 
-def _event_stream(spark, d) -> DataFrame:
-    """The packets as a stream: the events table read file by file."""
-    events = spark.read.parquet(f"{d}/events.parquet").schema
-    return packets.with_event_time(
-        fx.packets_of(
-            spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(d)
-        )
-    )
-
-
 _INTERNAL_HOST = "between 2193620992 and 2193686527"
 _NOW = "(select max(ts_us) from packets)"
 
@@ -871,57 +862,61 @@ def host_offset(spark, d):
     )
 
 
-# Streams: the whole input as a stream, compared with the batch rules at the
-# stream's final watermark
-
-
-_MARK = "((select max(ts_us) from packets) // 1000 * 1000 - 1000000)"
+# Streams: the whole input in steps and a closing marker, compared with the
+# batch rules. The marker lets time pass, so no flow stays open.
 
 
-@_query(f"""
+@_query("""
 select case when reply_ts is null then 'unanswered' else 'replied' end as status, proto, src_ip, dst_ip,
-  src_port, dst_port, t0, first_pkt_id, reply_ts from flows
-where (status = 'replied' and reply_ts <= {_MARK}) or
-  (reply_ts is null and t0 + 1000000 <= {_MARK})""")
+  src_port, dst_port, t0, first_pkt_id, reply_ts from flows""")
 def track_flows_stream(spark, d):
-    return run_stream(jobs.track_flows_stream(_event_stream(spark, d)))
-
-
-_RULE_MARK = "((select max(ts_us) from rules) // 1000 * 1000 - 1000000)"
-
-
-def _rule_stream(spark, d) -> DataFrame:
-    path = shared_dir(spark)
-    sinks.write_rules(_rules(spark, d), path)
-    return packets.with_event_time(
-        spark.readStream.schema("ts_us bigint, ip bigint, port int, proto int").parquet(path)
+    return run_in_steps(
+        fx.packets(spark, d), lambda p: jobs.track_flows_stream(packets.with_event_time(p))
     )
 
 
-@_query(f"select ts_us, ip, port, proto from kept where ts_us <= {_RULE_MARK}")
+@_query("select ts_us, ip, port, proto from kept")
 def cooldown_stream(spark, d):
-    return run_stream(jobs.cooldown_stream(_rule_stream(spark, d)))
-
-
-_ACTIVITY_MARK = "((select max(ts_us) from activity) // 1000 * 1000 - 1000000)"
+    return run_in_steps(
+        _rules(spark, d), lambda r: jobs.cooldown_stream(packets.with_event_time(r))
+    )
 
 
-@_query(f"""
+@_query("""
 select ip, port, proto, min(case when is_rule then ts_us end) as start_us, max(ts_us) + 5000000 as end_us,
   count(case when not is_rule then 1 end) as n_hits from lives group by ip, port, proto, life
-having start_us is not null and max(ts_us) + 5000000 <= {_ACTIVITY_MARK}""")
+having start_us is not null""")
 def rule_sessions_stream(spark, d):
-    path = shared_dir(spark)
-    _rules(spark, d).withColumn("is_rule", F.lit(True)).unionByName(
+    activity = _rules(spark, d).withColumn("is_rule", F.lit(True)).unionByName(
         _hits(spark, d).withColumn("is_rule", F.lit(False))
-    ).write.parquet(path)
-    schema = "ts_us bigint, ip bigint, port int, proto int, is_rule boolean"
-    activity = packets.with_event_time(spark.readStream.schema(schema).parquet(path))
-    return run_stream(jobs.rule_sessions_stream(activity))
+    )
+    return run_in_steps(
+        activity, lambda a: jobs.rule_sessions_stream(packets.with_event_time(a))
+    )
 
 
-@_query(f"""
-select ts_us // 2000000 as epoch, count(*) as n_rules from rules group by epoch
-having (epoch + 1) * 2000000 <= {_RULE_MARK}""")
+@_query("select ts_us // 2000000 as epoch, count(*) as n_rules from rules group by epoch")
 def epoch_windows_stream(spark, d):
-    return run_stream(jobs.epoch_windows_stream(_rule_stream(spark, d))).drop("approx_keys")
+    return run_in_steps(
+        _rules(spark, d), lambda r: jobs.epoch_windows_stream(packets.with_event_time(r))
+    ).drop("approx_keys")
+
+
+@_query("select count(*) as late from packets where ts_us < (select max(ts_us) // 2 from packets) and pkt_id % 97 = 0")
+def late_packets(spark, d):
+    """Packets that come after everything else and long after their time."""
+    p, root = fx.packets(spark, d), shared_dir(spark)
+    slow = (F.col("ts_us") < p.agg(F.expr("max(ts_us) div 2")).scalar()) & (F.col("pkt_id") % 97 == 0)
+    late = LateRows()
+    spark.streams.addListener(late)
+    for part in (p.filter(~slow), p.filter(slow)):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = packets.with_event_time(packets.read_packets(spark, f"{root}/in", streaming=True))
+        query = (
+            jobs.track_flows_stream(stream).writeStream.format("parquet")
+            .option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+            .trigger(availableNow=True).start()
+        )
+        n = late.of(query)
+    spark.streams.removeListener(late)
+    return spark.range(1).select(F.lit(n).cast("bigint").alias("late"))

@@ -1,8 +1,10 @@
 """Where jobs put tables that other tasks read back."""
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,9 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/echoless-{uuid.uuid4().hex}"
 
 
-def run_stream(stream: DataFrame) -> DataFrame:
-    """Run a stream over all there is and read back what it wrote."""
-    root = shared_dir(stream.sparkSession)
+def run_stream(stream: DataFrame, root: str | None = None) -> DataFrame:
+    """Run a stream over all there is and read back what it wrote.
+
+    With the same root a stream that ran before goes on where it stopped.
+    """
+    root = root or shared_dir(stream.sparkSession)
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{root}/out")
@@ -30,3 +35,25 @@ def run_stream(stream: DataFrame) -> DataFrame:
     )
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def run_in_steps(
+    rows: DataFrame, build: Callable[[DataFrame], DataFrame], steps: int = 2, close_us: int = 3_600_000_000
+) -> DataFrame:
+    """Hand a bounded table to a stream in steps of rising `ts_us`, stop it after each, and close it.
+
+    The close is a marker row, a time of close_us after the last one with NULL
+    or zero elsewhere. It moves the watermark past all rows and is never
+    settled itself, so nothing is left waiting in state.
+    """
+    spark, root = rows.sparkSession, shared_dir(rows.sparkSession)
+    first, last = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
+    if first is None:
+        first = last = 0
+    width = (last - first) // steps + 1
+    parts = [rows.filter(F.expr(f"(ts_us - {first}) div {width}") == i) for i in range(steps)]
+    zero = [F.lit(0).cast(f.dataType).alias(f.name) if f.name != "ts_us" else F.lit(last + close_us).alias("ts_us") for f in rows.schema]
+    for part in [*parts, spark.range(1).select(*zero)]:
+        part.write.mode("append").parquet(f"{root}/in")
+        out = run_stream(build(spark.readStream.schema(rows.schema).parquet(f"{root}/in")), root)
+    return out

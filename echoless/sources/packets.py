@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from ..schema import CLOCK_ORIGIN_US, PACKETS
 
 
-def read_packets(spark: SparkSession, paths, streaming: bool = False, schema=PACKETS) -> DataFrame:
+def read_packets(
+    spark: SparkSession, paths, streaming: bool = False, schema=PACKETS, **options
+) -> DataFrame:
     """Packets of one or many interfaces.
 
     `paths` is a path, or a mapping from interface name to path, which adds an
-    `iface` column. Streams read files as they arrive.
+    `iface` column. Streams read files as they arrive; `options` go to the
+    reader, as maxFilesPerTrigger or maxBytesPerTrigger for a backlog.
     """
 
     def read(path: str) -> DataFrame:
         reader = spark.readStream if streaming else spark.read
-        return reader.schema(schema).parquet(path)
+        return reader.schema(schema).options(**options).parquet(path)
 
     if isinstance(paths, str):
         return read(paths)
