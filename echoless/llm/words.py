@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; one longer text is worked on alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 SPACES = np.ones(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = False
