@@ -110,6 +110,16 @@ def ternary_match(p: DataFrame, match_rules: DataFrame, default: str) -> DataFra
     for i, pair in enumerate(pairs):
         best = f"_best{i}"
         found.append(best)
+        if pair.src_mask == 0 and pair.dst_mask == 0:
+            # It asks for nothing: one rule for all packets with addresses, not one key for a join.
+            anything = match_rules.filter("src_mask = 0 and dst_mask = 0 and src_val = 0 and dst_val = 0")
+            rule = anything.agg(F.min(order).alias("r")).first().r
+            if rule is None:
+                found.pop()
+                continue
+            constant = F.struct(*[F.lit(rule[n]).cast(match_rules.schema[n].dataType).alias(n) for n in ("priority", "pos", "action")])
+            out = out.withColumn(best, F.when(src.isNotNull() & dst.isNotNull(), constant))
+            continue
         side = (
             match_rules.filter(
                 (F.col("src_mask") == pair.src_mask) & (F.col("dst_mask") == pair.dst_mask)
@@ -121,6 +131,8 @@ def ternary_match(p: DataFrame, match_rules: DataFrame, default: str) -> DataFra
             dst.bitwiseAND(pair.dst_mask) == F.col("_dv")
         )
         out = out.join(side, on, "left").drop("_sv", "_dv")
+    if not found:
+        return out.withColumn("action", F.lit(default))
     winner = F.col(found[0]) if len(found) == 1 else F.least(*found)
     return out.withColumn("action", F.coalesce(winner["action"], F.lit(default))).drop(*found)
 

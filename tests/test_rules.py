@@ -99,6 +99,18 @@ def test_long_match_tables_use_joins_and_agree(spark, monkeypatch):
     assert {r.action for r in inline} == {"low", "high", "first", "none"}
 
 
+def test_a_rule_for_everything_agrees_on_both_paths(spark, monkeypatch):
+    table = spark.createDataFrame(
+        [(0, 0, 0, 0, 0, 9, "any"), (1, 5, 0, 0, 0, 1, "never"), (2, 0x80000000, 0x80000000, 0, 0, 7, "high")],
+        "pos int, src_val bigint, src_mask bigint, dst_val bigint, dst_mask bigint, priority int, action string",
+    )
+    p = packets(spark).unionByName(spark.createDataFrame([(999, 0, 6, None, 1, 1, 2)], PACKETS))
+    inline = nets.ternary_match(p, table, "none").select("pkt_id", "action").collect()
+    monkeypatch.setattr(nets, "MAX_INLINE", 1)
+    assert sorted(inline) == sorted(nets.ternary_match(p, table, "none").select("pkt_id", "action").collect())
+    assert {r.action for r in inline} == {"any", "high", "none"}
+
+
 def test_messages_round_trip_when_one_flush_holds_most(spark):
     rows = [(RNG.randrange(0, 10_000), RNG.randrange(1 << 32), RNG.randrange(65536), 17) for _ in range(900)]
     rows += [(5_000, i, i % 65536, 6) for i in range(900)] + [(70_000, 1, 2, 6)]
