@@ -34,7 +34,7 @@ from echoless.llm.words import SPACES, Slice, byte_powers, gram_hashes, mix, sli
 WINDOW = 13
 ROUNDS = 4
 #: A symbol of fewer words tells too little; a window without a longer one is filed under itself.
-LEAST = 4
+LEAST = 3
 BLOCK_BYTES = 4 << 20
 #: Of the blocks' symbols, as many are compared in one group as this many blocks have.
 BLOCKS_A_GROUP = 8
