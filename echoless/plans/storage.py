@@ -5,6 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..streaming.ordered import rocksdb_state
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +28,14 @@ def run_stream(stream: DataFrame, root: str | None = None) -> DataFrame:
     With the same root a stream that ran before goes on where it stopped.
     """
     root = root or shared_dir(stream.sparkSession)
-    query = (
+    with rocksdb_state(stream.sparkSession):
+        query = _start(stream, root)
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def _start(stream: DataFrame, root: str) -> StreamingQuery:
+    return (
         stream.writeStream.format("parquet")
         .option("path", f"{root}/out")
         .option("checkpointLocation", f"{root}/state")
@@ -33,8 +43,6 @@ def run_stream(stream: DataFrame, root: str | None = None) -> DataFrame:
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
 
 
 def run_in_steps(

@@ -1,6 +1,7 @@
 """The batch operators on streams of packets and rules.
 
-Inputs carry `ts` (see `with_event_time`); outputs are append-only.
+Inputs carry `ts` (see `with_event_time`); outputs are append-only. State grows with
+the open flows: start the streams within `ordered.rocksdb_state`.
 """
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from ..schema import (
     REPLY_TIMEOUT_US,
     RULE_TTL_US,
 )
-from .ordered import CooldownFold, FlowFold, fold_stream, use_rocksdb
+from .ordered import CooldownFold, FlowFold, fold_stream
 
 
 def track_flows_stream(
@@ -28,7 +29,6 @@ def track_flows_stream(
 ) -> DataFrame:
     """Replied flows when the reply is certain, unanswered ones once the
     watermark is a reply timeout past their first packet."""
-    use_rocksdb(p.sparkSession)
     keyed = p.select("ts", *flow_key(), "ts_us", "pkt_id", flow_side().alias("side"))
     schema = (
         "proto int, ep_lo bigint, ep_hi bigint, status string, side int, t0 bigint,"
@@ -41,7 +41,6 @@ def track_flows_stream(
 def cooldown_stream(
     rules: DataFrame, watermark: str = "1 second", cooldown_us: int = COOLDOWN_US
 ) -> DataFrame:
-    use_rocksdb(rules.sparkSession)
     keyed = rules.select(
         "ts", *KEY, "ts_us", F.lit(0).cast("bigint").alias("pkt_id"), F.lit(0).alias("side")
     )

@@ -7,6 +7,7 @@ watermark. Rows later than that are dropped and counted by Spark.
 
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from threading import Event
 
 import pandas as pd
@@ -143,12 +144,19 @@ def fold_stream(rows: DataFrame, fold: OrderedFold, schema: str, watermark: str)
     )
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keep keyed state outside the JVM heap, as it grows with the open flows."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep keyed state outside the JVM heap, as it grows with the open flows.
+
+    The session's own setting is back afterwards.
+    """
+    name = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if own is None else spark.conf.set(name, own)
 
 
 class LateRows(StreamingQueryListener):
