@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 from echoless.llm.labelled_pages import LABELLED_PAGES
 from echoless.llm.sampling import at_most
 
-#: Elements that begin and end a block, those whose content is no text, and those that have no end. Fixed values.
+#: Elements that begin and end a block, those whose content is no text (and of these those that end at "/>"), and those
+#: that have no end. Fixed values. Text in math, svg and object is inline content.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html iframe label legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-SILENT = ("script", "style", "noscript", "template", "textarea", "select", "svg", "math", "object", "iframe", "title")
+SILENT = ("script", "style", "noscript", "template", "textarea", "select", "iframe", "title", "desc", "metadata")
+SELF_CLOSED = ("title", "desc", "metadata")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of the left kind ends where one of the right kinds begins. Fixed values.
 IMPLIED_END = {
@@ -46,7 +48,8 @@ ASIDE_WORDS = {"ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "
 CUES = re.compile(r"\b(?:cookies?|subscribe|newsletter|sign up|log ?in|register|advertisement|sponsored|copyright|all rights reserved|privacy|terms|imprint|impressum|reply|share|follow us)\b|©", re.I)
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(?P<silent>" + "|".join(SILENT) + r")\b[^>]*+(?:/>|>.*?(?:</(?P=silent)\s*+>|$))"
+    r"<!--.*?(?:-->|$)|<(?:" + "|".join(SELF_CLOSED) + r")(?=[\s/])[^>]*+(?<=/)>"
+    r"|<(?P<silent>" + "|".join(SILENT) + r")(?=[\s/>])[^>]*+>.*?(?:</(?P=silent)(?=[\s/>])[^>]*+>|$)"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest2>[^>]*+)(?:>|$)|<[!?/][^>]*+(?:>|$)""",
     re.S | re.I,
 )
@@ -84,6 +87,8 @@ class _Reader:
         if tag == "br":
             self.parts.append(" ")
             return
+        if tag == "text":  # labels of a drawing stand apart
+            self.parts.append(" ")
         if tag in BLOCKS:
             self.flush()
             while self.stack and tag in IMPLIED_END.get(self.stack[-1][0], ()):

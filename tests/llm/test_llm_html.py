@@ -29,6 +29,16 @@ def test_blocks_of_broken_markup():
     assert texts('<p class="a>b</p><p>c</p>') != []
 
 
+def test_no_text_is_swallowed_by_empty_custom_or_foreign_elements():
+    texts = lambda page: [b.text for b in html_text.leaf_blocks(page)]
+    assert texts('<p>a <svg class="i"/>b <math/>c</p><p>d <svg/> e</p>') == ["a b c", "d e"]
+    assert texts("<p>a<svg-icon></svg-icon> b</p><title-bar>c</title-bar><p>d</p><select-box>e</select-box><p>f") == ["a b", "c", "d", "e", "f"]
+    assert texts("<p>as <math><mi>x</mi><mo>=</mo><mn>1</mn></math> shows</p>") == ["as x=1 shows"]
+    assert texts('<p>see <object data="f.swf"><param name="a" value="b">the film</object> here</p>') == ["see the film here"]
+    assert texts("<p>a <svg><title/><desc>no</desc><style>p{}</style><path d='M0'/><text>one</text><text>two</text></svg> b</p>") == ["a one two b"]
+    assert texts("<svg><title>no</title></svg><p>x</p><script>no</script ><p>y</p><style/>no</style><p>z") == ["x", "y", "z"]
+
+
 def test_paths_end_where_elements_end():
     blocks = html_text.leaf_blocks('<div class="Side-Bar x1"><p>a<p><b>b</div><article id=main>c</article>')
     assert [[t for t, _ in b.path] for b in blocks] == [["div", "p"], ["div", "p", "b"], ["article"]]
