@@ -6,14 +6,16 @@ them are aligned in the same way. Coverage is the share of the template's words
 that are aligned.
 
 A text is aligned only where it can reach the wanted coverage: as a whole, and
-in the stretches, it must hold enough of the template's words.
+in the stretches, it must hold enough of the template's words. Where in a
+stretch a copy stands is told by longest common subsequences, which are also
+taken where copies repeat so much within themselves that anchors are missing.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +81,7 @@ class Templates:
         self.words = [number[a:b].tolist() for a, b in zip(part.first, part.first[1:])]
         #: How often each word stands in each template.
         self.times = np.stack([np.bincount(w, minlength=len(self.known)) for w in self.words])
+        self.common = [(_Common(w), _Common(w[::-1])) for w in self.words]
 
     def numbers(self, part: Slice) -> np.ndarray:
         """The number of each word of a slice, -1 if no template has it."""
@@ -100,33 +103,77 @@ class Templates:
         return out
 
 
+class _Common:
+    """Longest common subsequences of a text with a template, a word of text at a time: a bit for each word of the
+    template, cleared where one more word is aligned."""
+
+    def __init__(self, template: list[int]):
+        self.full = (1 << len(template)) - 1
+        self.of: dict[int, int] = {}
+        for i, w in enumerate(template):
+            self.of[w] = self.of.get(w, 0) | 1 << i
+
+    def lengths(self, words: Iterable[int]) -> Iterator[tuple[int, int]]:
+        """(place, aligned words up to there) wherever one more is aligned."""
+        free, length = self.full, 0
+        for i, w in enumerate(words):
+            if m := self.of.get(w):
+                u = free & m
+                free = ((free + u) | (free - u)) & self.full
+                if (now := self.full.bit_count() - free.bit_count()) > length:
+                    length = now
+                    yield i, now
+
+    def first(self, words: Iterable[int], need: int) -> int:
+        """The first place up to which need words are aligned; -1 if there is none."""
+        return next((i for i, length in self.lengths(words) if length >= need), -1)
+
+    def closest(self, words: Iterable[int], need: int) -> tuple[int, int]:
+        """(place, aligned words) of at least need, with the fewest words that only one side has; the nearest of equals."""
+        return min(((i, k) for i, k in self.lengths(words) if k >= need), key=lambda f: (f[0] + 1 - 2 * f[1], f[0]))
+
+
 def matches(words: np.ndarray, templates: Templates, t: int, coverage: float) -> list[tuple[int, int, int]]:
     """(begin, end, aligned words) of each stretch of a text that covers template t, apart from each other.
 
     The text is cut into overlapping stretches of twice STRETCH template
-    lengths, so that one lies around any place the template can stand in.
+    lengths, so that one lies around any place the template can stand in. In a
+    stretch the windows of up to STRETCH template lengths that have the wanted
+    coverage are taken from the left. So each of several copies is aligned on
+    its own: words that both have are no anchors of the stretch.
     """
     template = templates.words[t]
     n, step = len(template), STRETCH * len(template)
+    need = max(int(np.ceil(coverage * n - 1e-9)), 1)
+    forward, backward = templates.common[t]
     own = templates.times[t]
     inside = np.concatenate([[0], np.cumsum((words >= 0) & (own[words] > 0))])
+    text = words.tolist()
     found, done = [], 0
     for a in range(0, max(len(words) - step, 0) + 1, step) if len(words) else ():
         lo, hi = max(a, done), min(a + 2 * step, len(words))
-        while hi > lo and inside[hi] - inside[lo] >= coverage * n:
+        while hi > lo and inside[hi] - inside[lo] >= need:
             part = words[lo:hi]
             counts = np.bincount(part[part >= 0], minlength=len(own))
-            if np.minimum(counts, own).sum() < coverage * n:
+            if np.minimum(counts, own).sum() < need:
                 break
-            pairs = _densest(patience(part.tolist(), template), n)
-            if len(pairs) < coverage * n:
+            last = forward.first(text[lo:hi], need)
+            if last < 0:
                 break
-            # The stretch may have cut it: once more, with room on both sides.
-            near = max(lo + pairs[0][0] - n, done)
-            again = _densest(patience(words[near : lo + pairs[-1][0] + 1 + n].tolist(), template), n)
-            begin, pairs = (near, again) if len(again) >= len(pairs) else (lo, pairs)
-            found.append((begin + pairs[0][0], begin + pairs[-1][0] + 1, len(pairs)))
-            done = lo = begin + pairs[-1][0] + 1
+            end = lo + last + 1
+            begin = end - 1 - backward.first(text[lo:end][::-1], need)
+            if end - begin > step:  # any that ends later and is shorter begins later too
+                lo = begin + 1
+                continue
+            end = begin + 1 + forward.closest(text[begin : begin + step], need)[0]
+            place, aligned = backward.closest(text[max(done, end - step) : end][::-1], need)
+            begin = end - 1 - place
+            pairs = patience(text[begin:end], template)
+            if len(pairs) >= need:
+                found.append((begin + pairs[0][0], begin + pairs[-1][0] + 1, len(pairs)))
+            else:  # too few words that stand once
+                found.append((begin, end, aligned))
+            done = lo = end
     return found
 
 

@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 
 from echoless.llm import licenses
@@ -57,6 +58,51 @@ def test_licenses_found(spark):
     assert not found[4].found and not found[5].found and not found[8].found
 
 
+def test_repeated_copies_are_each_found():
+    known = licenses.Templates(LICENSES)
+    mit = known.words[0]
+    for before, between, after, copies in [(1, 5, 1, 2), (3, 0, 0, 2), (0, 1, 400, 3), (700, 40, 9, 4), (2, 2, 2, 20)]:
+        words, at = [-1] * before, []
+        for _ in range(copies):
+            at.append((len(words), len(words) + len(mit), len(mit)))
+            words += mit + [-1] * between
+        assert licenses.matches(np.array(words + [-1] * after), known, 0, 0.85) == at
+
+
+def _common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_changed_copies_against_brute_force():
+    """As many stretches as there are windows apart from each other that cover the template."""
+    template = "a b c d a e f g h b i j k l m a n o p q"
+    known = licenses.Templates((("T", template),))
+    (t,), n, rng = known.words, 20, random.Random(9)
+    for _ in range(40):
+        words = [-1] * rng.randrange(5)
+        for _ in range(rng.randrange(1, 5)):
+            copy = list(t)
+            for _ in range(rng.randrange(5)):
+                copy[rng.randrange(len(copy))] = rng.choice([-1, *t])
+            for _ in range(rng.randrange(4)):
+                copy.insert(rng.randrange(len(copy)), -1)
+            words += copy + [rng.choice([-1, -1, *t]) for _ in range(rng.randrange(8))]
+        apart, done = 0, 0
+        for e in range(len(words) + 1):
+            if e - done >= 17 and _common(words[max(done, e - 2 * n) : e], t) >= 17:
+                apart, done = apart + 1, e
+        found = licenses.matches(np.array(words), known, 0, 0.85)
+        assert len(found) == apart
+        assert all(b <= c for (_, b, _), (c, _, _) in zip(found, found[1:]))
+        assert all(17 <= k <= _common(words[a:b], t) for a, b, k in found)
+
+
 def test_filter_loses_nothing(spark):
     """What the filter keeps out cannot reach the coverage: all texts against all templates without it."""
     known = licenses.Templates(LICENSES)
