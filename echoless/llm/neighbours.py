@@ -69,10 +69,10 @@ class Tree:
                 todo += [(child, rows[near == k]) for k, child in enumerate(self.children[node])]
         return out
 
-    def best_bins(self, q: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves of a query, best bin first."""
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < most:
+    def best_bins(self, q: np.ndarray, most: int, held: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first `most` leaves of a query, best bin first, and more until they hold `least` of the rows held has for each leaf."""
+        queue, found, rows = [(0.0, 0)], [], 0
+        while queue and (len(found) < most or rows < least):
             _, node = heapq.heappop(queue)
             while self.leaf[node] < 0:
                 d = _distances(q[None], self.centres[node])[0]
@@ -82,6 +82,7 @@ class Tree:
                         heapq.heappush(queue, (float(d[k]), child))
                 node = self.children[node][near]
             found.append(self.leaf[node])
+            rows += held.get(found[-1], 0) if held else 0
         return found
 
 
@@ -119,12 +120,12 @@ def _top(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int) -
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding of the rows that take part: no null, zero or non-finite vector, none without vec_id,
-    and of several lengths the commonest (the longer of equals)."""
+    and of several lengths the commonest (the longer of equals). Rows that repeat are one."""
     x = F.col("embedding")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(fine, F.lit(False)))
     sizes = rows.groupBy(F.size(x).alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    return rows.filter(F.size(x) == (sizes["size"] if sizes else 0))
+    return rows.filter(F.size(x) == (sizes["size"] if sizes else 0)).distinct()
 
 
 def fit_tree(rows: DataFrame, n_rows: int, sample: int, leaf_rows: int, branches: int, seed: int) -> Tree:
@@ -180,11 +181,11 @@ def search(
     """For each row whose vec_id is divisible by `every` its k nearest other rows: query_id, rank, vec_id, score.
 
     Rows that usable() leaves out neither ask nor answer. Rows with the query's
-    vec_id are its own and no answer; fewer than k candidates are all given,
-    if the leaves visited have them. Other columns are left alone.
+    vec_id are its own and no answer; fewer than k candidates are all given.
+    Rows that repeat count once. Other columns are left alone.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors)
+    rows = stored(usable(vectors))
     n_rows = rows.count()
     tree = fit_tree(rows, n_rows, sample, leaf_rows, branches, seed)
     sent = spark.sparkContext.broadcast((tree.centres, tree.children, tree.leaf, tree.n_leaves))  # plain values: executors need not have this module
@@ -201,13 +202,17 @@ def search(
     visits = calibrated_visits(placed, queries, tree, k, recall, calibration)
     if n_rows <= k * tree.n_leaves:
         visits = tree.n_leaves  # so few rows that a leaf may hold less than k
+    # A row for each leaf; the tree bounds their number.
+    held = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
+    queries = queries.join(queries.groupBy("vec_id").agg(F.count("*").alias("n_own")), "vec_id")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Tree(*sent.value)
         for batch in batches:
-            found = [own.best_bins(v, visits) for v in _matrix(batch.column("embedding"))]
+            n_own = batch.column("n_own").to_pylist()
+            found = [own.best_bins(v, visits, held, k + n) for v, n in zip(_matrix(batch.column("embedding")), n_own)]
             of = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            yield pa.RecordBatch.from_arrays([*(c.take(of) for c in batch.columns), pa.array([leaf for f in found for leaf in f], pa.int32())], names=["query_id", "query", "leaf"])
+            yield pa.RecordBatch.from_arrays([*(c.take(of) for c in batch.columns[:2]), pa.array([leaf for f in found for leaf in f], pa.int32())], names=["query_id", "query", "leaf"])
 
     probes = stored(queries.mapInArrow(probe, f"query_id long, query {kind}, leaf int"))
     # A row for each leaf; the tree bounds their number.

@@ -65,6 +65,27 @@ def test_few_rows_and_none(spark):
     assert neighbours.search(vectors(spark, [(0, None), (100, [0.0])])).count() == 0
 
 
+def test_repeated_rows_take_no_place(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).round(3).tolist()) for i in range(300)]
+    near = {q: brute(rows)[q][0][1] for q in (0, 100, 200)}
+    truth = brute(rows)
+    repeated = rows * 2 + [r for r in rows if r[0] in near.values()] * 10
+    found = neighbours.search(vectors(spark, repeated), recall=1.0, leaf_rows=40, calibration=1000, branches=3).collect()
+    for q, expected in truth.items():
+        assert [v for _, v in sorted((r.rank, r.vec_id) for r in found if r.query_id == q)] == [i for _, i in expected]
+
+
+def test_queries_in_tiny_leaves_get_all_their_neighbours(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i + 1, rng.normal(size=4).round(3).tolist()) for i in range(400)]
+    rows = [(i, v) for i, v in rows if i % 100] + [(0, [1e4, 0.0, 0.0, 0.0]), (500, [1e4, 1.0, 0.0, 0.0]), (501, [1e4, 2.0, 0.0, 0.0])]
+    found = neighbours.search(vectors(spark, rows), recall=0.05, leaf_rows=50, branches=2).collect()
+    for q in (0, 500):
+        got = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == q)
+        assert [g[0] for g in got] == list(range(1, 11)) and [g[1] for g in got[:2]] == [i for _, i in brute(rows)[q][:2]]
+
+
 def test_best_bins_visit_each_leaf_once_nearest_first():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 3))
