@@ -35,7 +35,8 @@ def op3_decontaminate(spark, d):
     """How much of every document stands in benchmark items too."""
     found = decontaminate.contamination(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    n_items = F.col("n_items") + F.col("unnamed").cast("long")  # all items without an id are one, without a name
+    return found.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 @_query

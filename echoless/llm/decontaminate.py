@@ -167,9 +167,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: i
     words of the item, in its order. Items of fewer than span words hit where
     they occur as a whole. Null and empty texts have no words; rows that repeat
     are judged each on its own, and a repeated item counts once. item_id comes
-    as a string; items without one take no part. Other columns are left alone.
+    as a string, null for items without one. Other columns are left alone.
     """
-    items = benchmark.select("item_id", "text").filter("item_id is not null")
+    items = benchmark.select("item_id", "text")
     items = stored(items.mapInArrow(_item_rows(span, k), "item_id string, h long, m int, item_lead int, item_words string").distinct())
     lengths = sorted(r[0] for r in items.filter("m > 0").select("m").distinct().collect())  # all below span
     bits = docs.sparkSession.sparkContext.broadcast(_known_bits(items))
@@ -184,9 +184,10 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: i
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
-    """One row for each row of docs: row_id, doc_id, n_words, n_hit, n_items, items (sorted), spans.
+    """One row for each row of docs: row_id, doc_id, n_words, n_hit, n_items, items (sorted), unnamed, spans.
 
-    spans has the hit stretches as (begin, end) in words, end exclusive, apart
+    n_items and items tell of items with an item_id, unnamed whether any without
+    one is hit. spans has the hit stretches as (begin, end) in words, end exclusive, apart
     from each other and in order. See benchmark_hits for what counts as a hit.
     """
     counts, hits = benchmark_hits(docs, benchmark, span, k)
@@ -199,10 +200,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     stretch = stretch.withColumn("_no", F.sum("_new").over(so_far)).groupBy("row_id", "_no").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
     spans = stretch.groupBy("row_id").agg(F.sum(F.col("end") - F.col("begin")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
     items = hits.select("row_id", "item_id").distinct()
-    items = items.groupBy("row_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    items = items.groupBy("row_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"), F.max(F.col("item_id").isNull()).alias("unnamed"))
     joined = counts.join(spans, "row_id", "left").join(items, "row_id", "left")
     none = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
         "row_id", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.size(none).cast("long").alias("n_items"), none.alias("items"), "spans",
+        F.size(none).cast("long").alias("n_items"), none.alias("items"), F.coalesce("unnamed", F.lit(False)).alias("unnamed"), "spans",
     )

@@ -1,6 +1,11 @@
 import re
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+
+from compare import connect, mismatch
 from echoless.llm import decontaminate, repeats
+from echoless.llm.catalog import ORACLES, QUERIES
 from text_tables import DOCS, hard_docs, hard_rows, same
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -43,6 +48,17 @@ def test_benchmark_passages(spark):
         assert r.n_hit == sum(s.end - s.begin for s in r.spans or ()) and r.n_items == len(r["items"])
 
 
+def test_items_without_an_id_hit_as_the_sql_says(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    docs = [(1, " ".join(words[:30])), (2, " ".join(words[30:])), (3, " ".join(words)), (4, "one two"), (5, "none of it")]
+    items = [("a", " ".join(words[:12])), (None, " ".join(words[40:55])), (None, "one two"), (None, None)]
+    for name, rows, columns in (("documents", docs, ("doc_id", "text")), ("benchmark", items, ("item_id", "text"))):
+        pq.write_table(pa.table(dict(zip(columns, map(list, zip(*rows))))), f"{tmp_path}/{name}.parquet")
+    found = decontaminate.contamination(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()
+    assert sorted((r.doc_id, r.n_hit, r["items"], r.unnamed) for r in found) == [(1, 12, ["a"], False), (2, 15, [], True), (3, 27, ["a"], True), (4, 2, [], True), (5, 0, [], False)]
+    assert mismatch(spark, connect(tmp_path), tmp_path, QUERIES["op3_decontaminate"], ORACLES["op3_decontaminate"]) is None
+
+
 def test_no_documents_or_no_items(spark):
     items = spark.createDataFrame([("1", "a b c", 1)], ITEMS)
     assert decontaminate.contamination(spark.createDataFrame([], DOCS), items).count() == 0
