@@ -69,6 +69,17 @@ def test_repeated_copies_are_each_found():
         assert licenses.matches(np.array(words + [-1] * after), known, 0, 0.85) == at
 
 
+def test_every_notice_is_called_by_its_own_name(spark):
+    notice = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the {2} as published by the Free Software Foundation{1} either version {3} of the License, or (at your option) any later version."
+    more = " This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {2} for more details."
+    kinds = [("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.0", "Library ", "2"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")]
+    texts = [(n, (notice + rest).format(thing, ";", f"GNU {w}General Public License", v)) for n, w, v in kinds for thing in ("program", "library", "tool") for rest in ("", more)]
+    texts += [*LICENSES, ("EPL-1.0", next(t for n, t in LICENSES if n == "EPL-1.0").replace("http", "https"))]
+    rows = [(i, f"x y {t} z", "en", "s", 0) for i, (_, t) in enumerate(texts)]
+    found = {r.doc_id: r.found for r in licenses.scan_licenses(hard_docs(spark, rows)).collect()}
+    assert [(t, [f.license for f in found[i]]) for i, (_, t) in enumerate(texts)] == [(t, [n]) for n, t in texts]
+
+
 def _common(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
