@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from echoless.llm import comparison, decontaminate, html_text, licenses, mixing, neighbours, quality, repeats, secret_scan, simhash, toxicity
+from echoless.llm import comparison, decontaminate, exact, html_text, licenses, mixing, neighbours, quality, repeats, secret_scan, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,6 +96,12 @@ def op8_scan_licenses(spark, d):
     )
 
 
+@_query
+def op13_exact_duplicates(spark, d):
+    """Which row of every group of equal texts stays."""
+    return exact.exact_duplicates(_table(spark, d, "documents"))
+
+
 @_query
 def pipeline(spark, d):
     """The corpus after all stages of corpus_pipeline."""
@@ -104,5 +110,6 @@ def pipeline(spark, d):
 
 ORACLES["op3_decontaminate"] = comparison.BENCHMARK_PASSAGES
 ORACLES["op9_remove_repeats"] = comparison.REPEATED_PASSAGES
+ORACLES["op13_exact_duplicates"] = comparison.EQUAL_TEXTS
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

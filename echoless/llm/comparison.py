@@ -24,3 +24,8 @@ r as (select distinct doc_id, unnest(range(s, s + 13)) as p from g join f using
 k as (select doc_id, string_agg(x, ' ' order by p) as kept from (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from d) anti join r using (doc_id, p) group by doc_id)
 select d.doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from d left join (select doc_id, count(*) as n from r group by doc_id) using (doc_id) left join k using (doc_id)"""
+
+EQUAL_TEXTS = r"""
+with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
+select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+  row_number() over (partition by t order by doc_id nulls last) = 1 as kept, sha256(t) as text_sha256 from n"""
