@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from echoless.llm import comparison, decontaminate, exact, html_text, licenses, mixing, neighbours, quality, repeats, secret_scan, simhash, toxicity
+from echoless.llm import comparison, decontaminate, exact, html_text, licenses, merkle, mixing, neighbours, quality, repeats, secret_scan, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,6 +96,16 @@ def op8_scan_licenses(spark, d):
     )
 
 
+@_query
+def op12_merkle_manifest(spark, d):
+    """Leaf and proof of every document, and whether the document as received still gives the root."""
+    found = merkle.document_manifest(_table(spark, d, "documents"))
+    received = F.when(merkle.tampered(), F.col("changed_leaf")).otherwise(F.col("leaf"))
+    siblings = F.sha2(F.array_join(F.transform("proof", lambda p: p.siblings), "").cast("binary"), 256)
+    found = found.select("doc_id", "leaf", "subroot", "root", siblings.alias("proof_sha256"), merkle.folded(received).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 @_query
 def op13_exact_duplicates(spark, d):
     """Which row of every group of equal texts stays."""
