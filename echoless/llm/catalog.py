@@ -120,6 +120,7 @@ def pipeline(spark, d):
 
 ORACLES["op3_decontaminate"] = comparison.BENCHMARK_PASSAGES
 ORACLES["op9_remove_repeats"] = comparison.REPEATED_PASSAGES
+ORACLES["op12_merkle_manifest"] = comparison.MERKLE_MANIFEST
 ORACLES["op13_exact_duplicates"] = comparison.EQUAL_TEXTS
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -29,3 +29,41 @@ EQUAL_TEXTS = r"""
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
 select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
   row_number() over (partition by t order by doc_id nulls last) = 1 as kept, sha256(t) as text_sha256 from n"""
+
+#: Checksum of a doc_id's digits, bit by bit, as in zlib. Fixed value: the polynomial 0xEDB88320.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+_LEAF = "sha256(concat(" + ", ".join(f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars")) + ", coalesce(strlen({text})::varchar || ':' || {text}, '-')))"
+
+
+def _levels(name: str, nodes: str) -> str:
+    """SQL for all nodes (tree, level, i, h, n) over `nodes`, of which each tree has n."""
+    return f"""{name} as (select tree, 0 as level, i, h, n from {nodes} union all
+  select tree, level + 1, i // 8, sha256(string_agg(h, '' order by i)), max((n + 7) // 8) from {name} where n > 1 group by tree, level, i // 8)"""
+
+
+def _sides(name: str, levels: str, leaves: str) -> str:
+    """SQL for the siblings left and right of the path of each of the leaves (tree, i)."""
+    return f"""{name} as (select l.tree, l.i as leaf_i, v.level, coalesce(string_agg(v.h, '' order by v.i) filter (v.i < l.i // (8 ** v.level)::bigint), '') as a,
+  coalesce(string_agg(v.h, '' order by v.i) filter (v.i > l.i // (8 ** v.level)::bigint), '') as b
+  from {leaves} l join {levels} v on v.tree = l.tree and v.n > 1 and v.i // 8 = l.i // (8 ** (v.level + 1))::bigint group by all)"""
+
+
+MERKLE_MANIFEST = f"""with recursive
+d as (select doc_id, coalesce('x' || lang, '') as tree, {_LEAF.format(text="text")} as h,
+  case when coalesce({_CRC} % 3 = 0, false) then {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as changed from documents),
+leaves as (select *, row_number() over (partition by tree order by doc_id nulls first, h) - 1 as i, count(*) over (partition by tree) as n from d),
+{_levels("v", "leaves")},
+subroots as (select 0 as tree, tree as lang, h, row_number() over (order by tree) - 1 as i, count(*) over () as n from v where n = 1),
+{_levels("w", "subroots")},
+{_sides("p", "v", "leaves")},
+{_sides("q", "w", "subroots")},
+height as (select tree, max(level) as top from v group by tree),
+steps as (select tree, leaf_i, level, a, b from p union all
+  select l.tree, l.i, height.top + q.level, a, b from leaves l join height using (tree) join subroots s on s.lang = l.tree join q on q.leaf_i = s.i),
+proofs as (select tree, leaf_i as i, sha256(string_agg(a || b, '' order by level)) as proof_sha256 from steps group by all),
+f as (select tree, i, 0 as level, coalesce(changed, h) as h from leaves union all
+  select f.tree, f.i, f.level + 1, sha256(a || h || b) from f join steps s on s.tree = f.tree and s.leaf_i = f.i and s.level = f.level),
+folds as (select tree, i, max_by(h, level) as folded_root from f group by all)
+select doc_id, leaves.h as leaf, subroot, r.h as root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root, folded_root = r.h as verified
+from leaves join (select lang, h as subroot from subroots) s on lang = leaves.tree cross join (select h from w where n = 1) r join folds using (tree, i) left join proofs using (tree, i)"""
