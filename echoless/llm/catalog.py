@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from echoless.llm import comparison, decontaminate, exact, html_text, licenses, merkle, mixing, neighbours, quality, repeats, secret_scan, simhash, toxicity
+from echoless.llm import comparison, decontaminate, exact, html_text, licenses, merkle, mixing, negatives, neighbours, quality, repeats, secret_scan, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,6 +96,14 @@ def op8_scan_licenses(spark, d):
     )
 
 
+@_query
+def op11_hard_negatives(spark, d):
+    """Rows of other labels that score nearly as high with an anchor as rows of its own."""
+    vectors = _table(spark, d, "embeddings")
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", changed))
+
+
 @_query
 def op12_merkle_manifest(spark, d):
     """Leaf and proof of every document, and whether the document as received still gives the root."""
@@ -120,6 +128,7 @@ def pipeline(spark, d):
 
 ORACLES["op3_decontaminate"] = comparison.BENCHMARK_PASSAGES
 ORACLES["op9_remove_repeats"] = comparison.REPEATED_PASSAGES
+ORACLES["op11_hard_negatives"] = comparison.HARD_NEGATIVES
 ORACLES["op12_merkle_manifest"] = comparison.MERKLE_MANIFEST
 ORACLES["op13_exact_duplicates"] = comparison.EQUAL_TEXTS
 if corpus_pipeline.ORACLE_SQL:

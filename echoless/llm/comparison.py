@@ -67,3 +67,13 @@ f as (select tree, i, 0 as level, coalesce(changed, h) as h from leaves union al
 folds as (select tree, i, max_by(h, level) as folded_root from f group by all)
 select doc_id, leaves.h as leaf, subroot, r.h as root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root, folded_root = r.h as verified
 from leaves join (select lang, h as subroot from subroots) s on lang = leaves.tree cross join (select h from w where n = 1) r join folds using (tree, i) left join proofs using (tree, i)"""
+
+HARD_NEGATIVES = """
+with r as (select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda v: floor(256 * v::double)) as x
+  from embeddings where vec_id is not null and label is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0),
+a as (select * from r where vec_id % 100 = 0),
+s as (select a.vec_id as anchor_id, r.vec_id, r.label = a.label as same, list_inner_product(a.x, r.x)::bigint as score from a join r on a.vec_id <> r.vec_id),
+p as (select * from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select s.anchor_id, p.vec_id as positive_id, row_number() over (partition by s.anchor_id, p.vec_id order by s.score desc, s.vec_id)::integer as rank,
+  s.vec_id as negative_id, p.score as positive_score, s.score as negative_score
+from s join p on p.anchor_id = s.anchor_id and not s.same and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score qualify rank <= 5"""
