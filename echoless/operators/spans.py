@@ -14,6 +14,13 @@ chained per key in chunk order, and each chunk then learns its true state.
                                          +------------- left join (key, chunk) <---+
                                                             |
                                                      fold -> rows with roles
+
+Dense traffic in one direction gives an exit for every row of a chunk's first
+second. What a chunk does to a state is a map, and maps of chunks that follow
+each other compose to a map of the same form. So a key with very many exits is
+not chained by one task: the maps of FAN chunks are composed to one, those of
+FAN ranges again, LEVELS times; only the last ones are chained per key, and the
+states found go down the same tree to the chunks.
 """
 
 from collections.abc import Iterable, Iterator
@@ -26,7 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema as _arrow_schema
 
-CHUNK_US = 30_000_000
+CHUNK_US = 5_000_000
+#: A key with more exits than this goes through the tree; each composed range holds FAN maps.
+CHAIN_ROWS = 2_000_000
+FAN, LEVELS = 16, 3
 _FOLD_ROWS = 100_000
 
 # Span states that can cross a chunk border.
@@ -255,7 +265,7 @@ def _exits_fn(key: list[str], reply_timeout: int, linger: int, chunk_us: int, sc
         columns += [
             pa.array(x)
             for x in (
-                chunk[g], case.astype(np.int32), until, kind.astype(np.int32), at,
+                chunk[g], chunk[g], case.astype(np.int32), until, kind.astype(np.int32), at,
                 c.side[last].astype(np.int32), c.ts[last], c.id[last], swallowed,
                 c.ts[start[g]], c.side[start[g]].astype(np.int32),
                 turn_ts[g], turn[g] < end[g],
@@ -271,7 +281,7 @@ def _exits_fn(key: list[str], reply_timeout: int, linger: int, chunk_us: int, sc
 
 
 _EXIT_COLUMNS = (
-    ("case", "int"), ("until", "bigint"), ("kind", "int"), ("at", "bigint"),
+    ("_last", "bigint"), ("case", "int"), ("until", "bigint"), ("kind", "int"), ("at", "bigint"),
     ("side", "int"), ("t0", "bigint"), ("first_id", "bigint"), ("same", "boolean"),
     ("opens_ts", "bigint"), ("opens_side", "int"), ("turn_ts", "bigint"), ("turns", "boolean"),
 )
@@ -283,94 +293,218 @@ _MISSING = np.iinfo(np.int64).min
 _ENTRY_COLUMNS = ("kind", "at", "side", "t0", "first_id", "next_ts0", "next_ts1")
 
 
-def _chain_fn(key, reply_timeout: int, linger: int, schema: pa.Schema):
-    """Walk the chunks of each key in order and pick each chunk's true exit.
+class _Maps:
+    """What chunks, or ranges of chunks, do to the state they begin in.
 
-    All keys of a batch advance together, one chunk per round.
+    Rows of a table in the order (key, chunk, case, until); the rows of one chunk
+    are its map. `head` is the first row of each map, `of_row` the map of a row.
     """
-    group = key + ["_chunk"]
-
-    def chain(table: pa.Table) -> pa.Table:
-        heads = group_starts(table, group)
-        head = np.flatnonzero(heads)
-        of_row = np.cumsum(heads) - 1
-        col = {name: table[name].to_numpy() for name, _ in _EXIT_COLUMNS}
-        chunk = table["_chunk"].to_numpy()[head]
-        n = len(head)
-        follows = ~group_starts(table.take(pa.array(head)), key)
-        follows[1:] &= chunk[1:] == chunk[:-1] + 1
-        case_at = np.full((3, n), -1)
+
+    def __init__(self, table: pa.Table, key: list[str], reply_timeout: int, linger: int):
+        self.key, self.group = key, key + ["_chunk"]
+        self.reply_timeout, self.linger = reply_timeout, linger
+        heads = group_starts(table, self.group)
+        self.table, self.head, self.of_row = table, np.flatnonzero(heads), np.cumsum(heads) - 1
+        self.col = {name: table[name].to_numpy() for name, _ in _EXIT_COLUMNS}
+        n = self.n = len(self.head)
+        self.chunk = table["_chunk"].to_numpy()[self.head]
+        self.last = self.col["_last"][self.head]
+        firsts = group_starts(table.take(pa.array(self.head)), key)
+        self.first_of_key = firsts.copy()
+        self.follows = ~firsts
+        self.follows[1:] &= self.chunk[1:] == self.last[:-1] + 1
+        self.case_at = np.full((3, n), -1)
         for case in (_FRESH, _AFTER_LINGER, _AFTER_REPLY):
-            rows = np.flatnonzero(col["case"] == case)
-            case_at[case, of_row[rows]] = rows
-        steps = np.flatnonzero(col["case"] == _AFTER_EXPIRY)
-        low = int(col["until"][steps].min()) if steps.size else 0
-        width = (int(col["until"][steps].max()) - low if steps.size else 0) + 2
-        step_clock = of_row[steps] * width + (col["until"][steps] - low)
-
-        def first_step(groups, due):
-            """Row whose threshold covers `due`; -1 where the chunk has none left."""
-            if not steps.size:
-                return np.full(len(groups), -1)
-            wanted = np.clip(due - low, 0, width - 1)
-            hit = np.searchsorted(step_clock, groups * width + wanted, side="left")
-            found = steps[np.minimum(hit, len(steps) - 1)]
-            return np.where((hit < len(steps)) & (of_row[found] == groups), found, -1)
-
-        opens, opens_side, turn_ts, turns = (
-            col[name][case_at[_FRESH]] for name in ("opens_ts", "opens_side", "turn_ts", "turns")
+            rows = np.flatnonzero(self.col["case"] == case)
+            self.case_at[case, self.of_row[rows]] = rows
+        steps = self.steps = np.flatnonzero(self.col["case"] == _AFTER_EXPIRY)
+        self.low = int(self.col["until"][steps].min()) if steps.size else 0
+        self.width = (int(self.col["until"][steps].max()) - self.low if steps.size else 0) + 2
+        self.step_clock = self.of_row[steps] * self.width + (self.col["until"][steps] - self.low)
+        self.opens, self.opens_side, self.turn_ts, self.turns = (
+            self.col[name][self.case_at[_FRESH]] for name in ("opens_ts", "opens_side", "turn_ts", "turns")
         )
-        flow = ("side", "t0", "first_id")
-        state = {name: np.zeros(n, dtype=np.int64) for name in ("kind", "at", *flow)}
-        now = np.flatnonzero(~follows)
-        row = case_at[_FRESH, now]
-        while now.size:
-            same = col["same"][row]
-            state["kind"][now] = np.where(row >= 0, col["kind"][row], _NONE)
-            state["at"][now] = col["at"][row]
-            for name in flow:
-                state[name][now] = np.where(same, state[name][now - 1], col[name][row])
-            now = now[now + 1 < n] + 1
-            now = now[follows[now]]
-            kind, at = state["kind"][now - 1], state["at"][now - 1]
-            pending = kind == _PENDING
-            alike = state["side"][now - 1] == opens_side[now]
-            heard = np.where(alike, turn_ts[now], opens[now])
-            replied = pending & (heard - at < reply_timeout) & (~alike | turns[now])
-            lingers = (kind == _REPLIED) & (opens[now] - at < linger)
-            expires = pending & ~replied & (at + reply_timeout > opens[now])
-            row = case_at[_FRESH, now]
-            row = np.where(lingers | (replied & ~alike), case_at[_AFTER_LINGER, now], row)
-            row = np.where(replied & alike, case_at[_AFTER_REPLY, now], row)
-            row = np.where(expires, first_step(now, at + reply_timeout), row)
-
-        # A state matters to a chunk that begins before the state runs out, and a
-        # first answer to the chunk before it only while that one still waits.
-        before = np.flatnonzero(follows) - 1
-        after = before + 1
-        waits = state["kind"][before] == _PENDING
-        limit = np.where(waits, reply_timeout, linger)
-        lives = (state["kind"][before] != _NONE) & (opens[after] - state["at"][before] < limit)
-        fields = np.full((len(_ENTRY_COLUMNS), n), _MISSING)
-        for i, name in enumerate(("kind", "at", "side", "t0", "first_id")):
-            fields[i, after[lives]] = state[name][before[lives]]
-        for side in (0, 1):
-            first = np.where(opens_side == side, opens, turn_ts)[after]
-            known = waits & ((opens_side == side) | turns)[after]
-            fields[5 + side, before[known]] = first[known]
-        told = np.flatnonzero((fields != _MISSING).any(axis=0))
-        source = table.take(pa.array(head[told]))
-        offsets = np.arange(len(told) + 1, dtype=np.int32) * len(fields)
-        entries = pa.ListArray.from_arrays(offsets, fields[:, told].T.ravel())
-        return pa.Table.from_arrays([source[k] for k in group] + [entries], schema=schema)
 
+    def _first_step(self, groups: np.ndarray, due: np.ndarray) -> np.ndarray:
+        """Row whose threshold covers `due`; -1 where the map has none left."""
+        if not self.steps.size:
+            return np.full(len(groups), -1)
+        wanted = np.clip(due - self.low, 0, self.width - 1)
+        hit = np.searchsorted(self.step_clock, groups * self.width + wanted, side="left")
+        found = self.steps[np.minimum(hit, len(self.steps) - 1)]
+        return np.where((hit < len(self.steps)) & (self.of_row[found] == groups), found, -1)
+
+    def fresh(self, now: np.ndarray) -> np.ndarray:
+        return self.case_at[_FRESH, now]
+
+    def exit_of(self, now: np.ndarray, kind: np.ndarray, at: np.ndarray, side: np.ndarray) -> np.ndarray:
+        """The exit row that the maps `now` give for these states."""
+        opens, turn_ts = self.opens[now], self.turn_ts[now]
+        pending = kind == _PENDING
+        alike = side == self.opens_side[now]
+        heard = np.where(alike, turn_ts, opens)
+        replied = pending & (heard - at < self.reply_timeout) & (~alike | self.turns[now])
+        lingers = (kind == _REPLIED) & (opens - at < self.linger)
+        expires = pending & ~replied & (at + self.reply_timeout > opens)
+        row = self.case_at[_FRESH, now]
+        row = np.where(lingers | (replied & ~alike), self.case_at[_AFTER_LINGER, now], row)
+        row = np.where(replied & alike, self.case_at[_AFTER_REPLY, now], row)
+        return np.where(expires, self._first_step(now, at + self.reply_timeout), row)
+
+    def leave(self, state: dict[str, np.ndarray], row: np.ndarray) -> dict[str, np.ndarray]:
+        """The states in which spans leave by these exit rows, given those in which they came."""
+        same = self.col["same"][row]
+        after = {name: np.where(same, state[name], self.col[name][row]) for name in _FLOW}
+        return {"kind": np.where(row >= 0, self.col["kind"][row], _NONE), "at": self.col["at"][row], **after}
+
+
+_FLOW = ("side", "t0", "first_id")
+
+
+def _chain(maps: _Maps, entry: np.ndarray | None, schema: pa.Schema) -> pa.Table:
+    """Walk the maps of each key in order, all keys together, and tell each map the state it begins in.
+
+    `entry` is what the range of the only key is told itself.
+    """
+    n, head, follows = maps.n, maps.head, maps.follows
+    state = {name: np.zeros(n, dtype=np.int64) for name in ("kind", "at", *_FLOW)}
+    told = entry is not None and entry[0] not in (_NONE, _MISSING)
+    now = np.flatnonzero(~follows)
+    row = maps.fresh(now)
+    if told:
+        first = {name: np.array([x]) for name, x in zip(("kind", "at", *_FLOW), entry)}
+        row[0] = maps.exit_of(now[:1], first["kind"], first["at"], first["side"])[0]
+    while now.size:
+        came = {name: state[name][now - 1] for name in state}
+        if told and now[0] == 0:
+            for name in state:
+                came[name][0] = first[name][0]
+        for name, values in maps.leave(came, row).items():
+            state[name][now] = values
+        now = now[now + 1 < n] + 1
+        now = now[follows[now]]
+        row = maps.exit_of(now, *(state[name][now - 1] for name in ("kind", "at", "side")))
+
+    # A state matters to a chunk that begins before the state runs out, and a
+    # first answer to the chunk before it only while that one still waits.
+    before = np.flatnonzero(follows) - 1
+    after = before + 1
+    waits = state["kind"][before] == _PENDING
+    limit = np.where(waits, maps.reply_timeout, maps.linger)
+    lives = (state["kind"][before] != _NONE) & (maps.opens[after] - state["at"][before] < limit)
+    fields = np.full((len(_ENTRY_COLUMNS), n), _MISSING)
+    for i, name in enumerate(("kind", "at", *_FLOW)):
+        fields[i, after[lives]] = state[name][before[lives]]
+    for side in (0, 1):
+        first_row = np.where(maps.opens_side == side, maps.opens, maps.turn_ts)[after]
+        known = waits & ((maps.opens_side == side) | maps.turns)[after]
+        fields[5 + side, before[known]] = first_row[known]
+    if entry is not None:
+        fields[:5, 0], fields[5:, -1] = entry[:5], entry[5:]
+    shown = np.flatnonzero((fields != _MISSING).any(axis=0))
+    source = maps.table.take(pa.array(head[shown]))
+    offsets = np.arange(len(shown) + 1, dtype=np.int32) * len(fields)
+    entries = pa.ListArray.from_arrays(offsets, fields[:, shown].T.ravel())
+    return pa.Table.from_arrays([source[k] for k in maps.group] + [entries], schema=schema)
+
+
+def _chain_fn(key, reply_timeout: int, linger: int, schema: pa.Schema):
     def run(batches):
         for table in whole_groups(batches, lambda t: group_starts(t, key)):
-            yield from chain(table).to_batches()
+            yield from _chain(_Maps(table, key, reply_timeout, linger), None, schema).to_batches()
 
     return run
 
 
+def _in_map_order(table: pa.Table) -> pa.Table:
+    return table.sort_by([(c, "ascending") for c in ("_chunk", "case", "until")])
+
+
+def _compose_fn(key, reply_timeout: int, linger: int, schema: pa.Schema):
+    """One map for the chunks of a range: that of the first chunk, carried through the others."""
+
+    def compose(table: pa.Table) -> pa.Table:
+        maps = _Maps(_in_map_order(table), key, reply_timeout, linger)
+        own = np.arange(maps.head[1] if maps.n > 1 else table.num_rows)
+        until = maps.col["until"][own]
+        # A span that ends after the first chunk's last row leaves it in no state.
+        latest = maps.opens[0] + reply_timeout
+        ends = maps.col["case"][own[-1]] == _AFTER_EXPIRY and until[-1] < latest
+        if ends:
+            own, until = np.append(own, own[-1]), np.append(until, latest)
+        none = {name: np.zeros(len(own), dtype=np.int64) for name in ("kind", "at", *_FLOW)}
+        state = maps.leave(none, own)
+        same = maps.col["same"][own].copy()
+        if ends:
+            state["kind"][-1], same[-1] = _NONE, False
+        for nxt in range(1, maps.n):
+            now = np.full(len(own), nxt)
+            row = maps.exit_of(now, state["kind"], state["at"], state["side"]) if maps.follows[nxt] else maps.fresh(now)
+            state = maps.leave(state, row)
+            same &= maps.col["same"][row]
+        columns = {name: maps.col[name][own] for name, _ in _EXIT_COLUMNS} | state
+        columns |= {"until": until, "same": same, "_last": np.full(len(own), maps.last[-1])}
+        # Neighbouring thresholds with one outcome are one.
+        keep = np.ones(len(own), dtype=bool)
+        if len(own) > 1:
+            alike = (columns["case"][1:] == _AFTER_EXPIRY) & (columns["case"][:-1] == _AFTER_EXPIRY)
+            for name in ("kind", "at", "same", *_FLOW):
+                alike &= columns[name][1:] == columns[name][:-1]
+            keep[:-1] = ~alike
+        kept = pa.array(own[keep])
+        made = [maps.table[k].take(kept) for k in maps.group]
+        made += [pa.array(columns[name][keep], schema.field(name).type) for name, _ in _EXIT_COLUMNS]
+        return pa.Table.from_arrays(made, schema=schema)
+
+    return compose
+
+
+def _descend_fn(key, reply_timeout: int, linger: int, schema: pa.Schema):
+    """Tell the maps of a range what the range is told."""
+
+    def descend(table: pa.Table, told: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return schema.empty_table()
+        nothing = np.full(len(_ENTRY_COLUMNS), _MISSING)
+        entry = np.array(told["_entry"][0].as_py(), dtype=np.int64) if told.num_rows else nothing
+        return _chain(_Maps(_in_map_order(table), key, reply_timeout, linger), entry, schema)
+
+    return descend
+
+
+def _entries_by_tree(exits: DataFrame, key, limits: tuple[int, int], exit_schema, entry_schema, chain) -> DataFrame:
+    """Entries of the chunks of keys with many exits; no task holds more than FAN maps, or a key's maps of the last level."""
+    exit_arrow, entry_arrow = _arrow_schema(exit_schema), _arrow_schema(entry_schema)
+    names = [f.name for f in entry_schema]
+    levels = []
+    maps = exits
+    for level in range(1, LEVELS + 1):
+        placed = maps.withColumn("_range", _range_of("_chunk", level)).repartition(*key, "_range")
+        levels.append(placed)
+        compose = _compose_fn(key, *limits, exit_arrow)
+        maps = placed.groupBy(*key, "_range").applyInArrow(compose, exit_schema)
+    entries = maps.repartition(*key).sortWithinPartitions(*key, "_chunk", "case", "until").mapInArrow(chain, entry_schema)
+    for level in range(LEVELS, 0, -1):
+        told = entries.withColumn("_range", _range_of("_chunk", level))
+        descend = _descend_fn(key, *limits, entry_arrow)
+        both = levels[level - 1].groupBy(*key, "_range").cogroup(told.groupBy(*names[: len(key)], "_range"))
+        entries = both.applyInArrow(descend, entry_schema)
+    return entries
+
+
+def _quiet_and_busy(exits: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Exits of the keys that have at most CHAIN_ROWS, and of those that have more."""
+    placed = exits.repartition(*key, _range_of("_chunk", 1))
+    counts = placed.groupBy(*key, _range_of("_chunk", 1)).count().groupBy(*key).agg(F.sum("count").alias("_exits"))
+    # One row for CHAIN_ROWS exits at most.
+    busy = F.broadcast(counts.filter(F.col("_exits") > CHAIN_ROWS).drop("_exits"))
+    return placed.join(busy, key, "left_anti"), placed.join(busy, key, "left_semi")
+
+
+def _range_of(chunk: str, level: int) -> Column:
+    return F.expr(f"({chunk} - pmod({chunk}, {FAN**level}L)) div {FAN**level}L")
+
+
 def _fold_fn(key, kept, reply_timeout, linger, chunk_us, starts_only, schema):
     """`kept` maps each output column to its source in the sorted rows."""
 
@@ -497,13 +631,16 @@ def placed_fold(
         _exits_fn(key, reply_timeout_us, linger_us, chunk_us, _arrow_schema(exit_schema)),
         exit_schema,
     )
-    entries = (
-        exits.repartition(*key)
-        .sortWithinPartitions(*key, "_chunk", "case", "until")
-        .mapInArrow(
-            _chain_fn(key, reply_timeout_us, linger_us, _arrow_schema(entry_schema)), entry_schema
-        )
-    )
+    chain = _chain_fn(key, reply_timeout_us, linger_us, _arrow_schema(entry_schema))
+    entries = exits
+    # A row gives four exits at most, so the keys of a table with few rows need no tree.
+    busy_keys = rows.count() > CHAIN_ROWS // 4
+    if busy_keys:
+        entries, busy = _quiet_and_busy(exits, key)
+    entries = entries.repartition(*key).sortWithinPartitions(*key, "_chunk", "case", "until").mapInArrow(chain, entry_schema)
+    if busy_keys:
+        limits = (reply_timeout_us, linger_us)
+        entries = entries.unionByName(_entries_by_tree(busy, key, limits, exit_schema, entry_schema, chain))
     same = chunk == F.col("_chunk")
     for i, k in enumerate(key):
         same = (F.col(k) == F.col(f"_k{i}")) & same

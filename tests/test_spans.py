@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from brute import fold
+from echoless.operators import spans
 from echoless.operators.spans import ROLE_NAMES, _in_order, fold_spans, group_starts, whole_groups
 
 SCHEMA = "k bigint, ts bigint, id bigint, side int"
@@ -101,3 +102,21 @@ def test_rejects_chunks_shorter_than_the_limits(spark):
     df = spark.createDataFrame([], SCHEMA)
     with pytest.raises(ValueError):
         fold_spans(df, ["k"], "ts", "id", "side", 10, 3, chunk_us=5)
+
+
+@pytest.mark.parametrize("limits", [(10, 3), (3, 10)])
+def test_exits_of_a_busy_key_are_composed_in_a_tree(spark, monkeypatch, limits):
+    monkeypatch.setattr(spans, "CHAIN_ROWS", 30)
+    monkeypatch.setattr(spans, "FAN", 3)
+    rows = random_rows(21)
+    rid = len(rows)
+    for ts in range(1, 700):  # periodic, one-sided: every entry time leads elsewhere
+        rows.append((100, ts, rid, 0))
+        rid += 1
+        if ts % 97 == 0:
+            rows.append((100, ts, rid, 1))
+            rid += 1
+    rows += [(101, ts * 3 - 900, rid + ts, 0) for ts in range(400) if not 120 < ts < 150]
+    expected = fold(rows, *limits)
+    for chunk in (10, 17):
+        assert run(spark, rows, *limits, chunk) == expected
