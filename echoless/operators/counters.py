@@ -1,7 +1,8 @@
 """Counters, rates, gauges and the per-second reports built on them.
 
 Everything is summed per sample first; running totals then work on one row per
-sample, not on packets.
+sample, not on packets. What several counters are derived from, flows, rules or
+samples, is worked out once and stored.
 """
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import proto_name
+from ..plans.storage import stored
 from ..schema import (
     ACTIVE_HOST_US,
     EPOCH_US,
@@ -23,6 +25,7 @@ from .rules import cooldown_dedup, epoch_occupancy, hot_rules, install_requests,
 
 #: Samples of a block: one task expands or puts in order as many.
 BLOCK = 4096
+_ENDS = ("src_ip", "dst_ip", "src_port", "dst_port")
 
 
 def _flag_tracked(p: DataFrame, subnets: DataFrame) -> DataFrame:
@@ -123,7 +126,7 @@ def state_gauges(p: DataFrame, sample_us: int = SAMPLE_US, **limits) -> DataFram
         .groupBy(_sample("at", sample_us).alias("sample"))
         .agg(*[F.sum(g).alias(g) for g in gauges])
     )
-    rows = _all_samples(p, sample_us).join(changes, "sample", "left")
+    rows = stored(_all_samples(p, sample_us).join(changes, "sample", "left"))
     return _with_totals(rows, {g: g for g in gauges}).select(
         ((F.col("sample") + 1) * sample_us).alias("ts_us"), *gauges
     )
@@ -139,6 +142,7 @@ def stats_snapshots(
     flagged = _flag_tracked(p, subnets)
     tracked = flagged.filter("_tracked").drop("_tracked")
     flows = track_flows(tracked, **limits)
+    flows = stored(flows.select("status", "proto", *_ENDS, "t0", "reply_ts", "end_ts"))
     packets = flagged.groupBy(_sample("ts_us", sample_us).alias("sample")).agg(
         F.count("*").alias("pkts"), F.count_if("_tracked").alias("lookups")
     )
@@ -168,7 +172,7 @@ def stats_snapshots(
         "expired_pkt_count_tot": "expired",
         "bloom_rule_sending_count_tot": "replies",
     }
-    rows = (
+    rows = stored(
         _all_samples(p, sample_us)
         .join(packets, "sample", "left")
         .join(changes, "sample", "left")
@@ -298,6 +302,7 @@ def controller_report(
     epoch before. What no input here tells is not among the columns.
     """
     second = SAMPLE_US
+    rules, intervals, failures = stored(rules), stored(intervals), stored(failures)
 
     def per_second(df, column, name):
         return df.groupBy(_sample(column, second).alias("sec")).agg(F.count("*").alias(name))
@@ -327,6 +332,7 @@ def controller_report(
     out = out.join(used, "sec", "full").join(hosts, "sec", "full")
     for part in parts:
         out = out.join(part, "sec", "left")
+    out = stored(out)
     epoch = F.expr(f"sec * {second} div {epoch_us}")
     out = (
         _with_totals(out, {"usage": "d_usage", "active_hosts": "d_hosts"}, "sec")

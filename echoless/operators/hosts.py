@@ -1,11 +1,15 @@
 """Host activity derived from rules and traffic."""
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import ACTIVE_HOST_US, SAMPLE_US
 from .nets import nets_of, with_membership
 
+#: Periods of a bucket in which packets meet the live ranges of their host.
+_LIVE_BUCKET = 1024
+
 
 def _at(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
@@ -64,6 +68,8 @@ def host_liveness(
     """External-to-internal packets, flagged when the target host is alive.
 
     A host is alive in a period when it sends in it or a rule of it is live.
+    Lifetimes stay ranges of periods, one row for each bucket they reach into;
+    a packet tests the few disjoint ranges of its host and bucket.
     """
     flagged = with_membership(
         p, nets_of(subnets, "internal"), _src="src_ip", _dst="dst_ip"
@@ -71,19 +77,34 @@ def host_liveness(
     senders = flagged.filter("_src").select(F.col("src_ip").alias("dst_ip"), "period")
     ruled = intervals.select(
         F.col("ip").alias("dst_ip"),
-        F.explode(
-            F.sequence(F.expr(f"start_us div {period_us}"), F.expr(f"(end_us - 1) div {period_us}"))
-        ).alias("period"),
-    )
-    alive = senders.unionByName(ruled).distinct().withColumn("_alive", F.lit(True))
+        F.expr(f"start_us div {period_us}").alias("_a"), F.expr(f"(end_us - 1) div {period_us}").alias("_b"),
+    )
+    alive = senders.distinct().select("dst_ip", F.col("period").alias("_a"), F.col("period").alias("_b"))
+    bucket = F.expr(f"period div {_LIVE_BUCKET}")
+    inside = F.exists("_ranges", lambda r: F.col("period").between(r["a"], r["b"]))
     return (
         flagged.filter("not _src and _dst")
         .drop("_src", "_dst")
-        .join(alive, ["dst_ip", "period"], "left")
-        .withColumn("host_alive", F.coalesce("_alive", F.lit(False)))
-        .drop("_alive")
+        .withColumn("_bucket", bucket)
+        .join(_live_ranges(alive.unionByName(ruled)), ["dst_ip", "_bucket"], "left")
+        .withColumn("host_alive", F.coalesce(inside, F.lit(False)))
+        .drop("_ranges", "_bucket")
     )
 
 
+def _live_ranges(ranges: DataFrame) -> DataFrame:
+    """The disjoint ranges of periods (arrays of a, b) of each host and bucket, from any ranges _a to _b."""
+    first, last = F.col("_bucket") * _LIVE_BUCKET, (F.col("_bucket") + 1) * _LIVE_BUCKET - 1
+    cut = ranges.withColumn("_bucket", F.explode(F.sequence(F.expr(f"_a div {_LIVE_BUCKET}"), F.expr(f"_b div {_LIVE_BUCKET}"))))
+    # One row for each period of a bucket at most is put in order.
+    cut = cut.groupBy("dst_ip", "_bucket", F.greatest("_a", first).alias("a")).agg(F.max(F.least("_b", last)).alias("b"))
+    before = W.partitionBy("dst_ip", "_bucket").orderBy("a")
+    reach = F.max("b").over(before.rowsBetween(W.unboundedPreceding, -1))
+    new = F.coalesce(F.col("a") > reach + 1, F.lit(True)).cast("int")
+    runs = cut.withColumn("_new", new).withColumn("_run", F.sum("_new").over(before))
+    runs = runs.groupBy("dst_ip", "_bucket", "_run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return runs.groupBy("dst_ip", "_bucket").agg(F.collect_list(F.struct("a", "b")).alias("_ranges"))
+
+
 def installed_per_host(intervals: DataFrame, as_of_us) -> DataFrame:
     return intervals.filter(_live(as_of_us)).groupBy("ip").agg(F.count("*").alias("n_rules"))

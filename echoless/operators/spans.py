@@ -17,10 +17,11 @@ chained per key in chunk order, and each chunk then learns its true state.
 
 Dense traffic in one direction gives an exit for every row of a chunk's first
 second. What a chunk does to a state is a map, and maps of chunks that follow
-each other compose to a map of the same form. So a key with very many exits is
+each other compose to a map of the same form. So a key with very many rows is
 not chained by one task: the maps of FAN chunks are composed to one, those of
 FAN ranges again, LEVELS times; only the last ones are chained per key, and the
-states found go down the same tree to the chunks.
+states found go down the same tree to the chunks. Such keys are found by a count
+and folded apart from the others.
 """
 
 from collections.abc import Iterable, Iterator
@@ -33,9 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema as _arrow_schema
 
+from ..plans.storage import stored
+
 CHUNK_US = 5_000_000
-#: A key with more exits than this goes through the tree; each composed range holds FAN maps.
-CHAIN_ROWS = 2_000_000
+#: A key with more rows than this goes through the tree; each composed range holds FAN maps.
+BUSY_ROWS = 500_000
 FAN, LEVELS = 16, 3
 _FOLD_ROWS = 100_000
 
@@ -477,12 +480,12 @@ def _entries_by_tree(exits: DataFrame, key, limits: tuple[int, int], exit_schema
     exit_arrow, entry_arrow = _arrow_schema(exit_schema), _arrow_schema(entry_schema)
     names = [f.name for f in entry_schema]
     levels = []
-    maps = exits
+    maps = stored(exits)
     for level in range(1, LEVELS + 1):
-        placed = maps.withColumn("_range", _range_of("_chunk", level)).repartition(*key, "_range")
+        placed = maps.withColumn("_range", _range_of("_chunk", level))
         levels.append(placed)
         compose = _compose_fn(key, *limits, exit_arrow)
-        maps = placed.groupBy(*key, "_range").applyInArrow(compose, exit_schema)
+        maps = stored(placed.groupBy(*key, "_range").applyInArrow(compose, exit_schema))
     entries = maps.repartition(*key).sortWithinPartitions(*key, "_chunk", "case", "until").mapInArrow(chain, entry_schema)
     for level in range(LEVELS, 0, -1):
         told = entries.withColumn("_range", _range_of("_chunk", level))
@@ -492,13 +495,12 @@ def _entries_by_tree(exits: DataFrame, key, limits: tuple[int, int], exit_schema
     return entries
 
 
-def _quiet_and_busy(exits: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Exits of the keys that have at most CHAIN_ROWS, and of those that have more."""
-    placed = exits.repartition(*key, _range_of("_chunk", 1))
-    counts = placed.groupBy(*key, _range_of("_chunk", 1)).count().groupBy(*key).agg(F.sum("count").alias("_exits"))
-    # One row for CHAIN_ROWS exits at most.
-    busy = F.broadcast(counts.filter(F.col("_exits") > CHAIN_ROWS).drop("_exits"))
-    return placed.join(busy, key, "left_anti"), placed.join(busy, key, "left_semi")
+def _busy_keys(rows: DataFrame, key: list[str]) -> DataFrame | None:
+    """Keys with more than BUSY_ROWS rows, if there are any; one for BUSY_ROWS rows at most."""
+    if rows.count() <= BUSY_ROWS:
+        return None
+    busy = stored(rows.groupBy(*key).count().filter(F.col("count") > BUSY_ROWS).drop("count"))
+    return None if busy.isEmpty() else busy
 
 
 def _range_of(chunk: str, level: int) -> Column:
@@ -605,6 +607,22 @@ def placed_fold(
         raise ValueError("time limits must be positive")
     if chunk_us < max(reply_timeout_us, linger_us):
         raise ValueError("chunk_us must not be shorter than the time limits")
+    limits = (reply_timeout_us, linger_us)
+    names = (key, ts, row_id, side)
+    busy = _busy_keys(rows, key)
+    if busy is None:
+        return _folded(rows, *names, *limits, starts_only, chunk_us, False)
+    quiet = rows.join(F.broadcast(busy), key, "left_anti").select(rows.columns)
+    apart = rows.join(F.broadcast(busy), key, "left_semi").select(rows.columns)
+    folded, placed = _folded(quiet, *names, *limits, starts_only, chunk_us, False)
+    busy_folded, busy_placed = _folded(apart, *names, *limits, starts_only, chunk_us, True)
+    return folded.unionByName(busy_folded), placed.unionByName(busy_placed)
+
+
+def _folded(
+    rows: DataFrame, key: list[str], ts: str, row_id: str, side: str,
+    reply_timeout_us: int, linger_us: int, starts_only: bool, chunk_us: int, by_tree: bool,
+) -> tuple[DataFrame, DataFrame]:
     kept = rows.columns
     chunk = F.expr(f"(_ts - pmod(_ts, {chunk_us})) div {chunk_us}")
     grouped = F.xxhash64(*[F.col(k) for k in key], chunk).alias("_group")
@@ -632,15 +650,11 @@ def placed_fold(
         exit_schema,
     )
     chain = _chain_fn(key, reply_timeout_us, linger_us, _arrow_schema(entry_schema))
-    entries = exits
-    # A row gives four exits at most, so the keys of a table with few rows need no tree.
-    busy_keys = rows.count() > CHAIN_ROWS // 4
-    if busy_keys:
-        entries, busy = _quiet_and_busy(exits, key)
-    entries = entries.repartition(*key).sortWithinPartitions(*key, "_chunk", "case", "until").mapInArrow(chain, entry_schema)
-    if busy_keys:
-        limits = (reply_timeout_us, linger_us)
-        entries = entries.unionByName(_entries_by_tree(busy, key, limits, exit_schema, entry_schema, chain))
+    if by_tree:
+        entries = _entries_by_tree(exits, key, (reply_timeout_us, linger_us), exit_schema, entry_schema, chain)
+    else:
+        in_order = exits.repartition(*key).sortWithinPartitions(*key, "_chunk", "case", "until")
+        entries = in_order.mapInArrow(chain, entry_schema)
     same = chunk == F.col("_chunk")
     for i, k in enumerate(key):
         same = (F.col(k) == F.col(f"_k{i}")) & same

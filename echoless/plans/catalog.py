@@ -15,7 +15,7 @@ from ..streaming.ordered import LateRows
 from . import fixtures as fx
 from . import reports
 from .oracle import build
-from .storage import run_in_steps, shared_dir
+from .storage import run_in_steps, shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -225,8 +225,10 @@ def write_unanswered(spark, d):
 @_query("select ts_us, ip, port, proto from kept")
 def write_rules(spark, d):
     path = shared_dir(spark)
-    sinks.write_rules(rules.cooldown_dedup(_rules(spark, d)), path)
-    return spark.read.parquet(path)
+    kept = rules.cooldown_dedup(_rules(spark, d))
+    for _ in range(2):  # the second run replaces the first
+        sinks.write_rules(kept, path, run="first")
+    return spark.read.parquet(path).drop("run")
 
 
 # Projections and filters
@@ -634,7 +636,7 @@ def write_rollup(spark, d):
     )
     path = shared_dir(spark)
     sinks.write_rollup(totals, path)
-    return spark.read.text(f"{path}/total.status")
+    return sinks.latest_rollup(spark, path)
 
 
 _HOST_RUNS = """(select ip, min(a) as a, max(b) as b from (
@@ -671,10 +673,9 @@ def _ports(spark, d):
 
 
 def _report(spark, d):
-    sent = _rules(spark, d)
-    return counters.controller_report(
-        sent, _intervals(spark, d), fx.failures(sent), _ports(spark, d)
-    )
+    sent = stored(_rules(spark, d))
+    lives = rules.rule_intervals(sent, _hits(spark, d))
+    return counters.controller_report(sent, lives, fx.failures(sent), _ports(spark, d))
 
 
 @_query(_REPORT_SQL)

@@ -22,6 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/echoless-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, for tables that several parts of a plan read."""
+    root = shared_dir(df.sparkSession)
+    df.write.parquet(root)
+    return df.sparkSession.read.schema(df.schema).parquet(root)
+
+
 def run_stream(stream: DataFrame, root: str | None = None) -> DataFrame:
     """Run a stream over all there is and read back what it wrote.
 

@@ -1,6 +1,6 @@
 """Sinks: what the collector, the rule installer and the monitor receive."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.status import total_line
@@ -31,11 +31,12 @@ def write_unanswered(df: DataFrame, path: str, checkpoint: str | None = None):
     )
 
 
-def write_rules(df: DataFrame, path: str, checkpoint: str | None = None):
-    """Append rules. In a stream each batch owns one directory, so a batch that
-    runs again after a failure replaces its own output."""
+def write_rules(df: DataFrame, path: str, checkpoint: str | None = None, run: str = "batch"):
+    """Write rules. A batch run owns the directory of its name and a stream's batch
+    that of its number, so either replaces its own output when it runs again."""
     if not df.isStreaming:
-        return df.write.mode("append").parquet(path)
+        named = df.withColumn("run", F.lit(run))
+        return named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -48,11 +49,23 @@ def write_rules(df: DataFrame, path: str, checkpoint: str | None = None):
     )
 
 
-def write_rollup(df: DataFrame, directory: str) -> None:
-    """Append the TOTAL line with its time, and replace the latest one."""
-    one = total_line(df).coalesce(1)
-    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
-    one.write.mode("overwrite").text(f"{directory}/total.status")
-    one.select(F.concat(F.lit("["), stamp, F.lit("] "), "value").alias("value")).write.mode(
-        "append"
-    ).text(f"{directory}/total.log")
+def write_rollup(df: DataFrame, directory: str, at: str | None = None) -> None:
+    """Write the TOTAL line as the status of the time `at`, and with its time to the log.
+
+    Each status is a version of its own, which shows up when it is complete;
+    latest_rollup reads the newest one, so there is always an old or a new one to
+    read. Writing a time again replaces what it wrote. `at` is like
+    2024-01-01T00:00:00Z; without it the time is now.
+    """
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    one = total_line(df).coalesce(1).select("value", (F.lit(at) if at else now).alias("at"))
+    dated = one.select(F.concat(F.lit("["), "at", F.lit("] "), "value").alias("value"), "at")
+    for lines, name in ((dated, "total.log"), (one, "total.status")):
+        writer = lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("at").text(f"{directory}/{name}")
+
+
+def latest_rollup(spark: SparkSession, directory: str) -> DataFrame:
+    """The newest status line that write_rollup has written."""
+    lines = spark.read.schema("value string, at string").text(f"{directory}/total.status")
+    return lines.select(F.max_by("value", "at").alias("value"))

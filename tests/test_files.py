@@ -1,6 +1,9 @@
 """Readers and sinks on real files."""
 
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 from echoless.functions import int_to_ip
 from echoless.operators.status import iface_state, read_drop_log, read_status, status_total
@@ -87,12 +90,34 @@ def test_status_of_a_run(spark, tmp_path):
                       "enp4": ("NO_STATUS", None)}
 
     out = tmp_path / "out"
-    for _ in range(2):
-        sinks.write_rollup(totals, str(out))
-    (line,) = spark.read.text(f"{out}/total.status").collect()
+    for at in ("2024-01-01T00:00:00Z", "2024-01-01T00:00:00Z", "2024-01-01T00:00:05Z"):
+        sinks.write_rollup(totals, str(out), at)
+    (line,) = sinks.latest_rollup(spark, str(out)).collect()
     cells = line.value.split()
     assert (cells[0], cells[3], cells[-1], len(cells)) == ("TOTAL", "3.0k", "SUM", 17)
-    assert spark.read.text(f"{out}/total.log").count() == 2
+    logged = [r.value for r in spark.read.text(f"{out}/total.log").select("value").sort("value").collect()]
+    assert logged == [f"[{at}] {line.value}" for at in ("2024-01-01T00:00:00Z", "2024-01-01T00:00:05Z")]
+
+
+def test_a_status_stays_readable_while_the_next_one_is_written(spark, tmp_path):
+    row = spark.createDataFrame([("TOTAL", 1)], "iface string, n int")
+    line = row.select("iface", F.concat(F.lit("T "), F.col("n").cast("string")).alias("value"))
+    path = f"{tmp_path}/s"
+    line.select("value", F.lit("2024-01-01T00:00:00Z").alias("at")).write.partitionBy("at").text(f"{path}/total.status")
+    # What a writer has not committed yet stands in a folder that readers pass over.
+    half = f"{path}/total.status/_temporary/0/task_1/at=2024-01-02T00%3A00%3A00Z"
+    os.makedirs(half)
+    with open(f"{half}/part-0.txt", "w") as f:
+        f.write("T 2")
+    assert [r.value for r in sinks.latest_rollup(spark, path).collect()] == ["T 1"]
+
+
+def test_rules_written_twice_by_one_run_are_there_once(spark, tmp_path):
+    path = str(tmp_path / "rules")
+    rules = spark.createDataFrame([(1, 2, 3, 6), (5, 2, 3, 6)], "ts_us bigint, ip bigint, port int, proto int")
+    for run in ("a", "a", "b"):
+        sinks.write_rules(rules, path, run=run)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).groupBy("run").count().collect()) == [("a", 2), ("b", 2)]
 
 
 def test_packets_of_many_interfaces(spark, tmp_path):

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from brute import fold
+from echoless.operators import hosts
 from echoless.operators import counters, nets, rules, wire
 from echoless.schema import PACKETS, RULES
 
@@ -147,3 +148,18 @@ def test_a_stray_time_makes_blocks_and_running_totals_carry_over_them(spark):
     assert sorted(r.sample for r in grid.collect()) == list(range(3, 2 * counters.BLOCK + 6))
     totals = counters._with_totals(df.withColumnRenamed("at", "sample"), {"t": "d"}).collect()
     assert {r.sample: r.t for r in totals} == {1: 0, 5: 2, 9000 * 4096: 5}
+
+
+def test_long_lifetimes_stay_ranges(spark):
+    day = 86_400_000_000
+    nets = spark.createDataFrame([("internal", 100 << 8, 0xFFFFFF00)], "kind string, net bigint, mask bigint")
+    host, other = (100 << 8) + 1, (100 << 8) + 2
+    lives = [(host, 5_000_000, day), (host, day - 3_000_000, day + 2_500_000), (host, 2 * day, 3 * day), (other, 0, 1)]
+    lives = spark.createDataFrame(lives, "ip bigint, start_us bigint, end_us bigint")
+    times = [0, 4_999_999, 5_000_000, day // 2, day, day + 2_400_000, day + 2_999_999, day + 3_000_000, 2 * day - 1, 2 * day, 3 * day - 1, 3 * day]
+    packets = [(i, t, 7, host) for i, t in enumerate(times)] + [(50, 9_000_000, 7, other), (51, 9_100_000, other, 7)]
+    packets = spark.createDataFrame(packets, "pkt_id bigint, ts_us bigint, src_ip bigint, dst_ip bigint")
+    alive = {r.pkt_id for r in hosts.host_liveness(packets, lives, nets).collect() if r.host_alive}
+    assert alive == {2, 3, 4, 5, 6, 9, 10, 50}
+    ranges = hosts._live_ranges(lives.selectExpr("ip as dst_ip", "start_us div 1000000 as _a", "(end_us - 1) div 1000000 as _b"))
+    assert ranges.count() < 300  # not a row for each of 172,799 seconds

@@ -106,7 +106,7 @@ def test_rejects_chunks_shorter_than_the_limits(spark):
 
 @pytest.mark.parametrize("limits", [(10, 3), (3, 10)])
 def test_exits_of_a_busy_key_are_composed_in_a_tree(spark, monkeypatch, limits):
-    monkeypatch.setattr(spans, "CHAIN_ROWS", 30)
+    monkeypatch.setattr(spans, "BUSY_ROWS", 30)
     monkeypatch.setattr(spans, "FAN", 3)
     rows = random_rows(21)
     rid = len(rows)
