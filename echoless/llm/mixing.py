@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 from echoless.llm.storage import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Primes above any number of blocks that a source can have, so each is coprime to it. Fixed values.
+#: Primes above SMALL, so each is coprime to any number of blocks below it. Fixed values.
 PRIMES = (2305843009213693951, 2305843009213693921, 2305843009213693907, 2305843009213693723)
+#: Fewer blocks than this are permuted by one multiplication, more by Feistel rounds.
+SMALL = 4096
+#: Steps of a permutation that leads out of the blocks; at SMALL blocks a slot needs as many with odds of 10^-48.
+WALK = 32
 #: Slots, or groups of rows, that one task numbers or expands at a time.
 RUN = 4096
 #: Rows of a group whose words one task puts in order.
@@ -67,7 +71,7 @@ def _offsets(docs: DataFrame) -> DataFrame:
     GROUP rows by hash, groups are summed first, and only sums are put in order.
     """
     n_groups = docs.count() // GROUP + 1
-    group = F.pmod(F.xxhash64("doc_id", "row_id"), F.lit(n_groups))
+    group = F.pmod(F.xxhash64("h", "place"), F.lit(n_groups))
     docs = docs.withColumn("_group", group)
     sums = docs.groupBy("source_id", "_group").agg(F.sum("size").alias("_size"))
     # Groups of a source are ordered in two steps too: RUN groups make a block of groups.
@@ -78,7 +82,7 @@ def _offsets(docs: DataFrame) -> DataFrame:
     up = Window.partitionBy("source_id", "_block").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_in", F.coalesce(F.sum("_size").over(up), F.lit(0))).join(blocks, ["source_id", "_block"])
     sums = sums.select("source_id", "_group", (F.col("_in") + F.col("_at")).alias("_at"))
-    order = ("doc_id", "size", "row_id")
+    order = ("h", "h2", "place")  # of equal rows it does not matter which has which place
     up = Window.partitionBy("source_id", "_group").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = docs.withColumn("_in", F.coalesce(F.sum("size").over(up), F.lit(0)))
     rows = rows.join(sums, ["source_id", "_group"])
@@ -99,10 +103,43 @@ def _blocks(docs: DataFrame, block: int) -> DataFrame:
 
 
 def _permuted(slot: Column, n: Column, source: Column, seed: int) -> Column:
-    """The block of a slot: x -> (p x + b) mod n with p and b of the source. A bijection, as p is coprime to n."""
+    """The block of a slot: a bijection of 0 to n - 1 that the source and the seed choose.
+
+    Few blocks: x -> (p x + b) mod n, where p is coprime to n. Many: four Feistel
+    rounds on the square grid that just holds n points, again from where they
+    lead to as long as that lies beyond the last block. No step multiplies
+    numbers beyond the root of n.
+    """
     prime = F.element_at(F.array(*map(F.lit, PRIMES)), (F.pmod(F.xxhash64(source, F.lit(seed)), F.lit(len(PRIMES))) + 1).cast("int"))
     shift = F.pmod(F.xxhash64(source, F.lit(seed + 1)), n)
-    return ((prime % n) * slot + shift) % n
+    # A root worked out in floats may be one short.
+    side = F.ceil(F.sqrt(n.cast("double"))) + 1
+
+    def rounds(x: Column) -> Column:
+        right = F.pmod(x, side)
+        left = F.floor((x - right) / side)
+        for i in range(2):
+            left = F.pmod(left + F.pmod(F.xxhash64(right, source, F.lit(seed + 10 + 2 * i)), side), side)
+            right = F.pmod(right + F.pmod(F.xxhash64(left, source, F.lit(seed + 11 + 2 * i)), side), side)
+        return left * side + right
+
+    steps = F.array(*[F.lit(i) for i in range(WALK)])
+    walked = F.aggregate(steps, rounds(slot), lambda x, _: F.when(x < n, x).otherwise(rounds(x)))
+    walked = F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a permutation leads out of its blocks")).cast("long"))
+    return F.when(n < SMALL, ((prime % n) * slot + shift) % n).otherwise(walked)
+
+
+def _placed(plain: DataFrame) -> DataFrame:
+    """plain with the place of each row among the rows with its hashes (h, h2), numbered by ranges: one row may repeat very often."""
+    ranged = stored(plain.repartitionByRange("h", "h2", "row_id").withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("h", "h2", "_range").agg(F.count("*").alias("_rows"))
+    # Only rows on both sides of a border between ranges have something before their range.
+    many = counts.groupBy("h", "h2").agg(F.count("*").alias("_ranges")).filter("_ranges > 1")
+    earlier = Window.partitionBy("h", "h2").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.join(many, ["h", "h2"], "left_semi").select("h", "h2", "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_range", "h", "h2").orderBy("row_id")) - 1
+    numbered = ranged.withColumn("place", local).join(before, ["h", "h2", "_range"], "left")
+    return numbered.withColumn("place", F.col("place") + F.coalesce("_before", F.lit(0))).drop("_range", "_before")
 
 
 def slots(targets: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
@@ -158,19 +195,21 @@ def mix_sources(
     no row to be taken more often than that.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    plain = docs.select("doc_id", "source", size.alias("size"))
-    plain = stored(plain.withColumn("row_id", F.monotonically_increasing_id()))
+    hashes = F.xxhash64("doc_id", "source", "text").alias("h"), F.xxhash64("text", "source", "doc_id", F.lit(1)).alias("h2")
+    plain = docs.select("doc_id", "source", size.alias("size"), *hashes)
+    # row_id, which hangs on how the input is split, only tells equal rows apart.
+    plain = stored(_placed(plain.withColumn("row_id", F.monotonically_increasing_id())))
     per_source = plain.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stored(source_targets(per_source, weights, share, most))
     sourced = plain.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
-    rows = sourced.select("row_id", "doc_id", "p.source", "size", "source_id", "source_size", "target")
-    parts = _blocks(_offsets(rows.select("row_id", "doc_id", "source_id", "size")), block)
+    rows = sourced.select("row_id", "doc_id", "p.source", "size", "source_id", "source_size", "target", "h", "h2", "place")
+    parts = _blocks(_offsets(rows.select("row_id", "source_id", "size", "h", "h2", "place")), block)
     drawn = slots(targets, block, shard_slots, seed)
     # Spark takes what explode() makes for as small as its input and would broadcast it.
     met = parts.alias("b").hint("merge").join(drawn.alias("s"), ["source_id", "block"])
     taken = F.least(F.col("b.n_words"), F.col("s.n_words") - F.col("in_block"))
     mixture = met.select("shard", "source_id", "slot", "row_id", "from_word", taken.alias("n_words")).filter("n_words > 0")
-    return rows.drop("source_id"), mixture
+    return rows.drop("source_id", "h", "h2", "place"), mixture
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:

@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from echoless.llm import mixing
 from text_tables import DOCS, hard_docs, hard_rows, same
@@ -45,6 +46,27 @@ def test_reruns_agree(spark):
     same(runs[0], [tuple(r) for r in runs[1]])
 
 
+def test_reruns_agree_however_the_rows_are_split(spark):
+    rows = hard_rows() + hard_rows()[:9] * 3
+    docs = hard_docs(spark, rows)
+    splits = [docs.coalesce(1), docs.repartition(5), docs.repartition(20, "text"), docs.orderBy(F.rand(3))]
+    runs = [mixing.taken_words(s).select("doc_id", "size", "source", "taken").collect() for s in splits]
+    for run in runs[1:]:
+        same(run, [tuple(r) for r in runs[0]])
+
+
+def test_permutations_of_many_blocks(spark):
+    slots = spark.range(100_000).withColumn("slot", F.col("id") * 10_000_000)
+    for n in (2**40, 10**12 + 39):
+        blocks = slots.select(mixing._permuted(F.col("slot"), F.lit(n), F.lit(5), 17).alias("b"))
+        r = blocks.agg(F.count_distinct("b").alias("d"), F.min("b").alias("a"), F.max("b").alias("z"), F.avg("b").alias("m")).first()
+        assert r.d == 100_000 and 0 <= r.a and r.z < n and abs(r.m / n - 0.5) < 0.01
+    for n in (1, 2, 4095, 4096, 4097, 10_000, 65_536):
+        for source in (0, 3):
+            b = spark.range(n).select(mixing._permuted(F.col("id"), F.lit(n).cast("long"), F.lit(source), 17).alias("b"))
+            assert sorted(r.b for r in b.collect()) == list(range(n))
+
+
 def test_slots_of_a_source_visit_every_block_once_a_round(spark):
     t = spark.createDataFrame([(0, "a", 1000, 1730.0), (1, "b", 10, 15.0), (2, None, 0, 0.0), (3, "c", 64, 128.0)], "source_id long, source string, source_size long, target double")
     drawn = mixing.slots(t, 64, 8, 1).collect()
