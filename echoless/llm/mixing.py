@@ -124,9 +124,10 @@ def _permuted(slot: Column, n: Column, source: Column, seed: int) -> Column:
         return left * side + right
 
     steps = F.array(*[F.lit(i) for i in range(WALK)])
-    walked = F.aggregate(steps, rounds(slot), lambda x, _: F.when(x < n, x).otherwise(rounds(x)))
+    walked = F.aggregate(steps, slot, lambda x, i: F.when((x < n) & (i > 0), x).otherwise(rounds(x)))
     walked = F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a permutation leads out of its blocks")).cast("long"))
-    return F.when(n < SMALL, ((prime % n) * slot + shift) % n).otherwise(walked)
+    # Nearly all slots stay inside at once; that path is compiled.
+    return F.when(n < SMALL, ((prime % n) * slot + shift) % n).when(rounds(slot) < n, rounds(slot)).otherwise(walked)
 
 
 def _placed(plain: DataFrame) -> DataFrame:
@@ -160,7 +161,8 @@ def slots(targets: DataFrame, block: int, shard_slots: int, seed: int) -> DataFr
     n_slots = shares.agg(F.coalesce(F.sum("_slots"), F.lit(0))).first()[0]
     n_shards = n_slots // shard_slots + 1
     runs = shares.filter("_slots > 0").withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("_slots") - 1) / RUN))))
-    runs = runs.repartition(F.col("source_id"), F.col("_run"))
+    # As many tasks as there are slots for; the few rows that stand for runs would all be given to one.
+    runs = runs.repartition(int(n_slots // (RUN * 16)) + 1, F.col("source_id"), F.col("_run"))
     top = F.least(F.col("_slots"), (F.col("_run") + 1) * RUN) - 1
     drawn = runs.withColumn("slot", F.explode(F.sequence(F.col("_run") * RUN, top)))
     round_ = F.floor(F.col("slot") / F.col("_n"))
@@ -198,7 +200,7 @@ def mix_sources(
     hashes = F.xxhash64("doc_id", "source", "text").alias("h"), F.xxhash64("text", "source", "doc_id", F.lit(1)).alias("h2")
     plain = docs.select("doc_id", "source", size.alias("size"), *hashes)
     # row_id, which hangs on how the input is split, only tells equal rows apart.
-    plain = stored(_placed(plain.withColumn("row_id", F.monotonically_increasing_id())))
+    plain = stored(_placed(stored(plain.withColumn("row_id", F.monotonically_increasing_id()))))
     per_source = plain.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stored(source_targets(per_source, weights, share, most))
     sourced = plain.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
