@@ -1 +1 @@
-"""Operators for preparing training text: ten methods and their queries."""
+"""Operators for preparing training text: thirteen methods and their queries."""
