@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from echoless.llm import toxicity
 from test_llm_mixing import check
-from test_llm_near import brute
+from test_llm_near_copies import brute
 from test_llm_passages import brute_hits
 from test_llm_secrets import base_spans
 from text_tables import DOCS, hard_rows, same
@@ -43,7 +43,7 @@ def test_one_of_each_group_stays(spark, folder):
     kept = corpus_pipeline.drop_near_copies(spark, table(spark, rows()), folder)
     assert kept.dtypes == table(spark, rows()).dtypes
     group_of = {}
-    for r, (_, _, component) in zip(rows(), brute(rows())):
+    for r, (_, component) in zip(rows(), brute(rows())):
         group_of[r[0], r[1]] = component if component is not None else ("none", r[1])
     groups = [group_of[r.doc_id, r.text] for r in kept.collect()]
     assert sorted(map(str, groups)) == sorted(map(str, set(group_of.values())))
