@@ -9,7 +9,7 @@ that repeat or have nulls are treated as the stage's operator says.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoless.llm import decontaminate, mixing, secret_scan, simhash, toxicity
+from echoless.llm import decontaminate, mixing, near_copies, secret_scan, toxicity
 from echoless.llm.storage import stored
 
 TOXIC_FROM = 0.7
@@ -34,9 +34,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id (a null one comes first)."""
+    """One document of each group of near copies: the one with the smallest doc_id (a null one comes first).
+
+    Near copies share 0.8 or more of their five-word shingles, directly or over others.
+    """
     keyed = _keyed(docs)
-    groups = simhash.near_duplicates(_as_ids(keyed))
+    groups = near_copies.near_copies(_as_ids(keyed))
     first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id.*").select(*_KEYS).distinct()
     return keyed.join(first, list(_KEYS)).dropDuplicates(list(_KEYS)).select(docs.columns)
 
