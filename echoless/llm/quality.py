@@ -68,7 +68,7 @@ def _text_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*map(batch.column, names), lists], names=[*names, "_text"])
 
 
-_HASHER = dict(inputCols=["_lang", "_source", "_length"], outputCol="_b", numFeatures=256)
+_HASHER = dict(inputCols=["_lang", "_source", "_length"], outputCol="_b", numFeatures=1 << 16)
 
 
 def with_views(docs: DataFrame) -> DataFrame:
@@ -81,6 +81,12 @@ def with_views(docs: DataFrame) -> DataFrame:
     return FeatureHasher(**_HASHER).transform(both).drop("_text", *_HASHER["inputCols"])
 
 
+def unlabelled_views(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Both views of every row of docs whose doc_id has no quality label. Texts are turned to vectors before the join."""
+    views = with_views(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    return views.join(labels.filter("quality in (0, 1)").select("doc_id"), "doc_id", "left_anti").select("_a", "_b")
+
+
 def _fit_view(rows: DataFrame, view: str) -> Model:
     model = LogisticRegression(featuresCol=f"_{view}", labelCol="label", predictionCol=f"_{view}_said", maxIter=30, regParam=0.001)
     return model.setProbabilityCol(f"_{view}_probability").setRawPredictionCol(f"_{view}_margin").fit(rows)
@@ -113,27 +119,23 @@ class QualityModel:
         return rows.select("row", F.col("_a_calibrated").alias("text_score"), F.col("_b_calibrated").alias("metadata_score"), (1 / (1 + F.exp(-sum_))).alias("score"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 16_000, pool: int = 16_000, rounds: int = 3, sure: float = 0.95, seed: int = 7) -> QualityModel:
-    """Co-train on about `most` labelled documents, none of them held out, and about `pool` unlabelled ones.
+def fit(docs: DataFrame, labels: DataFrame, most: int = 16_000, rounds: int = 3, sure: float = 0.95, seed: int = 7) -> QualityModel:
+    """Co-train on about `most` labelled documents, none of them held out, and on all documents without a label.
 
     docs: doc_id, text, lang, source, n_chars; labels: doc_id, quality (0 or 1,
     1 is good; other rows are left aside, and the better of several counts).
     """
     known = labelled_sample(docs.select("doc_id", F.struct("text", "lang", "source", "n_chars").alias("text")), labels, "quality", most, seed)
-    known = known.select("doc_id", "text.*", F.col("quality").cast("double").alias("label"), F.lit(1).alias("known"))
-    share = min(1.0, pool / max(docs.count(), 1))
-    other = docs.filter((F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 20)) < int(share * (1 << 20))) & ~held_out())
-    other = other.select("doc_id", "text", "lang", "source", "n_chars", F.lit(None).cast("double").alias("label"), F.lit(0).alias("known"))
-    part = F.when(F.col("known") == 1, F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(3)))
-    rows = stored(with_views(known.unionByName(other).withColumn("part", part)))
-    counts = {(r.part, r.label): r["count"] for r in rows.filter("known = 1").groupBy("part", "label").count().collect()}
+    known = known.select("doc_id", "text.*", F.col("quality").cast("double").alias("label"))
+    rows = stored(with_views(known.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(3)))))
+    counts = {(r.part, r.label): r["count"] for r in rows.groupBy("part", "label").count().collect()}
     n = sum(counts.values())
     base = sum(c for (_, label), c in counts.items() if label == 1) / n if n else 0.5
     learn = {label: counts.get((1, label), 0) + counts.get((2, label), 0) for label in (0.0, 1.0)}
     if not all(learn.values()) or not all(counts.get((0, label)) for label in (0.0, 1.0)):
         return QualityModel({}, base)
     labelled = rows.filter("part > 0").select("_a", "_b", "label")
-    unlabelled = rows.filter("known = 0").select("_a", "_b")
+    unlabelled = stored(unlabelled_views(docs, labels))
     taught = {"a": labelled, "b": labelled}
     for _ in range(rounds):
         models = {view: _fit_view(taught[view], view) for view in "ab"}

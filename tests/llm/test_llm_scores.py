@@ -80,6 +80,20 @@ def test_quality_of_documents_not_learned_from(spark):
     assert sum(a == b for a, b in judged) / len(judged) >= 0.97
 
 
+def test_every_document_without_a_label_is_in_the_pool(spark):
+    rows, labels = corpus()
+    all_rows, labelled = rows + hard_rows(), {r[0] for r in labels if r[0] is not None and r[1] in (0, 1)}
+    pool = quality.unlabelled_views(hard_docs(spark, all_rows), spark.createDataFrame(labels, LABELS)).collect()
+    views = quality.with_views(hard_docs(spark, [r for r in all_rows if r[0] not in labelled]).select("doc_id", "text", "lang", "source", "n_chars"))
+    assert sorted(map(str, pool)) == sorted(map(str, views.select("_a", "_b").collect()))
+
+
+def test_sources_stay_apart(spark):
+    rows = [(i, "a", "en", f"host{i}/x", 1) for i in range(1000)]
+    views = quality.with_views(hard_docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars"))
+    assert len({str(r._b) for r in views.select("_b").collect()}) >= 980
+
+
 def test_given_labels_that_are_held_out(spark, sf_dir):
     d = sf_dir.replace("0.001", "0.01")
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
