@@ -2,13 +2,17 @@
 
 Subnet lists and match tables are configuration: a hundred rows at most in
 practice. Up to MAX_INLINE rows become constants of the plan, so no packet is
-shuffled or copied; longer ones use equi-joins, one per distinct mask.
+shuffled or copied. Longer subnet lists become disjoint ranges and one join,
+longer match tables equi-joins, one per distinct pair of masks.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 MAX_INLINE = 200
+#: All bits of an address, and the low ones that a bucket of ranges spans.
+FULL, BUCKET_BITS = (1 << 32) - 1, 16
 
 
 def _inline(table: DataFrame) -> list | None:
@@ -21,6 +25,61 @@ def nets_of(subnets: DataFrame, kind: str) -> DataFrame:
     return subnets.filter(F.col("kind") == kind).select("net", "mask").distinct()
 
 
+def _is_prefix() -> Column:
+    """The mask's zero bits are its lowest ones."""
+    low = F.lit(FULL) - F.col("mask")
+    return low.bitwiseAND(low + 1) == 0
+
+
+def disjoint_ranges(nets: DataFrame) -> DataFrame:
+    """(bucket, starts, ends): the addresses of all nets (prefix masks) as ascending ranges that do not touch.
+
+    A row per bucket of 65,536 addresses. A net wider than a bucket is in each
+    of its buckets, of which there are 65,536 at most whatever the list.
+    """
+    low, last = F.col("net"), F.col("net") + (F.lit(FULL) - F.col("mask"))
+    number = lambda c: F.shiftright(c, BUCKET_BITS)
+    parts = (
+        nets.select(low.alias("_low"), last.alias("_last"), F.explode(F.sequence(number(low), number(last))).alias("bucket"))
+        .select(
+            "bucket",
+            F.greatest("_low", F.shiftleft("bucket", BUCKET_BITS)).alias("start"),
+            F.least("_last", F.shiftleft(F.col("bucket") + 1, BUCKET_BITS) - 1).alias("end"),
+        )
+        .groupBy("bucket", "start")
+        .agg(F.max("end").alias("end"))
+    )
+    ordered = W.partitionBy("bucket").orderBy("start")
+    reach = F.max("end").over(ordered.rowsBetween(W.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("start") > reach + 1, F.lit(True)).cast("int")
+    return (
+        parts.withColumn("_new", apart)
+        .withColumn("_range", F.sum("_new").over(ordered))
+        .groupBy("bucket", "_range")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        .groupBy("bucket")
+        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_ranges"))
+        .select("bucket", F.col("_ranges.start").alias("starts"), F.col("_ranges.end").alias("ends"))
+    )
+
+
+def _in_ranges(df: DataFrame, ranges: DataFrame, flag: str, address: str) -> DataFrame:
+    """One join on the bucket; the range is found by halving, as a bucket may hold 32,768."""
+    side = ranges.select(F.col("bucket").alias("_bucket"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
+    at = F.col(address)
+
+    def halve(found: Column, step: Column) -> Column:
+        more = found + step
+        below = F.when(more <= F.size("_starts"), F.get("_starts", more - 1) <= at)
+        return F.when(F.coalesce(below, F.lit(False)), more).otherwise(found)
+
+    steps = F.array(*[F.lit(1 << i) for i in range(BUCKET_BITS - 1, -1, -1)])
+    place = F.aggregate(steps, F.lit(0), halve)
+    inside = F.coalesce(F.get("_ends", place - 1) >= at, F.lit(False))
+    joined = df.join(side, F.shiftright(at, BUCKET_BITS) == F.col("_bucket"), "left")
+    return joined.withColumn(flag, inside).drop("_bucket", "_starts", "_ends")
+
+
 def with_membership(df: DataFrame, nets: DataFrame, **flags: str) -> DataFrame:
     """Add a boolean per `flag=address_column`: address in any of `nets`."""
     rows = _inline(nets)
@@ -36,20 +95,15 @@ def with_membership(df: DataFrame, nets: DataFrame, **flags: str) -> DataFrame:
             return F.coalesce(hit, F.lit(False))  # no address is in no net
 
         return df.select("*", *[inside(address).alias(flag) for flag, address in flags.items()])
-    masks = [r.mask for r in nets.select("mask").distinct().collect()]
+    listed = nets.filter(F.col("net").bitwiseAND(F.col("mask")) == F.col("net"))
+    ranges = disjoint_ranges(listed.filter(_is_prefix()))
+    masks = [r.mask for r in listed.filter(~_is_prefix()).select("mask").distinct().collect()]
     for flag, address in flags.items():
-        hits = []
-        for i, mask in enumerate(masks):
-            hit = f"_{flag}{i}"
-            hits.append(F.coalesce(F.col(hit), F.lit(False)))
-            side = nets.filter(F.col("mask") == mask).select(
-                F.col("net").alias("_net"), F.lit(True).alias(hit)
-            )
-            df = df.join(side, F.col(address).bitwiseAND(mask) == F.col("_net"), "left").drop("_net")
-        any_hit = hits[0]
-        for hit in hits[1:]:
-            any_hit = any_hit | hit
-        df = df.withColumn(flag, any_hit).drop(*[f"_{flag}{i}" for i in range(len(masks))])
+        df = _in_ranges(df, ranges, flag, address)
+        for mask in masks:
+            side = listed.filter(F.col("mask") == mask).select(F.col("net").alias("_net"), F.lit(True).alias("_hit"))
+            df = df.join(side, F.col(address).bitwiseAND(mask) == F.col("_net"), "left")
+            df = df.withColumn(flag, F.col(flag) | F.coalesce("_hit", F.lit(False))).drop("_net", "_hit")
     return df
 
 

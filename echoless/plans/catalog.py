@@ -496,16 +496,32 @@ def host_liveness(spark, d):
     return out.select("pkt_id", "host_alive")
 
 
+def _near(exact: str):
+    """approx_keys is within 3% of the exact number."""
+    return (F.abs(F.col("approx_keys") - F.col(exact)) <= 0.03 * F.col(exact)).alias("near")
+
+
 @_query("select epoch, ip, port, proto from hot")
 def hot_rules(spark, d):
     return rules.hot_rules(_rules(spark, d))
 
 
 @_query("""
-select ts_us // 2000000 as epoch, count(*) as n_rules, count(distinct (ip, port, proto)) as n_keys
+select ts_us // 2000000 as epoch, count(*) as n_rules, count(distinct (ip, port, proto)) as n_keys, true as near
 from rules group by epoch""")
 def epoch_occupancy(spark, d):
-    return rules.epoch_occupancy(_rules(spark, d)).drop("approx_keys")
+    return rules.epoch_occupancy(_rules(spark, d)).select("epoch", "n_rules", "n_keys", _near("n_keys"))
+
+
+@_query("""
+select ts_us // 2000000 as epoch, count(*) as n_rules, count(distinct (ip, port, proto)) as n_keys, true as near
+from rules group by epoch""")
+def merged_occupancy(spark, d):
+    """Sketches of two halves of the hosts, stored, then merged; beside the exact counts."""
+    made = _rules(spark, d)
+    sketches = stored(rules.epoch_sketches(made.withColumn("half", F.col("ip") % 2), "half"))
+    exact = rules.epoch_occupancy(made).select("epoch", "n_keys")
+    return rules.merged_occupancy(sketches).join(exact, "epoch").select("epoch", "n_rules", "n_keys", _near("n_keys"))
 
 
 # Aggregations
@@ -883,10 +899,7 @@ def cooldown_stream(spark, d):
     )
 
 
-@_query("""
-select ip, port, proto, min(case when is_rule then ts_us end) as start_us, max(ts_us) + 5000000 as end_us,
-  count(case when not is_rule then 1 end) as n_hits from lives group by ip, port, proto, life
-having start_us is not null""")
+@_query("select ip, port, proto, start_us, end_us, n_hits from intervals")
 def rule_sessions_stream(spark, d):
     activity = _rules(spark, d).withColumn("is_rule", F.lit(True)).unionByName(
         _hits(spark, d).withColumn("is_rule", F.lit(False))
@@ -896,11 +909,13 @@ def rule_sessions_stream(spark, d):
     )
 
 
-@_query("select ts_us // 2000000 as epoch, count(*) as n_rules from rules group by epoch")
+@_query("""
+select ts_us // 2000000 as epoch, count(*) as n_rules, true as near from rules group by epoch""")
 def epoch_windows_stream(spark, d):
-    return run_in_steps(
-        _rules(spark, d), lambda r: jobs.epoch_windows_stream(packets.with_event_time(r))
-    ).drop("approx_keys")
+    made = _rules(spark, d)
+    windows = run_in_steps(made, lambda r: jobs.epoch_windows_stream(packets.with_event_time(r)))
+    exact = rules.epoch_occupancy(made).select("epoch", "n_keys")
+    return windows.join(exact, "epoch").select("epoch", "n_rules", _near("n_keys"))
 
 
 @_query("select count(*) as late from packets where ts_us < (select max(ts_us) // 2 from packets) and pkt_id % 97 = 0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import flow_key, flow_side
 from ..operators.flows import packet_addresses
-from ..operators.rules import KEY
+from ..operators.rules import KEY, SKETCH_BITS, sketch_key
 from ..schema import (
     CLOCK_ORIGIN_US,
     COOLDOWN_US,
@@ -18,7 +18,7 @@ from ..schema import (
     REPLY_TIMEOUT_US,
     RULE_TTL_US,
 )
-from .ordered import CooldownFold, FlowFold, fold_stream
+from .ordered import CooldownFold, FlowFold, SessionFold, fold_stream
 
 
 def track_flows_stream(
@@ -53,20 +53,13 @@ def rule_sessions_stream(
 ) -> DataFrame:
     """Lifetimes of rules from one stream of rules and hits (`is_rule`).
 
-    Lifetimes without a rule are left out. Hits before the first rule count.
+    As in the batch, lifetimes without a rule are left out and hits count from
+    the first rule on; earlier ones only prolong.
     """
-    session = F.session_window("ts", f"{ttl_us} microseconds")
-    return (
-        activity.withWatermark("ts", watermark)
-        .groupBy(session, *KEY)
-        .agg(
-            F.min(F.when(F.col("is_rule"), F.col("ts_us"))).alias("start_us"),
-            F.max("ts_us").alias("_last"),
-            F.count_if(~F.col("is_rule")).alias("n_hits"),
-        )
-        .filter(F.col("start_us").isNotNull())
-        .select(*KEY, "start_us", (F.col("_last") + ttl_us).alias("end_us"), "n_hits")
-    )
+    hit = (~F.col("is_rule")).cast("int")  # of equal times the rule comes first
+    keyed = activity.select("ts", *KEY, "ts_us", hit.cast("bigint").alias("pkt_id"), hit.alias("side"))
+    schema = "ip bigint, port int, proto int, start_us bigint, end_us bigint, n_hits bigint"
+    return fold_stream(keyed, SessionFold((ttl_us,)), schema, watermark)
 
 
 def epoch_windows_stream(
@@ -79,7 +72,7 @@ def epoch_windows_stream(
         .groupBy(window)
         .agg(
             F.count("*").alias("n_rules"),
-            F.approx_count_distinct(F.struct(*KEY)).alias("approx_keys"),
+            F.hll_sketch_estimate(F.hll_sketch_agg(sketch_key(), SKETCH_BITS)).alias("approx_keys"),
         )
         .select((start / epoch_us).cast("bigint").alias("epoch"), "n_rules", "approx_keys")
     )

@@ -133,6 +133,32 @@ class CooldownFold(OrderedFold):
         return (_PENDING, row[0], row[0], row[1], 0), [(row[0],)]
 
 
+class SessionFold(OrderedFold):
+    """Lifetimes of rules; rows of side 0 are rules, others hits; the limit is the time to live.
+
+    A pending key has hits only. From its first rule on `first id` counts hits.
+    """
+
+    key_columns = ["ip", "port", "proto"]
+    columns = ["start_us", "end_us", "n_hits"]
+
+    def due(self, state):
+        return state[1] + self.limits[0] + 1  # a use at the last moment still prolongs
+
+    def expire(self, state, now):
+        kind, at, start, hits, _ = state
+        if kind == _IDLE or now < self.due(state):
+            return state, []
+        return _NOTHING, [(start, at + self.limits[0], hits)] if kind == _REPLIED else []
+
+    def step(self, state, row):
+        ts, _, side = row
+        kind, _, start, hits, _ = state
+        if kind == _REPLIED:
+            return (_REPLIED, ts, start, hits + (side != 0), 0), []
+        return ((_PENDING, ts, 0, 0, 0) if side else (_REPLIED, ts, ts, 0, 0)), []
+
+
 def fold_stream(rows: DataFrame, fold: OrderedFold, schema: str, watermark: str) -> DataFrame:
     """`rows` has `ts`, the key columns of the fold, `ts_us`, `pkt_id`, `side`."""
     return (

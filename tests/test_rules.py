@@ -55,11 +55,50 @@ def test_rule_intervals_follow_the_events(spark):
         assert sorted((r.start_us, r.end_us, r.n_hits) for r in got) == brute_intervals(sent, hits, 10)
 
 
+def test_sketches_merge_over_interfaces(spark):
+    made = spark.createDataFrame([(i * 1000, i % 3001, i % 7, 6, f"if{i % 2}") for i in range(60_000)], "ts_us long, ip long, port int, proto int, iface string")
+    parts = rules.epoch_sketches(made, "iface", epoch_us=60_000_000)
+    assert parts.count() == 2
+    (merged,) = rules.merged_occupancy(parts).collect()
+    exact = made.select("ip", "port", "proto").distinct().count()
+    assert merged.n_rules == 60_000 and abs(merged.approx_keys - exact) <= 0.03 * exact
+    of_one = {r.iface: r.approx_keys for r in rules.merged_occupancy(parts, "iface").collect()}
+    assert set(of_one) == {"if0", "if1"}
+
+
 def packets(spark, n=200):
     rows = [(i, i, 6, RNG.randrange(1 << 32), RNG.randrange(1 << 32), 1, 2) for i in range(n)]
     return spark.createDataFrame(rows, PACKETS)
 
 
+def test_hundred_thousand_nets_of_all_masks_take_one_join(spark):
+    sizes = [0xFFFFFFFF & ~((1 << (32 - n)) - 1) for n in range(33)]
+    rng = random.Random(12)
+    listed = [(rng.randrange(1 << 32) & sizes[n], sizes[n]) for n in rng.choices(range(12, 33), k=100_000)]
+    listed += [(m & (0xC0000000 | rng.randrange(1 << 30)), m) for m in sizes[2:12]]
+    listed += [(0x0A0A0000 + 2 * i, sizes[32]) for i in range(32_768)]  # as many ranges as fit in a bucket
+    by_mask = {}
+    for net, mask in listed:
+        by_mask.setdefault(mask, set()).add(net)
+    at = [0, (1 << 32) - 1, *(0x0A0A0000 + i for i in range(200)), *(rng.randrange(1 << 32) for _ in range(500))]
+    at += [net + d for net, _ in listed[:300] for d in (-1, 0, 1) if 0 <= net + d < 1 << 32] + [None]
+    p = spark.createDataFrame([(a,) for a in at], "src_ip long")
+    out = nets.with_membership(p, spark.createDataFrame(listed, "net long, mask long"), member="src_ip")
+    expected = sorted((-1 if a is None else a, a is not None and any(a & m in found for m, found in by_mask.items())) for a in at)
+    assert sorted((-1 if r.src_ip is None else r.src_ip, r.member) for r in out.collect()) == expected
+    assert str(out._jdf.queryExecution().optimizedPlan().toString()).count("Join") == 1
+
+
+def test_nets_with_a_mask_that_is_no_prefix(spark, monkeypatch):
+    listed = [(0x0A000001, 0xFF0000FF), (0x0B000000, 0xFF000000), (0x0C000001, 0xFF000000)]
+    p = spark.createDataFrame([(0x0A123401,), (0x0A123402,), (0x0B000009,), (0x0C000001,), (None,)], "src_ip long")
+    table = spark.createDataFrame(listed, "net long, mask long")
+    inline = nets.with_membership(p, table, member="src_ip").collect()
+    monkeypatch.setattr(nets, "MAX_INLINE", 1)
+    key = lambda r: (r.src_ip is None, r.src_ip or 0, r.member)
+    assert sorted(nets.with_membership(p, table, member="src_ip").collect(), key=key) == sorted(inline, key=key)
+
+
 def test_long_net_lists_use_joins_and_agree(spark, monkeypatch):
     masks = [4278190080, 4294901760, 4026531840]
     listed = [("internal", RNG.randrange(1 << 32) & m, m) for m in masks for _ in range(6)]

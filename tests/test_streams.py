@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from brute import fold
-from echoless.plans.storage import run_stream
+from echoless.operators import rules
+from echoless.plans.storage import run_in_steps, run_stream
 from echoless.sources import packets, sinks
 from echoless.streaming import jobs
 from echoless.streaming.ordered import LateRows
@@ -69,6 +70,18 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert sorted(r.first_pkt_id for r in out) == [0, 1, 4]
 
 
+def test_lifetimes_are_those_of_the_batch_however_rows_come(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(400) * 10_000, rng.randrange(3), 80, 6, rng.random() < 0.15) for _ in range(300)]
+    activity = spark.createDataFrame(rows, "ts_us long, ip long, port int, proto int, is_rule boolean")
+    of = lambda rule: activity.filter(F.col("is_rule") == rule).drop("is_rule")
+    expected = sorted(rules.rule_intervals(of(True), of(False), 60_000).collect())
+    assert any(r.n_hits for r in expected) and any(not r.n_hits for r in expected)
+    for steps in (2, 9):
+        out = run_in_steps(activity, lambda a: jobs.rule_sessions_stream(packets.with_event_time(a), ttl_us=60_000), steps)
+        assert sorted(out.collect()) == expected
+
+
 def test_stream_sinks(spark, tmp_path):
     path = str(tmp_path / "in")
     write_files(spark, [(i, i, 6, 1, 2, 3, 4) for i in range(4)], path, 2)
