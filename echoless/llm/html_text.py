@@ -47,6 +47,11 @@ ASIDE_WORDS = {"ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "
 #: Words that boilerplate has often. Fixed values.
 CUES = re.compile(r"\b(?:cookies?|subscribe|newsletter|sign up|log ?in|register|advertisement|sponsored|copyright|all rights reserved|privacy|terms|imprint|impressum|reply|share|follow us)\b|©", re.I)
 
+#: Ancestors that the way to a block shows from each end.
+SHOWN = 32
+#: Blocks of fewer characters, or with more of them in links than this share, may be boilerplate by their words.
+SHORT, LINKED = 80, 0.5
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(?:" + "|".join(SELF_CLOSED) + r")(?=[\s/])[^>]*+(?<=/)>"
     r"|<(?P<silent>" + "|".join(SILENT) + r")(?=[\s/>])[^>]*+>.*?(?:</(?P=silent)(?=[\s/>])[^>]*+>|$)"
@@ -59,7 +64,10 @@ _WORDS = re.compile(r"[a-z]+")
 
 @dataclass
 class Block:
-    """Text of a leaf block, the way to it (tag and words of class, id and role for each ancestor), and what it is made of."""
+    """Text of a leaf block, the way to it (tag and words of class, id and role for each ancestor), and what it is made of.
+
+    Of more than 2 * SHOWN ancestors the way has the outermost and the innermost.
+    """
 
     path: tuple[tuple[str, tuple[str, ...]], ...]
     text: str
@@ -69,7 +77,14 @@ class Block:
 
 @dataclass
 class _Reader:
+    """Open elements (tag, words of its names, whether kept, place of the innermost block) and the blocks so far.
+
+    Where the open elements of each tag are is kept too, so that a tag costs the
+    same however many elements are open.
+    """
+
     stack: list = field(default_factory=list)
+    places: dict = field(default_factory=dict)
     parts: list = field(default_factory=list)
     links: int = 0
     blocks: list = field(default_factory=list)
@@ -79,10 +94,18 @@ class _Reader:
             text = "".join(self.parts)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                path = tuple((tag, names) for tag, names, _ in self.stack)
-                self.blocks.append(Block(path, text, self.links, any(keep for _, _, keep in self.stack)))
+                shown = self.stack if len(self.stack) <= 2 * SHOWN else self.stack[:SHOWN] + self.stack[-SHOWN:]
+                path = tuple((tag, names) for tag, names, _, _ in shown)
+                self.blocks.append(Block(path, text, self.links, self.stack[-1][2] if self.stack else False))
         self.parts, self.links = [], 0
 
+    def close_from(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.places[self.stack.pop()[0]].pop()
+
+    def innermost_block(self) -> int:
+        return self.stack[-1][3] if self.stack else -1
+
     def start(self, tag: str, rest: str) -> None:
         if tag == "br":
             self.parts.append(" ")
@@ -92,27 +115,26 @@ class _Reader:
         if tag in BLOCKS:
             self.flush()
             while self.stack and tag in IMPLIED_END.get(self.stack[-1][0], ()):
-                self.stack.pop()
+                self.close_from(len(self.stack) - 1)
             # A paragraph ends also if inline elements are still open in it.
-            inline = [i for i, (t, _, _) in enumerate(self.stack) if t == "p"]
-            if inline and all(t not in BLOCKS for t, _, _ in self.stack[inline[-1] + 1 :]):
-                del self.stack[inline[-1] :]
+            inner = self.innermost_block()
+            if inner >= 0 and self.stack[inner][0] == "p":
+                self.close_from(inner)
         if tag not in VOID and not rest.endswith("/"):
             names = tuple(w for m in _NAMES.finditer(rest) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())) if "=" in rest else ()
-            self.stack.append((tag, names, " keep" in rest))
+            kept, inner, at = bool(self.stack and self.stack[-1][2]), self.innermost_block(), len(self.stack)
+            self.places.setdefault(tag, []).append(at)
+            self.stack.append((tag, names, kept or " keep" in rest, at if tag in BLOCKS else inner))
 
     def end(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in BLOCKS and tag not in BLOCKS:
-                return
+        at = self.places.get(tag)
+        if at and (tag in BLOCKS or at[-1] >= self.innermost_block()):
+            self.close_from(at[-1])
 
     def text(self, text: str) -> None:
-        if any(t == "a" for t, _, _ in self.stack[-3:]):
+        if any(element[0] == "a" for element in self.stack[-3:]):
             self.links += len(text.strip())
         self.parts.append(text)
 
@@ -150,8 +172,9 @@ def text_features(block: Block) -> list[str]:
     found = [f"chars:{min(n.bit_length(), 10)}", f"links:{min(4 * block.link_chars // n, 4)}"]
     if text[-1] in ".!?:\"'”»":
         found.append("sentence")
-    if n < 400 and CUES.search(text):
-        found.append("cue")
+    # Articles use these words too: they tell something only of short blocks or links, and other things within an article.
+    if (n < SHORT or block.link_chars > LINKED * n) and CUES.search(text):
+        found.append("cue in article" if any(tag in ("article", "main") for tag, _ in block.path) else "cue")
     return found
 
 

@@ -33,4 +33,13 @@ LABELLED_PAGES = (
     """<body><div class="menu"><a href="/x">Accueil</a> <a href="/y">Contact</a></div><div class="popup newsletter"><p>Recevez nos offres chaque semaine.</p></div>
 <section class="article-text"><h1 keep>Le marché revient sur la place</h1><p keep>Après deux ans de travaux, les marchands ont retrouvé la place samedi matin.</p><p keep>Le maire a parlé peu, et la musique a joué longtemps.</p></section>
 <div class="sponsored"><p>Publicité : des fenêtres à prix réduit.</p></div><div class="comments-list"><p>Enfin une bonne nouvelle pour la ville !</p></div><div class="legal">Tous droits réservés</div></body>""",
+    """<body><header><a href="/">Home</a></header><article><h1 keep>Privacy and the register of births</h1><p keep>The terms of the law changed.</p>
+<p keep>Every town has to share its register with the state, and a reply is due within a month, whatever the copyright of the forms.</p><p keep>Those who log in see their own entry only.</p></article>
+<div class="responses"><p>My town has not sent a reply since May.</p><p>Thank you, this explains a lot.</p></div></body>""",
+    """<body><nav><a href="/">Home</a></nav><main><h1 keep>Register early</h1><p keep>Reply to the letter and share the news.</p><p keep>The club keeps the terms of last year.</p>
+<h2 keep>Copyright of the songs</h2><p keep>It lies with the choir.</p></main><section class="discussion"><h3>Responses</h3><p>I sang there for ten years.</p></section><footer>Terms</footer></body>""",
+    """<body><header><h2>The Weekly</h2><a href="/">Home</a></header><main><article><p keep>We subscribe to the view that privacy matters.</p><p keep>So does the share of the vote.</p>
+<p>Sign up for our newsletter</p></article></main><div class="replies"><p>Well said, I could not agree more with the editors.</p></div></body>""",
+    """<body><header><a href="/">Home</a></header><div class="page"><h1 keep>Terms of trade</h1><p keep>The share of rye in the harvest fell, and with it the price that the mills pay.</p>
+<p keep>Growers reply that the register of fields is out of date.</p></div><div class="responses"><p>The mills pay what they like.</p></div></body>""",
 )

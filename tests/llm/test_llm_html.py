@@ -1,6 +1,8 @@
 import html
 import itertools
 import re
+import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +91,33 @@ def test_left_out_layouts(crf):
     assert right / total >= 0.75  # five pages to learn from
 
 
+def test_everyday_words_do_not_end_an_article(crf):
+    for page, text in (
+        ("<article><h1>Copyright reform</h1><p>The privacy law and the terms of the copyright bill changed.</p><p>Reply to critics: we subscribe to no party.</p></article>",
+         "Copyright reform\n\nThe privacy law and the terms of the copyright bill changed.\n\nReply to critics: we subscribe to no party."),
+        ("<header><a>Home</a></header><article><h1>Bees in town</h1><p>They live on roofs.</p></article>", "Bees in town\n\nThey live on roofs."),
+        ("<nav><a>Home</a></nav><main><h1>Bees in town</h1><p>They live on roofs.</p></main>", "Bees in town\n\nThey live on roofs."),
+        ("<article><h1>Bees in town</h1><p>They live on roofs.</p></article><div class=responses><p>I saw them too, on our own house.</p></div>", "Bees in town\n\nThey live on roofs."),
+    ):
+        assert html_text.main_text(page, crf) == text
+
+
+def test_deep_and_unclosed_elements_cost_no_more_than_others(crf):
+    for page in ("<div>" * 100_000 + "x", "<div>x" * 20_000, "<b>" * 20_000 + "<div>a</div></i>" * 20_000, "<i><div>" * 20_000 + "</i>y" * 20_000, "<p><b>" * 20_000):
+        begin = time.process_time()
+        html_text.main_text(page, crf)
+        assert time.process_time() - begin < 5
+    tracemalloc.start()
+    html_text.main_text("<div>" * 100_000 + "x", crf)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_the_way_to_a_deep_block_shows_both_ends():
+    (block,) = html_text.leaf_blocks("<article>" + "<div>" * 200 + "<p>x")
+    assert len(block.path) == 2 * html_text.SHOWN and block.path[0][0] == "article" and block.path[-1][0] == "p"
+
+
 def test_articles_of_the_given_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet")
     found = {r.page_id: r for r in html_text.extract(pages).collect()}
