@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from threading import Event
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,72 +19,121 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..schema import CLOCK_ORIGIN_US
 
-_STATE = (
-    "kind int, at bigint, t0 bigint, first_id bigint, side int,"
-    " wait_ts array<bigint>, wait_id array<bigint>, wait_side array<int>"
-)
+#: Keys are dealt by hash to so many groups; a checkpoint holds for one number.
+BUCKETS = 512
+_STATE = "open binary, waiting binary"
+#: Stands for NULL in arrays of longs.
+_NULL = -(1 << 63)
 _IDLE, _PENDING, _REPLIED = 0, 1, 2
-_NOTHING = (_IDLE, 0, 0, 0, 0)
+
+
+class Rows:
+    """Rows and carried states of many keys in order; a key's state, if any, comes first.
+
+    `kind` is _IDLE for rows; a state has its last time that matters in `ts`.
+    `end` is the position after the last row of a row's key.
+    """
+
+    def __init__(self, table: np.ndarray, n_keys: int):
+        self.keys = table[:, :n_keys]
+        self.kind, self.ts, self.t0, self.id, self.side = table[:, n_keys:].T
+        new = np.append(True, (self.keys[1:] != self.keys[:-1]).any(axis=1))
+        self.number = np.cumsum(new) - 1
+        self.last = np.append(np.flatnonzero(new)[1:], len(new)) - 1
+        self.end = self.last[self.number] + 1
+        self._inner = ~new
+
+    def next(self, flagged: np.ndarray) -> np.ndarray:
+        """The next flagged row of the key after each row, else its end; flagged[i] may compare row i + 1 with row i."""
+        at = np.append(np.where(self._inner[1:] & flagged, np.arange(1, len(self.ts)), len(self.ts)), len(self.ts))
+        return np.minimum(np.minimum.accumulate(at[::-1])[::-1], self.end)
+
+    def after_gap(self, gap_us: int) -> np.ndarray:
+        """The next row of the key that comes gap_us or more after the one before it."""
+        return self.next(self.ts[1:] - self.ts[:-1] >= gap_us)
+
+    def from_time(self, limit: np.ndarray) -> np.ndarray:
+        """The first row of each row's key that is not before limit."""
+        n = len(limit)
+        ask = np.repeat([True, False], n)
+        order = np.lexsort((~ask, np.concatenate([limit, self.ts]), np.tile(self.number, 2)))
+        found, before = np.empty(n, np.int64), np.cumsum(~ask[order])
+        asked = ask[order]
+        found[order[asked]] = before[asked]
+        return found
+
+
+def _starts(following: np.ndarray) -> np.ndarray:
+    """From the first row on, where each span ends and the next one starts."""
+    following, i, found = following.tolist(), 0, []
+    while i < len(following):
+        found.append(i)
+        i = following[i]
+    return np.array(found, np.int64)
 
 
 class OrderedFold:
-    """Base: buffers rows, hands them over in order, wakes up when time is due.
+    """Base: holds rows back, hands them over in order, wakes up when time is due.
 
-    State and timeout of a key travel with its rows in Arrow batches, so a key
-    costs no extra round trip.
+    A group holds many keys. Their rows are folded as arrays, and kept as arrays
+    in one state, so a key costs no call of its own.
 
-    Subclasses give `step(state, row)` and `expire(state, now_us)`; both return
-    the new state and a list of output tuples. A state is (kind, at, t0, first
-    id, side), `at` being the last time that matters.
+    Subclasses give `fold(rows, now_us)`: the positions of the rows that output
+    is about with its columns, and the states that stay: positions, kinds, last
+    times that matter, times and ids of their firsts, sides. `due` is how long
+    after its last time a state of each kind has something to do.
     """
 
+    key_columns: list[str] = []
     columns: list[str] = []
 
     def __init__(self, limits: tuple):
         self.limits = limits
 
     def __call__(self, key, frames: Iterator[pd.DataFrame], group) -> Iterator[pd.DataFrame]:
-        mark = group.getCurrentWatermarkMs()
+        mark, n = group.getCurrentWatermarkMs(), len(self.key_columns)
         now = mark * 1000 - CLOCK_ORIGIN_US
-        state, rows = _NOTHING, []
+        states, rows = np.zeros((0, n + 5), np.int64), [np.zeros((0, n + 3), np.int64)]
         if group.exists:
-            stored = group.get
-            state, rows = tuple(stored[:5]), list(zip(*stored[5:8]))
+            states, waiting = group.get
+            states = np.frombuffer(states, np.int64).reshape(-1, n + 5)
+            rows.append(np.frombuffer(waiting, np.int64).reshape(-1, n + 3))
         if not group.hasTimedOut:
-            for frame in frames:
-                rows += zip(
-                    frame["ts_us"].tolist(), frame["pkt_id"].tolist(), frame["side"].tolist()
-                )
-        rows.sort()
-        settled = 0
-        out: list[tuple] = []
-        for row in rows:
-            if row[0] > now:
-                break
-            settled += 1
-            state, emitted = self.expire(state, row[0])
-            out += emitted
-            state, emitted = self.step(state, row)
-            out += emitted
-        state, emitted = self.expire(state, now)
-        out += emitted
-        self._keep(group, state, rows[settled:], mark)
-        if out:
-            frame = pd.DataFrame(out, columns=self.columns)
-            for name, value in zip(self.key_columns, key):
-                frame[name] = value
-            yield frame[self.key_columns + self.columns]
-
-    def _keep(self, group, state, left, mark) -> None:
-        due = [left[0][0]] if left else []
-        if state[0] != _IDLE:
-            due.append(self.due(state))
-        if not due:
+            names = [*self.key_columns, "ts_us", "pkt_id", "side"]
+            rows += [frame[names].to_numpy(np.int64) for frame in frames]
+        rows = np.concatenate(rows)
+        settled = rows[:, n] <= now
+        rows, left = rows[settled], rows[~settled]
+        table = np.zeros((len(rows), n + 5), np.int64)
+        table[:, :n], table[:, n + 1], table[:, n + 3 :] = rows[:, :n], rows[:, n], rows[:, n + 1 :]
+        table = np.concatenate([states, table])
+        if len(table):
+            by = (table[:, n + 4], table[:, n + 3], table[:, n + 1], table[:, n] == _IDLE)
+            table = table[np.lexsort((*by, *table[:, :n].T))]
+            folded = Rows(table, n)
+            about, out, (at, *kept) = self.fold(folded, now)
+            states = np.column_stack([folded.keys[at], *kept]).astype(np.int64)
+            if len(about):
+                yield self._frame(folded.keys[about], out)
+        self._keep(group, states, left, mark)
+
+    def _frame(self, keys: np.ndarray, out: list) -> pd.DataFrame:
+        columns = {}
+        for name, values in zip(self.key_columns + self.columns, [*keys.T, *out]):
+            longs = values.dtype.kind == "i"
+            columns[name] = pd.arrays.IntegerArray(values.copy(), values == _NULL) if longs else values
+        return pd.DataFrame(columns)
+
+    def _keep(self, group, states, left, mark) -> None:
+        n = len(self.key_columns)
+        due = [left[:, n], states[:, n + 1] + np.array([0, *self.due])[states[:, n]]]
+        due = np.concatenate(due)
+        if not len(due):
             group.remove()
             return
-        group.update((*state, *([list(column) for column in zip(*left)] or ([], [], []))))
+        group.update((states.tobytes(), left.tobytes()))
         # Timeouts are whole milliseconds and fire once the watermark is past them.
-        group.setTimeoutTimestamp(max(-(-(min(due) + CLOCK_ORIGIN_US) // 1000) - 1, mark, 1))
+        group.setTimeoutTimestamp(max(-(-(int(due.min()) + CLOCK_ORIGIN_US) // 1000) - 1, mark, 1))
 
 
 class FlowFold(OrderedFold):
@@ -92,26 +142,32 @@ class FlowFold(OrderedFold):
     key_columns = ["proto", "ep_lo", "ep_hi"]
     columns = ["status", "side", "t0", "first_pkt_id", "reply_ts"]
 
-    def due(self, state):
-        return state[1] + (self.limits[0] if state[0] == _PENDING else self.limits[1])
-
-    def expire(self, state, now):
-        kind, _, t0, first_id, side = state
-        if kind == _IDLE or now < self.due(state):
-            return state, []
-        lost = [("unanswered", side, t0, first_id, None)] if kind == _PENDING else []
-        return _NOTHING, lost
-
-    def step(self, state, row):
-        ts, pkt_id, direction = row
-        kind, _, t0, first_id, side = state
-        if kind == _IDLE:
-            return (_PENDING, ts, ts, pkt_id, direction), []
-        if kind == _REPLIED:
-            return (_REPLIED, ts, t0, first_id, side), []
-        if direction == side:
-            return state, []
-        return (_REPLIED, ts, t0, first_id, side), [("replied", side, t0, first_id, ts)]
+    @property
+    def due(self):
+        return self.limits
+
+    def fold(self, r: Rows, now: int):
+        timeout, linger = self.limits
+        reply, quiet = r.next(r.side[1:] != r.side[:-1]), r.after_gap(linger)
+        expiry = r.from_time(r.ts + timeout)
+        replied = reply < expiry
+        over = np.where(replied, quiet[np.minimum(reply, len(reply) - 1)], expiry)
+        over = np.where(r.kind == _REPLIED, quiet, over)
+        start = _starts(over)
+        told = start[r.kind[start] != _REPLIED]
+        told = told[replied[told] | (r.ts[told] + timeout <= now)]
+        answered = replied[told]
+        status = np.where(answered, "replied", "unanswered").astype(object)
+        reply_ts = np.where(answered, r.ts[np.where(answered, reply[told], 0)], _NULL)
+        out = [status, r.side[told], r.ts[told], r.id[told], reply_ts]
+        # The span that reaches the key's last row lives on unless its time is over.
+        at = start[over[start] == r.end[start]]
+        ended = replied[at] | (r.kind[at] == _REPLIED)
+        kind = np.where(ended, _REPLIED, _PENDING)
+        last = np.where(ended, r.ts[r.end[at] - 1], r.ts[at])
+        lives = last + np.where(ended, linger, timeout) > now
+        at, kind, last = at[lives], kind[lives], last[lives]
+        return told, out, (at, kind, last, r.ts[at], r.id[at], r.side[at])
 
 
 class CooldownFold(OrderedFold):
@@ -120,17 +176,17 @@ class CooldownFold(OrderedFold):
     key_columns = ["ip", "port", "proto"]
     columns = ["ts_us"]
 
-    def due(self, state):
-        return state[1] + self.limits[0]
-
-    def expire(self, state, now):
-        over = state[0] != _IDLE and now >= self.due(state)
-        return (_NOTHING if over else state), []
+    @property
+    def due(self):
+        return (*self.limits, 0)
 
-    def step(self, state, row):
-        if state[0] != _IDLE:
-            return state, []
-        return (_PENDING, row[0], row[0], row[1], 0), [(row[0],)]
+    def fold(self, r: Rows, now: int):
+        over = r.from_time(r.ts + self.limits[0])
+        start = _starts(over)
+        told = start[r.kind[start] == _IDLE]
+        at = start[(over[start] == r.end[start]) & (r.ts[start] + self.limits[0] > now)]
+        zero = np.zeros(len(at), np.int64)
+        return told, [r.ts[told]], (at, zero + _PENDING, r.ts[at], r.ts[at], zero, zero)
 
 
 class SessionFold(OrderedFold):
@@ -142,28 +198,41 @@ class SessionFold(OrderedFold):
     key_columns = ["ip", "port", "proto"]
     columns = ["start_us", "end_us", "n_hits"]
 
-    def due(self, state):
-        return state[1] + self.limits[0] + 1  # a use at the last moment still prolongs
-
-    def expire(self, state, now):
-        kind, at, start, hits, _ = state
-        if kind == _IDLE or now < self.due(state):
-            return state, []
-        return _NOTHING, [(start, at + self.limits[0], hits)] if kind == _REPLIED else []
-
-    def step(self, state, row):
-        ts, _, side = row
-        kind, _, start, hits, _ = state
-        if kind == _REPLIED:
-            return (_REPLIED, ts, start, hits + (side != 0), 0), []
-        return ((_PENDING, ts, 0, 0, 0) if side else (_REPLIED, ts, ts, 0, 0)), []
-
-
-def fold_stream(rows: DataFrame, fold: OrderedFold, schema: str, watermark: str) -> DataFrame:
-    """`rows` has `ts`, the key columns of the fold, `ts_us`, `pkt_id`, `side`."""
+    @property
+    def due(self):
+        return (self.limits[0] + 1,) * 2  # a use at the last moment still prolongs
+
+    def fold(self, r: Rows, now: int):
+        over = r.after_gap(self.limits[0] + 1)
+        at = _starts(over)
+        over, known = over[at], r.kind[at] == _REPLIED
+        rule = (r.side == 0) & (r.kind == _IDLE)
+        first = np.where(rule, np.arange(len(rule)), r.next(rule[1:]))[at]
+        hits = np.append(0, np.cumsum((r.side != 0) & (r.kind == _IDLE)))
+        begun = known | (first < over)
+        first = np.where(known, at, np.minimum(first, len(rule) - 1))
+        begin = np.where(known, r.t0[first], r.ts[first])
+        n_hits = np.where(known, r.id[at], 0) + hits[over] - hits[first]
+        last = r.ts[over - 1]
+        lives = last + self.limits[0] + 1 > now
+        told, kind = begun & ~lives, np.where(begun, _REPLIED, _PENDING)
+        zero = np.zeros(len(at), np.int64)
+        begin, n_hits = np.where(begun, begin, 0), np.where(begun, n_hits, 0)
+        out = [begin[told], last[told] + self.limits[0], n_hits[told]]
+        return at[told], out, [x[lives] for x in (at, kind, last, begin, n_hits, zero)]
+
+
+def fold_stream(
+    rows: DataFrame, fold: OrderedFold, schema: str, watermark: str, buckets: int = BUCKETS
+) -> DataFrame:
+    """`rows` has `ts`, the key columns of the fold, `ts_us`, `pkt_id`, `side`, all of them whole numbers."""
+    longs = [*fold.key_columns, "ts_us", "pkt_id", "side"]
+    filled = [F.coalesce(F.col(c).cast("bigint"), F.lit(_NULL)).alias(c) for c in longs]
+    bucket = F.pmod(F.xxhash64(*fold.key_columns), F.lit(buckets)).alias("bucket")
     return (
         rows.withWatermark("ts", watermark)
-        .groupBy(*fold.key_columns)
+        .select("ts", bucket, *filled)
+        .groupBy("bucket")
         .applyInPandasWithState(
             fold, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout
         )

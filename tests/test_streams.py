@@ -9,7 +9,7 @@ from echoless.operators import rules
 from echoless.plans.storage import run_in_steps, run_stream
 from echoless.sources import packets, sinks
 from echoless.streaming import jobs
-from echoless.streaming.ordered import LateRows
+from echoless.streaming.ordered import BUCKETS, LateRows
 
 
 def write_files(spark, rows, path, size):
@@ -93,3 +93,42 @@ def test_stream_sinks(spark, tmp_path):
     rules = packets_in.select("ts_us", F.col("src_ip").alias("ip"))
     sinks.write_rules(rules, str(tmp_path / "r"), str(tmp_path / "c2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "r")).count() == 4
+
+
+def test_many_keys_share_few_groups(spark, tmp_path):
+    rng = random.Random(12)
+    rows = []
+    for i in range(6_000):
+        a, b = rng.choice([(1, 2), (2, 1)])
+        key = rng.randrange(2_500) if i % 4 else 0
+        rows.append((i, rng.randrange(12_000_000), 6, 100 * key + a, 100 * key + b, 5 if a == 1 else 6, 6 if a == 1 else 5))
+    rows.append((9_999, 60_000_000, 6, 900_001, 900_002, 5, 6))  # moves the watermark on
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_files(spark, sorted(rows, key=lambda r: r[1]), path, 2_000)
+    query = (
+        jobs.track_flows_stream(stream_of(spark, path)).writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    groups = [s.numRowsTotal for p in query.recentProgress for s in p.stateOperators]
+    assert max(groups) <= BUCKETS < 2_500
+    got = {(r.first_pkt_id, r.status, r.t0, r.reply_ts) for r in spark.read.parquet(out).collect()}
+    expected_roles = fold([((min(r[3:5]), max(r[3:5])), r[1], r[0], int(r[3] > r[4])) for r in rows], 1_000_000, 200_000)
+    assert got == {
+        (rid, "replied" if reply is not None else "unanswered", t0, reply)
+        for rid, (role, t0, _, reply) in expected_roles.items() if role == "created" and rid != 9_999
+    }
+
+
+def test_cooldowns_are_those_of_the_batch_however_rows_come(spark):
+    rng = random.Random(13)
+    rows = [(rng.randrange(900) * 10_000, rng.randrange(40), 80, 6) for _ in range(900)]
+    rows += [(rng.randrange(900) * 10_000, None, 80, 6) for _ in range(60)]
+    made = spark.createDataFrame(rows, "ts_us long, ip long, port int, proto int")
+    out = run_in_steps(made, lambda r: jobs.cooldown_stream(packets.with_event_time(r), cooldown_us=700_000), 3)
+    expected, last = [], {}
+    for ts, *key in sorted(rows, key=lambda r: r[0]):
+        if ts >= last.get(tuple(key), -(10**9)) + 700_000:
+            last[tuple(key)] = ts
+            expected.append((ts, *key))
+    assert sorted(out.collect(), key=str) == sorted(expected, key=str)
