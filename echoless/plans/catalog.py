@@ -11,7 +11,7 @@ from ..schema import CONTROLLER_FIELDS, STAT_DOUBLES, STAT_FIELDS
 from ..sources import frames, packets, sinks, statfiles
 from ..sources import nets as net_files
 from ..streaming import jobs
-from ..streaming.ordered import LateRows
+from ..streaming.ordered import LateRows, rocksdb_state
 from . import fixtures as fx
 from . import reports
 from .oracle import build
@@ -928,11 +928,12 @@ def late_packets(spark, d):
     for part in (p.filter(~slow), p.filter(slow)):
         part.write.mode("append").parquet(f"{root}/in")
         stream = packets.with_event_time(packets.read_packets(spark, f"{root}/in", streaming=True))
-        query = (
-            jobs.track_flows_stream(stream).writeStream.format("parquet")
-            .option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
-            .trigger(availableNow=True).start()
-        )
+        with rocksdb_state(spark):
+            query = (
+                jobs.track_flows_stream(stream).writeStream.format("parquet")
+                .option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+                .trigger(availableNow=True).start()
+            )
         n = late.of(query)
     spark.streams.removeListener(late)
     return spark.range(1).select(F.lit(n).cast("bigint").alias("late"))
