@@ -75,3 +75,22 @@ def test_blocks_that_many_texts_share_are_dealt_in_chunks(spark, monkeypatch):
 
 def test_no_rows(spark):
     assert near_copies.near_copies(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_close_texts_that_are_no_copies_make_no_table_of_pairs(spark, monkeypatch):
+    counts, real = [], near_copies.stored
+
+    def counted(df):
+        kept = real(df)
+        counts.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(near_copies, "stored", counted)
+    monkeypatch.setattr(near_copies, "COLUMNS", 64)
+    rng = random.Random(7)
+    base = prose(rng, 200, 3000).split()
+    texts = [edited(rng, base, 5) for _ in range(330)] + [edited(rng, base, 2) for _ in range(30)]
+    rng.shuffle(texts)
+    rows = rows_of(texts)
+    same(near_copies.near_copies(spark.createDataFrame(rows, DOCS)).collect(), brute(rows))
+    assert max(counts) < 20_000  # of 64,620 pairs
