@@ -13,10 +13,13 @@ smallest near one with which it shares one of the first blocks; that joins most
 of any group of copies without looking at its pairs. Then all pairs are looked
 at that are not yet in one group. A block that very many texts share is dealt
 to tasks by pairs of chunks: its most frequent group against the rest, and the
-rest against itself. Where few texts of a block are close, their pairs are
-checked one by one. Where close pairs outnumber their texts, the texts' shingles
-go to one task each pair of parts, which checks all pairs at once and returns
-what links each text to its group, never the pairs.
+rest against itself. Texts of a block that are close, directly or over others,
+are a cluster. Where its close pairs are no more than its texts, they are checked
+one by one. Others are dense: for each text only the cluster's least one is
+noted. Dense clusters of all blocks with a text in common become one, unless
+that is more to check than they are apart, and its texts' shingles go to a task
+for each pair of parts once, not once for each block. The task checks all pairs
+and returns what links each text to its group, never the pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoless.llm.simhash import CHUNK, SMALL, components, fingerprints_of
@@ -38,8 +41,8 @@ WORDS, WIDTH = 16, 16
 FIRST = 16
 #: Of 128 bits, texts of similarity 0.8 differ in 19 on average (deviation 4), others in 64 (deviation 6).
 DISTANCE = 34
-#: Texts of a part; a task checks two parts of a block against each other, COLUMNS shingles at a time.
-PART, COLUMNS = 200, 4096
+#: Texts and shingles of a part; a task checks two parts of a cluster against each other, COLUMNS shingles at a time.
+PART, VOLUME, COLUMNS = 512, 1 << 22, 4096
 
 
 def distinct_shingles(part: Slice, size: int, powers: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -116,10 +119,23 @@ def _first_pairs(distinct: DataFrame) -> DataFrame:
     return keyed.join(least, "key").filter((F.col("cid") > F.col("c.cid")) & _close("c")).groupBy(F.col("cid").alias("u")).agg(F.min("c.cid").alias("v"))
 
 
+def _clusters(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n texts the first one that it is connected with by the pairs (a, b)."""
+    first = np.arange(n)
+    while True:
+        new, low = first.copy(), np.minimum(first[a], first[b])
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == first).all():
+            return first
+        first = new
+
+
 def _close_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Close pairs of different groups among rows of equal (key, i, j), which come in order and may lie across batches.
 
-    Gives pairs (u, v), or, if there are more of them than texts they are made of, the texts u with their part of (key, i, j).
+    Gives pairs (u, v), or, where a cluster has more of them than texts, its texts u with the least of them, v.
     """
 
     def close(t: np.ndarray) -> pa.RecordBatch:
@@ -128,7 +144,7 @@ def _close_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(begin, len(t)))
         own = np.repeat(size, size)
         cid, root, f, g = t[:, 3], t[:, 4], t[:, 5].view(np.uint64), t[:, 6].view(np.uint64)
-        left, right, dense = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 5), np.int64)]
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
         def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return (np.bitwise_count(f[a] ^ f[b]).astype(np.int16) + np.bitwise_count(g[a] ^ g[b]) <= DISTANCE) & (root[a] != root[b])
@@ -144,24 +160,15 @@ def _close_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left.append(b + x[at])
             right.append(b + y[at])
         a, b = np.concatenate(left), np.concatenate(right)
-        texts = np.unique(np.concatenate([a, b]))
-        n_pairs, n_texts = (np.bincount(number[x], minlength=len(begin) + 1) for x in (a, texts))
-        many = n_pairs > n_texts
-        texts = texts[many[number[texts]]]
-        edge = np.flatnonzero(np.append(True, number[texts][1:] != number[texts][:-1])) if len(texts) else np.zeros(0, np.int64)
-        for x in np.split(texts, edge[1:]) if len(texts) else []:
-            parts = -(-len(x) // PART)
-            part = np.arange(len(x)) % parts
-            for other in range(parts):
-                pair = np.minimum(part, other) * parts + np.maximum(part, other)
-                apart = (part != other) | (parts == 1)
-                dense.append(np.column_stack([t[x, :3], pair, cid[x]])[apart])
-        few = ~many[number[a]]
-        a, b, dense = cid[a[few]], cid[b[few]], np.concatenate(dense)
-        none, known = np.zeros(len(dense), np.int64), np.arange(len(a) + len(dense)) < len(a)
-        columns = [np.append(np.maximum(a, b), dense[:, 4]), np.append(np.minimum(a, b), none)]
-        columns += [np.append(np.zeros(len(a), np.int64), dense[:, k]) for k in range(4)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(~known)], names=["u", "v", "key", "i", "j", "part", "dense"])
+        texts, cluster = np.unique(np.concatenate([a, b])), _clusters(a, b, len(t))
+        many = np.bincount(cluster[a], minlength=len(t)) > np.bincount(cluster[texts], minlength=len(t))
+        few, texts = ~many[cluster[a]], texts[many[cluster[texts]]]
+        least = np.full(len(t), np.iinfo(np.int64).max)
+        np.minimum.at(least, cluster[texts], cid[texts])
+        a, b = cid[a[few]], cid[b[few]]
+        columns = [np.append(np.maximum(a, b), cid[texts]), np.append(np.minimum(a, b), least[cluster[texts]])]
+        dense = np.arange(len(a) + len(texts)) >= len(a)
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(dense)], names=["u", "v", "dense"])
 
     yield from _by_cell(batches, ("key", "i", "j"), ("cid", "root", "f", "g"), close)
 
@@ -217,7 +224,7 @@ def _dense_links(similarity: float):
 
         cell, cids, sets = None, [], []
         for batch in batches:
-            names = zip(*[batch.column(c).to_pylist() for c in ("key", "i", "j", "part")])
+            names = zip(*[batch.column(c).to_pylist() for c in ("cell", "i", "j")])
             found = batch.column("shingles")
             ends, values = found.offsets.to_numpy(), found.values.to_numpy(zero_copy_only=False)
             for k, (name, cid) in enumerate(zip(names, batch.column("u").to_pylist())):
@@ -255,7 +262,31 @@ def _others(rooted: DataFrame) -> DataFrame:
     order = ["key", "i", "j"]
     dealt = dealt.withColumn("at", F.explode(places)).select("key", "at.i", "at.j", "cid", "root", "f", "g")
     dealt = dealt.repartition(*order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(_close_texts, "u long, v long, key long, i long, j long, part long, dense boolean")
+    return dealt.mapInArrow(_close_texts, "u long, v long, dense boolean")
+
+
+def _cells(stars: DataFrame) -> DataFrame:
+    """(u, v), texts with the least ones of their clusters, to (u, cell): texts of a cluster have a cell in common.
+
+    All clusters that hang together are one cell, or each least text has its own if that sends fewer rows.
+    """
+    stars = stored(stars.withColumn("first", F.min("v").over(Window.partitionBy("u"))))
+    roots = components(stars.select(F.col("v").alias("u"), F.col("first").alias("v"))).withColumnRenamed("u", "v")
+    sent = lambda n: n * F.greatest(F.ceil(n / PART) - 1, F.lit(1))
+    own = stars.groupBy("v").agg(F.count("*").alias("n"), F.count_if(F.col("v") == F.col("first")).alias("firsts"))
+    own = stored(own.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")))
+    whole = own.groupBy("root").agg((sent(F.sum("firsts")) <= F.sum(sent(F.col("n")))).alias("whole"))
+    own = own.join(whole, "root").select("v", "root", "whole")
+    return stars.join(own, "v").filter(~F.col("whole") | (F.col("v") == F.col("first"))).select("u", F.when(F.col("whole"), F.col("root")).otherwise(F.col("v")).alias("cell"))
+
+
+def _parts(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """The texts of cells (u, cell) once for each pair (i, j) of parts that a task checks."""
+    sized = cells.join(sets.select(F.col("cid").alias("u"), F.size("shingles").cast("long").alias("n")), "u")
+    parts = F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / VOLUME), F.lit(1))
+    dealt = cells.join(sized.groupBy("cell").agg(parts.alias("parts")), "cell").withColumn("part", F.pmod(F.xxhash64("u", F.lit(2)), "parts"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("parts = 1 or part <> other")
+    return dealt.select("u", "cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
 
 def _sets(asked: DataFrame, rows: DataFrame, distinct: DataFrame, size: int) -> DataFrame:
@@ -266,12 +297,11 @@ def _sets(asked: DataFrame, rows: DataFrame, distinct: DataFrame, size: int) ->
 
 def _other_links(rooted: DataFrame, rows: DataFrame, distinct: DataFrame, size: int, similarity: float) -> DataFrame:
     """Links that join the groups of rooted (cid, root, fps) as far as their texts are similar."""
-    found = stored(_others(rooted))
-    pairs, texts = found.filter(~F.col("dense")).select("u", "v").distinct(), found.filter("dense").drop("v", "dense")
-    pairs = stored(pairs)
-    sets = _sets(pairs.select(F.explode(F.array("u", "v")).alias("cid")).union(texts.select("u")), rows, distinct, size)
-    order = ["key", "i", "j", "part"]
-    dealt = texts.join(sets.withColumnRenamed("cid", "u"), "u").repartition(*order).sortWithinPartitions(*order)
+    found = stored(_others(rooted).distinct())
+    pairs, cells = found.filter(~F.col("dense")).select("u", "v"), stored(_cells(found.filter("dense").select("u", "v")))
+    sets = _sets(pairs.select(F.explode(F.array("u", "v")).alias("cid")).union(cells.select("u")), rows, distinct, size)
+    order = ["cell", "i", "j"]
+    dealt = _parts(cells, sets).join(sets.withColumnRenamed("cid", "u"), "u").repartition(*order).sortWithinPartitions(*order)
     return _similar(pairs, sets, similarity).union(dealt.mapInArrow(_dense_links(similarity), "u long, v long"))
 
 

@@ -94,3 +94,47 @@ def test_close_texts_that_are_no_copies_make_no_table_of_pairs(spark, monkeypatc
     rows = rows_of(texts)
     same(near_copies.near_copies(spark.createDataFrame(rows, DOCS)).collect(), brute(rows))
     assert max(counts) < 20_000  # of 64,620 pairs
+
+
+def test_close_texts_go_to_be_checked_once_not_for_each_block(spark, monkeypatch):
+    rng = random.Random(8)
+    base = prose(rng, 200, 3000).split()
+    texts = [edited(rng, base, rng.choice([2, 4, 5, 6, 8])) for _ in range(300)]
+    df, sent = spark.createDataFrame(rows_of(texts), DOCS), []
+    real = type(df).mapInArrow
+
+    def counted(self, *args, **more):
+        if "shingles" in self.columns:
+            sent.append(self.count())
+        return real(self, *args, **more)
+
+    monkeypatch.setattr(type(df), "mapInArrow", counted)
+    same(near_copies.near_copies(df).collect(), brute(rows_of(texts)))
+    assert 0 < max(sent) <= len(texts)
+
+
+def test_chains_of_close_texts(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "PART", 8)
+    rng = random.Random(9)
+    words, at, texts = prose(rng, 6000, 50_000).split(), 0, []
+    while at < 5600:
+        texts.append(" ".join(words[at : at + 200]))
+        at += rng.choice([15, 18, 24, 30])
+    rng.shuffle(texts)
+    same(near_copies.near_copies(spark.createDataFrame(rows_of(texts), DOCS)).collect(), brute(rows_of(texts)))
+
+
+def test_cells_hold_every_cluster_and_chains_of_clusters_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "PART", 4)
+    rng = random.Random(10)
+    blob = {(u, v) for v in range(6) for u in [v, *rng.sample(range(6, 40), 28)]}
+    chain = {(u, v) for v in range(100, 400, 5) for u in range(v, v + 7)}
+    alone = {(u, 1000) for u in range(1000, 1030)}
+    stars = sorted(blob | chain | alone)
+    cells = {}
+    for r in near_copies._cells(spark.createDataFrame(stars, "u long, v long")).collect():
+        cells.setdefault(r.cell, []).append(r.u)
+    clusters = {v: {u for u, w in stars if w == v} for _, v in stars}
+    assert all(any(c <= set(us) for us in cells.values()) for c in clusters.values())
+    assert all(len(us) == len(set(us)) for us in cells.values())
+    assert sorted(cells[0]) == sorted({u for u, _ in blob}) and max(len(us) for k, us in cells.items() if 100 <= k < 1000) == 7
